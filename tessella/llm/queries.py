@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+import zlib
+
+import numpy as np
+import pandas as pd
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
-from .common import read
+from . import bpe, quality, simhash, token_files, toxicity
+from .common import read, small_batches
+from .labelled import held_out
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+END_ID = 2
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,5 +24,53 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES = {"op1_simhash": op1_simhash}
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_files.write_tokens(read(spark, sf_dir, "documents"), TOKENIZER, END_ID)
+    small_batches(spark)
+
+    @F.pandas_udf("long")
+    def crc(ids: pd.Series) -> pd.Series:
+        return ids.map(lambda x: zlib.crc32(np.asarray(x).astype("<u4").tobytes()))
+
+    return token_files.open_tokens(spark, path).select("doc_id", "start", "n_tokens", crc("ids").alias("ids_crc32"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    trees = quality.fit(docs, read(spark, sf_dir, "labels"))
+    out = quality.with_quality(docs.select("doc_id", "text"), trees, out="q")
+    return out.select("doc_id", *[f"q.{c}" for c in quality.STATS], "q.base_failed", "q.kept", "q.quality")
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def digests(ids: pd.Series) -> pd.DataFrame:
+        model, names = bpe.open_bpe(TOKENIZER), [str(i) for i in range(65536)]
+        rows = []
+        for x in ids:
+            x = np.asarray(x)
+            joined = ",".join(map(names.__getitem__, x.tolist()))
+            rows.append((len(x), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(model.decode(x).encode()).hexdigest()))
+        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+
+    out = bpe.with_token_ids(read(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER)
+    return out.select("doc_id", digests("token_ids").alias("d")).select("doc_id", "d.*")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    out = toxicity.with_toxicity(docs, model, out="score")
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op4_token_files": op4_token_files,
+    "op5_quality": op5_quality,
+    "op8_bpe": op8_bpe,
+    "op10_toxicity": op10_toxicity,
+}
 ORACLES: dict[str, str] = {}
