@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, simhash, token_files, toxicity
+from . import bpe, pii, quality, simhash, suffix_dedup, token_files, toxicity
 from .common import read, small_batches
 from .labelled import held_out
 
@@ -24,6 +24,18 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.repeated_spans(read(spark, sf_dir, "documents"))
+    kept = suffix_dedup.kept_bytes(F.col("text"), F.col("n_bytes"), F.col("spans"))
+    return out.select(
+        "doc_id",
+        "n_bytes",
+        suffix_dedup.removed_bytes(F.col("spans")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2(kept, 256).alias("kept_sha256"),
+    )
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_files.write_tokens(read(spark, sf_dir, "documents"), TOKENIZER, END_ID)
     small_batches(spark)
@@ -42,6 +54,13 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[f"q.{c}" for c in quality.STATS], "q.base_failed", "q.kept", "q.quality")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.with_spans(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.col("pii")
+    counts = [pii.count(spans, k).alias(f"n_{k}") for k in pii.BASE]
+    return out.select("doc_id", *counts, F.sha2(pii.named(spans, pii.BASE), 256).alias("base_sha256"), pii.named(spans).alias("spans"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
 
@@ -68,8 +87,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op4_token_files": op4_token_files,
     "op5_quality": op5_quality,
+    "op6_pii": op6_pii,
     "op8_bpe": op8_bpe,
     "op10_toxicity": op10_toxicity,
 }
