@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, pii, quality, sharding, simhash, suffix_dedup, token_files, toxicity
+from . import bpe, chat, decontaminate, pii, quality, sharding, simhash, suffix_dedup, token_files, toxicity
 from .common import read, small_batches
 from .labelled import held_out
 
@@ -66,6 +66,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(pii.named(spans, pii.BASE), 256).alias("base_sha256"), pii.named(spans).alias("spans"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
 
@@ -129,6 +133,7 @@ QUERIES = {
     "op4_token_files": op4_token_files,
     "op5_quality": op5_quality,
     "op6_pii": op6_pii,
+    "op7_decontaminate": op7_decontaminate,
     "op8_bpe": op8_bpe,
     "op9_chat": op9_chat,
     "op10_toxicity": op10_toxicity,

@@ -163,9 +163,34 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", n:
     prints = with_fingerprint(docs.select(F.col(id).alias("id"), F.col(text).alias("t")), "t", "fp", n).drop("t")
     prints = materialize(prints, "prints")
     classes = materialize(prints.groupBy("fp").agg(F.min("id").alias("least")), "classes")
-    edges = materialize(links(classes.select("fp")), "links")
-    roots = components(edges)
-    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = classes.join(_roots(classes), "fp")
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
     of = rooted.join(least, "root").select("fp", "component")
     return prints.join(of, "fp").select(F.col("id").alias(id), "fp", "component")
+
+
+def _roots(classes: DataFrame) -> DataFrame:
+    """Columns fp, root for each fingerprint of ``classes``, a table without repeats of fp."""
+    edges = materialize(links(classes.select("fp")), "links")
+    roots = components(edges).withColumnRenamed("node", "fp")
+    return classes.select("fp").join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
+def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = 3) -> DataFrame:
+    """The rows of ``docs``, one for each component of :func:`near_duplicates`, with all their columns.
+
+    The row with the smallest id stays; a null id only where no other has one, and of rows with
+    one id the one with the smallest hash of its columns. Of rows that repeat in every column one stays.
+    """
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    prints = with_fingerprint(docs.select(F.col(id).alias("id"), F.col(text).alias("t"), row.alias("row")), "t", "fp", n).drop("t")
+    prints = materialize(prints, "prints")
+    classes = materialize(prints.select("fp").distinct(), "classes")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
+    # groups are met by their fingerprints first, so that a large one is joined as few rows
+    of = prints.groupBy("fp").agg(first).join(_roots(classes), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    stay = materialize(of.select(F.col("first.id").alias("__tessella_id"), F.col("first.row").alias("__tessella_row")), "stay")
+    same = docs[id].eqNullSafe(stay["__tessella_id"]) & (row == stay["__tessella_row"])
+    out = docs.join(stay, same, "left_semi")
+    times = prints.join(stay, prints["id"].eqNullSafe(stay["__tessella_id"]) & (prints["row"] == stay["__tessella_row"]), "left_semi").groupBy("id", "row").count()
+    return out if times.where("count > 1").isEmpty() else out.dropDuplicates()
