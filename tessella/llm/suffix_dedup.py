@@ -13,10 +13,10 @@ an anchor serves about a hundred windows. Then:
    splitters again, now by the leading bytes themselves; buckets sort by multikey quicksort, and
    the longest match with a neighbour tells which windows can have an equal at all. Those are
    compared by 128-bit hashes of their bytes.
-3. Where a cut between buckets (or between blocks of one bucket) parts suffixes with one lead,
-   what is not settled on one side is compared across the cut by a join of the window hashes.
+3. A lead with more than SPLIT contexts is dealt to several buckets. What one of them doesn't
+   settle is compared across the boundaries by a join of the window hashes.
 
-No step holds more than a block of suffixes, however common a lead is.
+No step holds more than a bucket's share of a lead, however common it is.
 """
 
 from __future__ import annotations
@@ -33,8 +33,11 @@ from pyspark.sql import functions as F
 from .common import drop_table, materialize, small_batches
 
 LENGTH, LEAD = 200, 32
-#: Bytes whose hashes are held at one time, and suffixes that are sorted at one time.
-_SEGMENT, _BLOCK = 1 << 20, 8192
+#: Contexts of one lead that are compared in one task; more are split.
+SPLIT = 1 << 16
+#: Bytes whose hashes are held at one time, suffixes that are sorted together if their leads are
+#: rarer than that, and distances from window to anchor that are compared at one time.
+_SEGMENT, _BLOCK, _SLICE = 1 << 20, 8192, 16
 _INDEX = np.uint64((1 << 21) - 1)
 _A = (1 << 12) - 1  # packed: position << 24 | least distance << 12 | largest distance
 _U = np.uint64
@@ -121,8 +124,8 @@ def _anchors(length: int):
 
 
 SETTLED, FETCH = 1, 2
-_MARKED = "kind int, k1 long, k2 int, at long"
-_MARKED_ARROW = pa.schema([("kind", pa.int32()), ("k1", pa.int64()), ("k2", pa.int32()), ("at", pa.int64())])
+_MARKED = "kind int, h long, k1 long, k2 int, at long"
+_MARKED_ARROW = pa.schema([("kind", pa.int32()), ("h", pa.int64()), ("k1", pa.int64()), ("k2", pa.int32()), ("at", pa.int64())])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +157,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             group_c, at_edge = c[start[-1]], before is None and start[-1] == 0 and at_edge
         before = (h[-1], c[-1])
         keep = np.flatnonzero(kind)
-        return pa.RecordBatch.from_arrays([pa.array(kind[keep].astype(np.int32)), *[pa.array(x[k][keep]) for k in ("k1", "k2", "at")]], schema=_MARKED_ARROW)
+        return pa.RecordBatch.from_arrays([pa.array(kind[keep].astype(np.int32)), *[pa.array(x[k][keep]) for k in ("h", "k1", "k2", "at")]], schema=_MARKED_ARROW)
 
     for b in batches:
         if not b.num_rows:
@@ -167,7 +170,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit(held, None)
 
 
-_CONTEXTS = "lead binary, context binary, single boolean, k1 long, k2 int, at long"
+_CONTEXTS = "lead binary, part int, context binary, single boolean, k1 long, k2 int, at long"
 
 
 def _contexts(length: int):
@@ -175,15 +178,16 @@ def _contexts(length: int):
         for b in batches:
             out: list[tuple] = []
             for text, k1, k2, wanted in zip(b["t"].to_pylist(), b["k1"].to_pylist(), b["k2"].to_pylist(), b["wanted"].to_pylist()):
-                single: dict[int, bool] = {}
+                single: dict[tuple[int, int], bool] = {}
                 for w in wanted:  # one place twice: two copies of a whole text
-                    single[w >> 1] = not w & 1 and w >> 1 not in single
-                for at, s in single.items():
+                    at = w["at"], w["part"]
+                    single[at] = not w["settled"] and at not in single
+                for (at, part), s in single.items():
                     p, low, high = at >> 24, at >> 12 & _A, at & _A
-                    out.append((text[p : p + LEAD], text[p - high : p + length - low], s, k1, k2, at))
-            names = ["lead", "context", "single", "k1", "k2", "at"]
-            kinds = [pa.binary(), pa.binary(), pa.bool_(), pa.int64(), pa.int32(), pa.int64()]
-            columns = zip(*out) if out else [[]] * 6
+                    out.append((text[p : p + LEAD], part, text[p - high : p + length - low], s, k1, k2, at))
+            names = ["lead", "part", "context", "single", "k1", "k2", "at"]
+            kinds = [pa.binary(), pa.int32(), pa.binary(), pa.bool_(), pa.int64(), pa.int32(), pa.int64()]
+            columns = zip(*out) if out else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
 
     return run
@@ -218,37 +222,45 @@ _FOUND = "kind int, h1 long, h2 long, k1 long, k2 int, run long"
 _FOUND_ARROW = pa.schema([("kind", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("k1", pa.int64()), ("k2", pa.int32()), ("run", pa.int64())])
 
 
-def _block(t: pa.Table, length: int, cut_first: bool, cut_last: bool) -> Iterator[pa.RecordBatch]:
-    """Compare the windows of a block of suffixes. ``cut_*``: the first or last lead may go on outside the block."""
+def _block(t: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
+    """Compare the windows of a block of suffixes, which has all of a lead's or of a part's. Parts count from 1; 0 is a whole lead."""
     n = t.num_rows
     lead = np.frombuffer(b"".join(t["lead"].to_pylist()), np.uint8).reshape(n, LEAD).view(np.uint64)
     contexts = t["context"].to_pylist()
     size = np.fromiter(map(len, contexts), np.int64, n)
     buf = np.frombuffer(b"".join(contexts), np.uint8)
     begin = np.cumsum(size) - size
-    at, k1, k2, single = (t[c].to_numpy() for c in ("at", "k1", "k2", "single"))
-    near, far = at >> 12 & _A, at & _A
-    new = np.r_[True, (lead[1:] != lead[:-1]).any(1)]
-    group = np.cumsum(new) - 1
-    cut = (cut_first & (group == 0)) | (cut_last & (group == group[-1]))
+    at, k1, k2, single, part = (t[c].to_numpy() for c in ("at", "k1", "k2", "single", "part"))
+    near, far, cut = at >> 12 & _A, at & _A, part > 0
     # to the right: no more than the longest match with a neighbour in suffix order
+    rows = np.zeros((n, length), np.uint8)
     right = np.arange(length)
-    place = np.minimum(begin[:, None] + far[:, None] + right, len(buf) - 1)
-    rows = np.where(right < (length - near)[:, None], buf[place], 0).astype(np.uint8)
+    for i in range(0, n, _BLOCK):
+        j = slice(i, i + _BLOCK)
+        place = np.minimum((begin + far)[j, None] + right, len(buf) - 1)
+        rows[j] = np.where(right < (length - near)[j, None], buf[place], 0)
     order, shared = multikey_sort(rows)
     reach = np.empty(n, np.int64)
     reach[order] = np.maximum(np.r_[shared, 0], np.r_[0, shared])
     low = np.maximum(near, length - np.where(cut, length, reach))
-    count = np.maximum(0, far - low + 1)
-    of = np.repeat(np.arange(n), count)
+    _, one, two, p1, i1, p2, i2 = _tables()
+    offset = np.arange(len(buf)) - np.repeat(begin, size)
+    s1, s2 = _sums(buf, one, p1[offset]), _sums(buf, two, p2[offset])
+    # equal windows have their anchors at equal distances
+    for first in range(int(low.min()), int(far.max()) + 1, _SLICE):
+        yield from _windows(np.maximum(low, first), np.minimum(far, first + _SLICE - 1), (s1, i1, s2, i2), begin, far, at, k1, k2, single, cut, length)
+
+
+def _windows(low, high, sums, begin, far, at, k1, k2, single, cut, length: int) -> Iterator[pa.RecordBatch]:
+    """Compare the windows whose distance to their anchor is from ``low`` to ``high``, for each row."""
+    count = np.maximum(0, high - low + 1)
+    of = np.repeat(np.arange(len(count)), count)
     if not len(of):
         return
+    s1, i1, s2, i2 = sums
     a = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + low[of]
     inside = far[of] - a
     start = begin[of] + inside
-    _, one, two, p1, i1, p2, i2 = _tables()
-    offset = np.arange(len(buf)) - np.repeat(begin, size)
-    s1, s2 = _sums(buf, one, p1[offset]), _sums(buf, two, p2[offset])
     h1 = _mix((s1[start + length] - s1[start]) * i1[inside])
     h2 = _mix((s2[start + length] - s2[start]) * i2[inside])
     by = np.lexsort((h2, h1))
@@ -278,35 +290,30 @@ def _block(t: pa.Table, length: int, cut_first: bool, cut_last: bool) -> Iterato
         yield found(SEEN, marked, s[marked] << 12)
 
 
-def _blocks(length: int, rows: int):
+def _blocks(length: int):
+    """Blocks of a partition that is sorted by (lead, part). Equal keys share a partition, so only parts are cut off from others."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
-        open_first = True  # the first held lead may have rows before it
-
-        def ready(t: pa.Table) -> int:
-            """Rows up to the last change of lead; all rows where there is none."""
-            lead = t["lead"].to_pylist()
-            i = len(lead) - 1
-            while i > 0 and lead[i - 1] == lead[-1]:
-                i -= 1
-            return i or len(lead)
-
         for b in batches:
-            for piece in (b.slice(i, rows) for i in range(0, b.num_rows, rows)):
+            for piece in (b.slice(i, _BLOCK) for i in range(0, b.num_rows, _BLOCK)):
                 t = pa.Table.from_batches([piece])
                 held = pa.concat_tables([held, t]) if held is not None else t
-                if held.num_rows >= rows:
-                    n = ready(held)
-                    yield from _block(held.slice(0, n), length, open_first, n == held.num_rows)
-                    open_first = n == held.num_rows
-                    held = held.slice(n)
+                if held.num_rows >= _BLOCK:
+                    key = list(zip(held["lead"].to_pylist(), held["part"].to_pylist()))
+                    i = len(key) - 1
+                    while i > 0 and key[i - 1] == key[-1]:
+                        i -= 1
+                    if i:
+                        yield from _block(held.slice(0, i), length)
+                        held = held.slice(i)
         if held is not None and held.num_rows:
-            yield from _block(held, length, open_first, True)
+            yield from _block(held, length)
 
     return run
 
 
-def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH, block: int = _BLOCK) -> DataFrame:
+def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH, split: int = SPLIT) -> DataFrame:
     """Columns id, text (binary), n_bytes, spans: one row per row of ``docs``.
 
     ``spans`` has the maximal runs (start, end; bytes, end exclusive) that are covered by strings
@@ -331,16 +338,18 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
     copies = keyed.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("id").alias("who"))
     copies = materialize(copies, "copies")
     kind = F.col("kind")
-    wanted = marked.where(kind.bitwiseAND(FETCH) > 0).select("k1", "k2", (F.shiftleft("at", 1) + kind.bitwiseAND(SETTLED)).alias("w"))
-    wanted = wanted.groupBy("k1", "k2").agg(F.collect_list("w").alias("wanted")).join(copies, ["k1", "k2"])
+    wanted = marked.where(kind.bitwiseAND(FETCH) > 0).select("h", "k1", "k2", "at", (kind.bitwiseAND(SETTLED) > 0).alias("settled"))
+    crowded = wanted.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > split)
+    parts = F.ceil(F.col("n") / split).cast("int")
+    wanted = wanted.join(materialize(crowded, "crowded"), "h", "left").withColumn("part", F.coalesce(F.pmod(F.hash("k1", "k2", "at"), parts) + 1, F.lit(0)))
+    wanted = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "part", "settled")).alias("wanted")).join(copies, ["k1", "k2"])
     wanted = wanted.select(F.col("k1").alias("j1"), F.col("k2").alias("j2"), "who", "wanted")
     # one of a text's copies gives its bytes; with the id in the key, copies are dealt apart
     which = (F.col("k1") == F.col("j1")) & (F.col("k2") == F.col("j2")) & F.col("id").eqNullSafe(F.col("who"))
     texts = keyed.join(wanted.hint("shuffle_hash"), which).select("t", "k1", "k2", "wanted")
     small_batches(spark, 64)
-    contexts = texts.mapInArrow(_contexts(length), _CONTEXTS).withColumn("tie", F.xxhash64("context", "k1", "k2", "at"))
-    contexts = contexts.repartitionByRange("lead", "tie").sortWithinPartitions("lead").drop("tie")
-    found = materialize(contexts.mapInArrow(_blocks(length, block), _FOUND), "found")
+    contexts = texts.mapInArrow(_contexts(length), _CONTEXTS).repartitionByRange("lead", "part").sortWithinPartitions("lead", "part")
+    found = materialize(contexts.mapInArrow(_blocks(length), _FOUND), "found")
 
     place = F.when(kind == SINGLE, F.struct("k1", "k2", "run"))
     across = found.where(kind > RESULT).groupBy("h1", "h2").agg(F.sum("kind").alias("n"), F.collect_list(place).alias("places"))

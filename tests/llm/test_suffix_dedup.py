@@ -51,12 +51,12 @@ def run(spark, texts, **how):
     return {g[0]: tuple(g)[1:] for g in got}
 
 
-@pytest.mark.parametrize("block", [sd._BLOCK, 8])
-def test_spans_against_brute_force(spark, block):
-    """A block of eight suffixes puts cuts inside most leads, so the join across cuts decides."""
-    texts = corpus(3 + block)
+@pytest.mark.parametrize("split", [sd.SPLIT, 4])
+def test_spans_against_brute_force(spark, split):
+    """Leads with more than four contexts are split, so the join across boundaries decides."""
+    texts = corpus(3 + split)
     want = slow(texts, 200)
-    assert run(spark, texts, block=block) == dict(enumerate(want))
+    assert run(spark, texts, split=split) == dict(enumerate(want))
     assert 20 < sum(w[1] > 0 for w in want) < len(want) - 20
 
 
