@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,11 +47,15 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_files.write_tokens(read(spark, sf_dir, "documents"), TOKENIZER, END_ID)
     small_batches(spark)
 
-    @F.pandas_udf("long")
-    def crc(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda x: zlib.crc32(np.asarray(x).astype("<u4").tobytes()))
+    def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b["ids"]
+            at, flat = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<i4", copy=False)
+            sums = np.fromiter((zlib.crc32(flat[i:j]) for i, j in zip(at[:-1], at[1:])), np.int64, len(ids))
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["start"], b["n_tokens"], pa.array(sums)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return token_files.open_tokens(spark, path).select("doc_id", "start", "n_tokens", crc("ids").alias("ids_crc32"))
+    rows = token_files.open_tokens(spark, path).select("doc_id", "start", "n_tokens", "ids")
+    return rows.mapInArrow(crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
