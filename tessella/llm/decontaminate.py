@@ -1,11 +1,12 @@
-"""Test items found in training texts: rare n-gram seeds propose passages, Smith-Waterman alignment scores them.
+"""Test items found in training texts: n-gram seeds propose passages, Smith-Waterman alignment scores them.
 
 The items are worked through in blocks of bounded size, each against all documents. A task
 numbers the words of its documents by the block's vocabulary and looks up every n-gram; where an
-item's n-gram is met, the words around it become a candidate passage. Then the n-grams are counted
-over all candidates, and a candidate stays if it holds one of its item's rarer n-grams: those that
-most documents share say nothing. Alignment by words gives what stays a score from 0 to 1, the
-share of the best that the item could reach, so copies with changed, lost or added words score too.
+item's n-gram is met, however common, the words around it become a candidate passage, as many as
+an alignment through the n-gram can span and still reach the score. Only candidates that have too
+few of the item's words for the score, whatever their order, are left out. Alignment by words gives
+the rest a score from 0 to 1, the share of the best that the item could reach, so copies with
+changed, lost or added words score too.
 """
 
 from __future__ import annotations
@@ -20,13 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialize, small_batches
+from .common import materialize, small_batches
 
 N = 3
 #: Characters of items in a block; its seeds and words, no more than these, go to all workers.
 BLOCK_CHARS = 4 << 20
-#: Of an item's n-grams, those up to this quantile of their counts are rare.
-RARE = 0.75
 MATCH, MISMATCH, GAP = 2, 1, 1
 #: A passage counts from this score on.
 SCORE_FROM = 0.5
@@ -91,8 +90,12 @@ def word_numbers(text: str, vocabulary: dict[str, int]) -> np.ndarray:
     return np.concatenate(parts) if parts else np.empty(0, np.int32)
 
 
-def passages(ids: np.ndarray, block: Block) -> Iterator[tuple[int, int, int, np.ndarray]]:
-    """Candidates of one document: item, start and end of the words around its hits, and the hit codes."""
+def passages(ids: np.ndarray, block: Block, score_from: float = SCORE_FROM) -> Iterator[tuple[int, int, int]]:
+    """Candidates of one document: item, start and end of the words around its hits.
+
+    An alignment of m words has added words for at most MATCH * m less the score it must reach, so
+    all that reach it and run through a hit lie within these words.
+    """
     if len(ids) < N or not len(block.codes):
         return
     code = codes_of(ids)
@@ -104,19 +107,28 @@ def passages(ids: np.ndarray, block: Block) -> Iterator[tuple[int, int, int, np.
         return
     count = block.first[k + 1] - block.first[k]
     place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(block.first[k], count)
-    p, k = np.repeat(p, count), np.repeat(k, count)
-    item = block.place_item[place]
+    p, item = np.repeat(p, count), block.place_item[place]
     size = np.fromiter(map(len, block.items), np.int64, len(block.items))[item]
-    slack = 8 + size // 4
+    spare = np.floor(MATCH * size * (1 - score_from) / GAP).astype(np.int64)
+    slack = np.maximum(8 + size // 4, spare)
     low = p - block.place_at[place] - slack
     high = low + size + 2 * slack
     by = np.lexsort((low, item))
-    item, low, high, k = item[by], np.maximum(low[by], 0), np.minimum(high[by], len(ids)), k[by]
+    item, low, high = item[by], np.maximum(low[by], 0), np.minimum(high[by], len(ids))
     # windows of one item that touch are one passage; ends are compared with the largest so far of the item
     reach = np.maximum.accumulate(high + item * (len(ids) + 1))
     cut = np.flatnonzero(np.r_[True, (item[1:] != item[:-1]) | (low[1:] + item[1:] * (len(ids) + 1) > reach[:-1])])
     for a, b in zip(cut, np.r_[cut[1:], len(item)]):
-        yield int(item[a]), int(low[a]), int(high[a:b].max()), np.unique(k[a:b])
+        yield int(item[a]), int(low[a]), int(high[a:b].max())
+
+
+def most(item: np.ndarray, text: np.ndarray) -> int:
+    """How many words an alignment can match at most: those in common, each as often as in both."""
+    if len(item) > len(text):
+        item, text = text, item
+    own, n = np.unique(item, return_counts=True)
+    at = np.minimum(np.searchsorted(own, text), len(own) - 1)
+    return int(np.minimum(n, np.bincount(at[own[at] == text], minlength=len(own))).sum())
 
 
 def align(item: list[np.ndarray], text: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -144,13 +156,12 @@ def align(item: list[np.ndarray], text: list[np.ndarray]) -> tuple[np.ndarray, n
     return best, end
 
 
-def _scored(block: Block, rare: set[tuple[int, int]], score_from: float):
+def _scored(block: Block, score_from: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             item, low = b["item"].to_numpy(), b["low"].to_numpy()
-            keep = [k for k, (i, seeds) in enumerate(zip(item.tolist(), b["seeds"].to_pylist())) if any((i, c) in rare for c in seeds)]
-            texts = {k: np.asarray(b["words"][k].values, np.int32) for k in keep}
-            keep.sort(key=lambda k: len(texts[k]))
+            texts = [np.asarray(x.values, np.int32) for x in b["words"]]
+            keep = sorted(range(len(texts)), key=lambda k: len(texts[k]))
             while keep:
                 m = 1
                 while m < len(keep) and (m + 1) * len(texts[keep[m]]) <= _CELLS:
@@ -177,7 +188,8 @@ def overlaps(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str =
     exclusive). Words are runs of letters, digits and underscores, in lower case. Rows with one id
     count as one document and give their best passage, the earliest of equal ones; null ids are one
     document, null item ids one item, and repeated items one item. Null and empty texts match
-    nothing, and neither do items of fewer than N words. Empty tables give an empty result; other
+    nothing, and neither do items of fewer than N words. Passages that share no run of N words with
+    an item are not proposed, whatever they would score. Empty tables give an empty result; other
     columns are ignored.
     """
     spark = docs.sparkSession
@@ -197,27 +209,33 @@ def overlaps(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str =
         block, names = make_block([x["text"] for x in held]), [x["item"] for x in held]
 
         def candidates(batches: Iterator[pa.RecordBatch], block: Block = block) -> Iterator[pa.RecordBatch]:
+            def packed(d: pa.RecordBatch, out: list) -> pa.RecordBatch:
+                row, item, low, near = zip(*out) if out else [[]] * 4
+                arrow = pa.int32(), pa.int64(), pa.list_(pa.int32())
+                columns = [pa.array(list(x), kind) for x, kind in zip((item, low, near), arrow)]
+                return pa.RecordBatch.from_arrays([d["id"].take(pa.array(list(row), pa.int64())), *columns], names=["id", "item", "low", "words"])
+
             for d in batches:
-                out = []
+                out, held = [], 0
                 for row, t in enumerate(d["text"]):
                     ids = word_numbers(t.as_py(), block.vocabulary)
-                    out += [(row, item, low, ids[low:high], k) for item, low, high, k in passages(ids, block)]
-                row, item, low, near, seeds = zip(*out) if out else [[]] * 5
-                arrow = pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())
-                columns = [pa.array(list(x), kind) for x, kind in zip((item, low, near, seeds), arrow)]
-                yield pa.RecordBatch.from_arrays([d["id"].take(pa.array(list(row), pa.int64())), *columns], names=["id", "item", "low", "words", "seeds"])
-
-        near = materialize(rows.mapInArrow(candidates, f"id {kinds[0]}, item int, low long, words array<int>, seeds array<int>"), "passages", compression="zstd")
-        # no more rows than the block has n-grams
-        often = near.select("item", F.explode("seeds").alias("seed")).groupBy("item", "seed").agg(F.count("*").alias("n")).toPandas()
-        limit = often.groupby("item")["n"].quantile(RARE, interpolation="higher")
-        often = often[often["n"] <= often["item"].map(limit)]
-        rare = set(zip(often["item"].tolist(), often["seed"].tolist()))
-        scored = near.mapInArrow(_scored(block, rare, score_from), f"id {kinds[0]}, item int, score double, start_word long, end_word long")
+                    for item, low, high in passages(ids, block, score_from):
+                        near = ids[low:high]
+                        # the score divided as in _scored, so that rounding can't tell them apart
+                        if MATCH * most(block.items[item], near) / (MATCH * float(len(block.items[item]))) < score_from:
+                            continue
+                        out.append((row, item, low, near))
+                        held += len(near)
+                        if held > _SLICE:
+                            yield packed(d, out)
+                            out, held = [], 0
+                yield packed(d, out)
+
+        near = rows.mapInArrow(candidates, f"id {kinds[0]}, item int, low long, words array<int>")
+        scored = near.mapInArrow(_scored(block, score_from), f"id {kinds[0]}, item int, score double, start_word long, end_word long")
         named = spark.createDataFrame(list(enumerate(names)), f"k int, item {kinds[1]}")
         scored = scored.withColumnRenamed("item", "k").join(F.broadcast(named), "k").select("id", "item", "score", "start_word", "end_word")
         found = found.union(materialize(scored, "scored"))
-        drop_table(near)
     best = F.max(F.struct("score", (-F.col("start_word")).alias("s"), (-F.col("end_word")).alias("e"))).alias("b")
     out = found.groupBy("id", "item").agg(best)
     return out.select(F.col("id").alias(id), F.col("item").alias(item_id), "b.score", (-F.col("b.s")).alias("start_word"), (-F.col("b.e")).alias("end_word"))

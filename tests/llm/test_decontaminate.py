@@ -73,6 +73,47 @@ def test_finds_copies_and_edits_and_leaves_the_rest(spark):
     assert kept.columns == a.columns and {x.doc_id for x in kept.collect()} == set(range(120)) - set(want)
 
 
+def test_heavy_edits_beside_exact_and_mass_copies(spark):
+    r = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    say = lambda n: r.choices(vocabulary, k=n)
+    items = [say(r.randint(30, 60)) for _ in range(6)]
+
+    def inserted(x):
+        out, at = [], 0
+        while at < len(x):
+            n = r.choice((2, 3))
+            out += x[at : at + n] + say(1)
+            at += n
+        return out
+
+    def replaced(x):
+        out, at = list(x), 3
+        while at < len(x):
+            out[at] = say(1)[0]
+            at += r.choice((3, 4))
+        return out
+
+    def late(x):
+        return [w for k in range(0, len(x) - 6, 2) for w in x[k : k + 2] + say(1)] + x[(len(x) - 5) // 2 * 2 :]
+
+    copies = [e(x) for x in items for e in (inserted, replaced, late)]
+    copies += [list(x) for x in items] + [list(items[0]) for _ in range(40)]
+    docs = [(d, " ".join(say(20) + c + say(20))) for d, c in enumerate(copies)]
+    tests = [(i, " ".join(x)) for i, x in enumerate(items)]
+    want = slow(docs, tests, dc.SCORE_FROM)
+    assert len(want) == len(docs)
+    got = dc.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(tests, "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id): x.score for x in got} == want
+
+
+def test_the_most_an_alignment_can_match():
+    r = np.random.default_rng(5)
+    for _ in range(60):
+        x, y = r.integers(0, 6, r.integers(1, 25)), r.integers(-1, 6, r.integers(1, 50))
+        assert dc.most(x, y) == sum(min((x == w).sum(), (y == w).sum()) for w in set(x.tolist()))
+
+
 def test_nulls_repeats_short_items_and_empty_tables(spark):
     item = "one two three four five six seven eight"
     a = spark.createDataFrame([(None, item), (None, "x " + item), (1, None), (1, ""), (2, "two words"), (3, item), (3, item)], "doc_id long, text string")
