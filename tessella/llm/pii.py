@@ -24,11 +24,24 @@ PATTERNS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "secret": r"(?i)(?<![A-Za-z0-9])(?:api[_-]?key|token|secret|password|passwd)\x20?[=:]\x20?[\"']?[A-Za-z0-9_+/=-]{16,}+",
     "local_phone": r"(?<![0-9+(.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?![0-9-])",
 }
+#: The pattern of an IBAN finds its head; this takes what may follow, words in capitals and numbers too.
+_IBAN_RUN = r"^[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}"
+#: Letters and digits of an IBAN by country.
+IBAN_LENGTHS = {
+    k: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+        30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for k in countries.split()
+}
 #: What a text must hold for a kind to be looked for at all; each follows from the kind's pattern.
 _NEEDS = {
     "email": lambda t: F.contains(t, F.lit("@")),
@@ -95,6 +108,32 @@ def mod97(value: Column) -> Column:
     return rest == 1
 
 
+def _ibans(text: Column) -> Column:
+    """Array of (start, end) of IBANs, from each head to the end of a word where mod 97 holds.
+
+    That is the end the country's length gives, or else the last one; those inside another are left out.
+    """
+    lengths = F.create_map(*[F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair])
+
+    def best(run: Column) -> Column:
+        def at(p: Column) -> Column:
+            return F.struct(p.alias("p"), F.replace(F.substring(run["run"], F.lit(1), p), F.lit(" "), F.lit("")).alias("plain"))
+
+        stops = F.filter(F.sequence(F.lit(15), F.length(run["run"])), lambda p: ~F.substring(run["tail"], p, F.lit(2)).rlike("^(?: |.[A-Za-z0-9])"))
+        good = F.filter(F.transform(stops, at), lambda x: F.when(F.length(x["plain"]) >= 15, mod97(x["plain"])).otherwise(False))
+        fits = lambda x: F.coalesce(F.length(x["plain"]) == F.try_element_at(lengths, F.substring(run["run"], 1, 2)), F.lit(False))
+        return F.array_max(F.transform(good, lambda x: F.struct(fits(x).alias("fits"), x["p"].alias("p"))))
+
+    def step(kept: Column, m: Column) -> Column:
+        return F.when(F.coalesce(F.try_element_at(kept, F.lit(-1))["end"], F.lit(-1)) >= m["end"], kept).otherwise(F.concat(kept, F.array(m)))
+
+    # a transform for each step: what it gives is a value, and not computed again for each use
+    heads = F.transform(matches(text, PATTERNS["iban"]), lambda m: F.struct(m["start"].alias("start"), F.substring(text, m["start"] + 1, F.lit(70)).alias("tail")))
+    runs = F.transform(heads, lambda h: F.struct(h["start"].alias("start"), h["tail"].alias("tail"), F.regexp_extract(h["tail"], _IBAN_RUN, 0).alias("run")))
+    found = F.transform(runs, lambda r: F.struct(r["start"].alias("start"), (r["start"] + best(r)["p"]).alias("end")))
+    return F.aggregate(F.filter(found, lambda m: m["end"].isNotNull()), F.array().cast("array<struct<start:int,end:int>>"), step)
+
+
 def _valid(kind: str, value: Column) -> Column:
     if kind == "ip":
         plain = F.transform(F.split(value, r"\."), lambda p: F.regexp_replace(p, "^0+(?=[0-9])", ""))
@@ -104,8 +143,6 @@ def _valid(kind: str, value: Column) -> Column:
         return F.when(F.length(d).between(12, 19), luhn(d)).otherwise(False)
     if kind == "phone":
         return F.length(_digits(value)).between(9, 15)
-    if kind == "iban":
-        return F.when(F.length(F.replace(value, F.lit(" "), F.lit(""))).between(15, 34), mod97(value)).otherwise(False)
     if kind == "ssn":
         return ~value.rlike("^(000|666|9)") & ~value.rlike("-00-|-0000$")
     return F.lit(True)
@@ -121,7 +158,7 @@ def _score(text: Column, kind: str, start: Column, end: Column) -> Column:
 
 def _of_kind(text: Column, kind: str) -> Column:
     """Spans of a kind that pass its check."""
-    good = F.filter(matches(text, PATTERNS[kind]), lambda m: _valid(kind, m["value"]))
+    good = _ibans(text) if kind == "iban" else F.filter(matches(text, PATTERNS[kind]), lambda m: _valid(kind, m["value"]))
     spans = F.transform(good, lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), m["end"].alias("end"), _score(text, kind, m["start"], m["end"]).alias("score")))
     return F.when(_NEEDS[kind](text), spans).otherwise(F.array().cast(SPAN))
 

@@ -68,6 +68,29 @@ def test_added_spans(spark, text, want):
     assert pii.with_spans(df).select(pii.named(F.col("pii"))).first()[0] == want
 
 
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("DE89370400440532013000 Please pay", ["DE89370400440532013000"]),
+        ("IBAN: DE89370400440532013000 BIC COBADEFFXXX", ["DE89370400440532013000"]),
+        ("GB82 WEST 1234 5698 7654 32 The", ["GB82 WEST 1234 5698 7654 32"]),
+        ("DE89 3704 0044 0532 0130 00 2024-05-01", ["DE89 3704 0044 0532 0130 00"]),
+        ("DE89 3704 0044 0532 0130 00 2024", ["DE89 3704 0044 0532 0130 00"]),
+        ("é🙂 DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX AND MORE CAPITALS", ["DE89 3704 0044 0532 0130 00"]),
+        ("GB82 WEST 1234 5698 7654 32 DE89 3704 0044 0532 0130 00", ["GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00"]),
+        ("REF AB12 3456 7890 GB82 WEST 1234 5698 7654 32 A", ["GB82 WEST 1234 5698 7654 32"]),
+        ("NO93 8601 1117 947 X", ["NO93 8601 1117 947"]),
+        ("MT84MALT011000012345MTLCAST001S MALTA", ["MT84MALT011000012345MTLCAST001S"]),
+        ("DE89370400440532013000x", []),
+        ("DE89370400440532013001 Please", []),
+    ],
+)
+def test_ibans_in_front_of_capitals_and_numbers(spark, text, want):
+    df = spark.createDataFrame([(text,)], "text string")
+    spans = pii.with_spans(df).first()["pii"]
+    assert [text[x["start"] : x["end"]] for x in spans if pii.KINDS[x["kind"]] == "iban"] == want
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([("é a@b.cd and 4111 1111 1111 1111!",), (None,), ("clean",)], "text string")
     got = [x[0] for x in pii.with_spans(df).select(pii.redacted(F.col("text"), F.col("pii"))).collect()]
