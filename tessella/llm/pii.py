@@ -151,9 +151,9 @@ def _valid(kind: str, value: Column) -> Column:
 def _score(text: Column, kind: str, start: Column, end: Column) -> Column:
     low = F.greatest(start - NEAR, F.lit(0))
     near = F.lower(F.concat_ws(" ", F.substring(text, low + 1, start - low), F.substring(text, end + 1, F.lit(NEAR))))
-    up = F.when(near.rlike(rf"(?<!\p{{L}})(?:{SUPPORT[kind]})(?!\p{{L}})"), 0.2).otherwise(0.0)
-    down = F.when(near.rlike(rf"(?<!\p{{L}})(?:{AGAINST})(?!\p{{L}})"), 0.3).otherwise(0.0)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(F.lit(SCORES[kind]) + up - down, 3)))
+    # a word against counts only where none supports: "to order, call ..." is still a number to call
+    change = F.when(near.rlike(rf"(?<!\p{{L}})(?:{SUPPORT[kind]})(?!\p{{L}})"), 0.2).when(near.rlike(rf"(?<!\p{{L}})(?:{AGAINST})(?!\p{{L}})"), -0.3).otherwise(0.0)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(F.lit(SCORES[kind]) + change, 3)))
 
 
 def _of_kind(text: Column, kind: str) -> Column:
@@ -167,7 +167,7 @@ def with_spans(df: DataFrame, text: str = "text", out: str = "pii") -> DataFrame
     """``df`` with an array column of spans (start, kind, end, score), by start and then kind.
 
     ``kind`` is a place in KINDS; starts and ends count code points, ends are exclusive. A base
-    span that passes its check always stays; an added span needs KEEP_FROM and must not overlap a
+    span that passes its check always stays; an added span needs KEEP_FROM and must not lie within a
     base span. Null and empty texts have no spans; other columns and repeated rows pass unchanged;
     a column named ``out`` is replaced.
     """
@@ -175,7 +175,7 @@ def with_spans(df: DataFrame, text: str = "text", out: str = "pii") -> DataFrame
     rows = df.withColumn(t, F.coalesce(F.col(text), F.lit("")))
     rows = rows.withColumn(tmp, F.concat(*[_of_kind(F.col(t), k) for k in BASE]))
     more = F.concat(*[_of_kind(F.col(t), k) for k in KINDS[len(BASE) :]])
-    free = F.filter(more, lambda m: (m["score"] >= KEEP_FROM) & ~F.exists(F.col(tmp), lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    free = F.filter(more, lambda m: (m["score"] >= KEEP_FROM) & ~F.exists(F.col(tmp), lambda b: (b["start"] <= m["start"]) & (m["end"] <= b["end"])))
     return rows.withColumn(out, F.array_sort(F.concat(F.col(tmp), free))).drop(t, tmp)
 
 

@@ -91,6 +91,22 @@ def test_ibans_in_front_of_capitals_and_numbers(spark, text, want):
     assert [text[x["start"] : x["end"]] for x in spans if pii.KINDS[x["kind"]] == "iban"] == want
 
 
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("To order, call 555-123-4567", "To order, call <LOCAL_PHONE>"),
+        ("SSN 123-45-6789 on this page", "SSN <SSN> on this page"),
+        ("order 123-45-6789 on this page", None),
+        ("IBAN NO2786011117001 ok", "IBAN <IBAN> ok"),
+        ("password=abcdefghijklmnop/joe@example.com.", "<SECRET>."),
+        ("card 4111 1111 1111 1111", "card <CARD>"),
+    ],
+)
+def test_support_outweighs_and_longer_spans_stay(spark, text, want):
+    df = spark.createDataFrame([(text,)], "text string")
+    assert pii.with_spans(df).select(pii.redacted(F.col("text"), F.col("pii"))).first()[0] == (want or text)
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([("é a@b.cd and 4111 1111 1111 1111!",), (None,), ("clean",)], "text string")
     got = [x[0] for x in pii.with_spans(df).select(pii.redacted(F.col("text"), F.col("pii"))).collect()]
