@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import materialize, small_batches, text_key
 
 N = 3
 #: Characters of items in a block; its seeds and words, no more than these, go to all workers.
@@ -241,7 +241,12 @@ def overlaps(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str =
     return out.select(F.col("id").alias(id), F.col("item").alias(item_id), "b.score", (-F.col("b.s")).alias("start_word"), (-F.col("b.e")).alias("end_word"))
 
 
-def clean(docs: DataFrame, items: DataFrame, id: str = "doc_id", **how) -> DataFrame:
-    """The rows of ``docs`` that hold no item; see :func:`overlaps`. All columns stay."""
-    dirty = overlaps(docs, items, id, **how).select(F.col(id).alias("__tessella_dirty")).distinct()
-    return docs.join(dirty, docs[id].eqNullSafe(dirty["__tessella_dirty"]), "left_anti")
+def clean(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """The rows of ``docs`` whose text holds no item; see :func:`overlaps`. All columns stay.
+
+    Each row goes or stays by its own text, so null and repeated ids don't take clean rows along.
+    """
+    key = "__tessella_key"
+    keyed = docs.select(text_key(F.col(text)).alias(key), text)
+    dirty = overlaps(keyed, items, key, text, **how).select(F.col(key).alias("__tessella_dirty")).distinct()
+    return docs.join(dirty, text_key(docs[text]) == dirty["__tessella_dirty"], "left_anti")

@@ -127,6 +127,14 @@ def test_nulls_repeats_short_items_and_empty_tables(spark):
     assert dc.clean(a, b.limit(0)).count() == 7
 
 
+def test_clean_rows_stay_whatever_their_id(spark):
+    item = "one two three four five six seven eight"
+    rows = [(None, item, 1), (None, "some clean text here", 2), (None, None, 3), (4, "x " + item, 4), (4, "another clean text", 5), (5, item, 6)]
+    a = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    kept = dc.clean(a, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert kept.columns == a.columns and sorted(x.n for x in kept.collect()) == [2, 3, 5]
+
+
 def test_long_texts_are_cut_between_words(monkeypatch):
     monkeypatch.setattr(dc, "_SLICE", 50)
     text = " ".join(f"w{i}" * (i % 40 + 1) for i in range(200))
