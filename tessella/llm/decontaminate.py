@@ -50,20 +50,22 @@ class Block:
 
 
 def codes_of(ids: np.ndarray) -> np.ndarray:
-    """A number for each run of N words; negative where a word is unknown."""
-    out = ids[: len(ids) - N + 1].astype(np.int64)
-    bad = out < 0
+    """A number for each run of N words; negative where a word is unknown.
+
+    Past 2**21 words runs can share a number, which proposes passages too many and none too few.
+    """
+    mask = (1 << _BITS) - 1
+    first = ids[: len(ids) - N + 1].astype(np.int64)
+    out, bad = first & mask, first < 0
     for k in range(1, N):
         x = ids[k : len(ids) - N + 1 + k]
-        out, bad = out << _BITS | (x & ((1 << _BITS) - 1)), bad | (x < 0)
+        out, bad = out << _BITS | (x & mask), bad | (x < 0)
     return np.where(bad, -1, out)
 
 
 def make_block(texts: list[str]) -> Block:
     vocabulary: dict[str, int] = {}
     items = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words(t)], np.int32) for t in texts]
-    if len(vocabulary) >> _BITS:
-        raise ValueError("a block of items has too many words")
     code, item, at = [], [], []
     for i, x in enumerate(items):
         c = codes_of(x) if len(x) >= N else np.empty(0, np.int64)
@@ -76,6 +78,18 @@ def make_block(texts: list[str]) -> Block:
     return Block(vocabulary, items, codes, np.r_[first, len(code)], item[by], at[by])
 
 
+def split(held: list, chars: int) -> list[list]:
+    """Items in blocks of at most ``chars`` characters; an item longer than that is a block of its own."""
+    blocks, size = [[]], 0
+    for x in held:
+        if blocks[-1] and size + len(x["text"]) > chars:
+            blocks.append([])
+            size = 0
+        blocks[-1].append(x)
+        size += len(x["text"])
+    return blocks
+
+
 def word_numbers(text: str, vocabulary: dict[str, int]) -> np.ndarray:
     """The words of a whole text by number, -1 for words of no item; long texts go slice by slice."""
     parts, at, get = [], 0, vocabulary.get
@@ -189,8 +203,9 @@ def overlaps(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str =
     count as one document and give their best passage, the earliest of equal ones; null ids are one
     document, null item ids one item, and repeated items one item. Null and empty texts match
     nothing, and neither do items of fewer than N words. Passages that share no run of N words with
-    an item are not proposed, whatever they would score. Empty tables give an empty result; other
-    columns are ignored.
+    an item are not proposed, whatever they would score. An item longer than a block has a pass of
+    its own; aligning takes time by its words times those of each passage that may hold it. Empty
+    tables give an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -203,39 +218,38 @@ def overlaps(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str =
     found = spark.createDataFrame([], f"id {kinds[0]}, item {kinds[1]}, score double, start_word long, end_word long")
     for b in range(count):
         held = tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == b).distinct().collect()
-        if sum(len(x["text"]) for x in held) > 2 * block_chars:
-            raise ValueError("one block of items has most of them; their texts are too long")
         held.sort(key=lambda x: (x["item"] is not None, x["item"], x["text"]))
-        block, names = make_block([x["text"] for x in held]), [x["item"] for x in held]
-
-        def candidates(batches: Iterator[pa.RecordBatch], block: Block = block) -> Iterator[pa.RecordBatch]:
-            def packed(d: pa.RecordBatch, out: list) -> pa.RecordBatch:
-                row, item, low, near = zip(*out) if out else [[]] * 4
-                arrow = pa.int32(), pa.int64(), pa.list_(pa.int32())
-                columns = [pa.array(list(x), kind) for x, kind in zip((item, low, near), arrow)]
-                return pa.RecordBatch.from_arrays([d["id"].take(pa.array(list(row), pa.int64())), *columns], names=["id", "item", "low", "words"])
-
-            for d in batches:
-                out, held = [], 0
-                for row, t in enumerate(d["text"]):
-                    ids = word_numbers(t.as_py(), block.vocabulary)
-                    for item, low, high in passages(ids, block, score_from):
-                        near = ids[low:high]
-                        # the score divided as in _scored, so that rounding can't tell them apart
-                        if MATCH * most(block.items[item], near) / (MATCH * float(len(block.items[item]))) < score_from:
-                            continue
-                        out.append((row, item, low, near))
-                        held += len(near)
-                        if held > _SLICE:
-                            yield packed(d, out)
-                            out, held = [], 0
-                yield packed(d, out)
-
-        near = rows.mapInArrow(candidates, f"id {kinds[0]}, item int, low long, words array<int>")
-        scored = near.mapInArrow(_scored(block, score_from), f"id {kinds[0]}, item int, score double, start_word long, end_word long")
-        named = spark.createDataFrame(list(enumerate(names)), f"k int, item {kinds[1]}")
-        scored = scored.withColumnRenamed("item", "k").join(F.broadcast(named), "k").select("id", "item", "score", "start_word", "end_word")
-        found = found.union(materialize(scored, "scored"))
+        for part in split(held, 2 * block_chars):
+            block, names = make_block([x["text"] for x in part]), [x["item"] for x in part]
+
+            def candidates(batches: Iterator[pa.RecordBatch], block: Block = block) -> Iterator[pa.RecordBatch]:
+                def packed(d: pa.RecordBatch, out: list) -> pa.RecordBatch:
+                    row, item, low, near = zip(*out) if out else [[]] * 4
+                    arrow = pa.int32(), pa.int64(), pa.list_(pa.int32())
+                    columns = [pa.array(list(x), kind) for x, kind in zip((item, low, near), arrow)]
+                    return pa.RecordBatch.from_arrays([d["id"].take(pa.array(list(row), pa.int64())), *columns], names=["id", "item", "low", "words"])
+
+                for d in batches:
+                    out, held = [], 0
+                    for row, t in enumerate(d["text"]):
+                        ids = word_numbers(t.as_py(), block.vocabulary)
+                        for item, low, high in passages(ids, block, score_from):
+                            near = ids[low:high]
+                            # the score divided as in _scored, so that rounding can't tell them apart
+                            if MATCH * most(block.items[item], near) / (MATCH * float(len(block.items[item]))) < score_from:
+                                continue
+                            out.append((row, item, low, near))
+                            held += len(near)
+                            if held > _SLICE:
+                                yield packed(d, out)
+                                out, held = [], 0
+                    yield packed(d, out)
+
+            near = rows.mapInArrow(candidates, f"id {kinds[0]}, item int, low long, words array<int>")
+            scored = near.mapInArrow(_scored(block, score_from), f"id {kinds[0]}, item int, score double, start_word long, end_word long")
+            named = spark.createDataFrame(list(enumerate(names)), f"k int, item {kinds[1]}")
+            scored = scored.withColumnRenamed("item", "k").join(F.broadcast(named), "k").select("id", "item", "score", "start_word", "end_word")
+            found = found.union(materialize(scored, "scored"))
     best = F.max(F.struct("score", (-F.col("start_word")).alias("s"), (-F.col("end_word")).alias("e"))).alias("b")
     out = found.groupBy("id", "item").agg(best)
     return out.select(F.col("id").alias(id), F.col("item").alias(item_id), "b.score", (-F.col("b.s")).alias("start_word"), (-F.col("b.e")).alias("end_word"))

@@ -135,6 +135,25 @@ def test_clean_rows_stay_whatever_their_id(spark):
     assert kept.columns == a.columns and sorted(x.n for x in kept.collect()) == [2, 3, 5]
 
 
+def test_items_longer_than_a_block(spark, monkeypatch):
+    docs, items, _ = tables(2)
+    r = random.Random(3)
+    long = " ".join(f"w{r.randrange(900)}" for _ in range(700))
+    docs, items = docs + [(900, "so " + long + " it ends", "clash", 1)], items + [(90, long)]
+    a = spark.createDataFrame(docs, "doc_id long, text string, item string, item_id int").coalesce(2)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    want = slow(docs, items, dc.SCORE_FROM)
+    assert (900, 90) in want
+    assert {(x.doc_id, x.item_id): x.score for x in dc.overlaps(a, b, block_chars=1200).collect()} == want
+    assert [len(x) for x in dc.split([{"text": "x" * n} for n in (3, 4, 30, 5, 5)], 10)] == [2, 1, 2]
+    # more words than the numbers of runs have room for
+    monkeypatch.setattr(dc, "_BITS", 5)
+    block = dc.make_block([x for _, x in items])
+    assert len(block.vocabulary) >> dc._BITS
+    for i, (_, x) in enumerate(items):
+        assert i in {k for k, *_ in dc.passages(dc.word_numbers(x, block.vocabulary), block)}
+
+
 def test_long_texts_are_cut_between_words(monkeypatch):
     monkeypatch.setattr(dc, "_SLICE", 50)
     text = " ".join(f"w{i}" * (i % 40 + 1) for i in range(200))
