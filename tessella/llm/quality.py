@@ -108,7 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id: str = "d
 
     schema = ", ".join(f"{f} double" for f in FEATURES) + ", y double, fold int"
     rows = training_rows(docs, labels, label, id, text, max_rows).mapInPandas(dense, schema).toPandas()
-    rows = rows.sort_values(["fold", *FEATURES, "y"], kind="stable").head(max_rows)
+    rows = rows.sort_values(["fold", *FEATURES, "y"], kind="stable")
     x, y, fold = rows[list(FEATURES)].to_numpy(), rows["y"].to_numpy(), rows["fold"].to_numpy()
     out = np.zeros(len(y))
     for f in range(FOLDS):

@@ -142,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id: str = "doc
             yield pd.DataFrame([[y, fold, *features(t, lexicons[fold])] for t, y, fold in zip(b["text"], b["y"], b["fold"])], columns=["y", "fold", *FEATURES])
 
     schema = "y double, fold int, " + ", ".join(f"{f} double" for f in FEATURES)
-    train = rows.mapInPandas(dense, schema).toPandas().sort_values(["fold", *FEATURES, "y"], kind="stable").head(max_rows)
+    train = rows.mapInPandas(dense, schema).toPandas().sort_values(["fold", *FEATURES, "y"], kind="stable")
     x, y, fold = train[list(FEATURES)].to_numpy(), train["y"].to_numpy(), train["fold"].to_numpy()
     out = np.full(len(y), 0.0)
     for f in range(FOLDS):

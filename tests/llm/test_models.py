@@ -134,3 +134,17 @@ def test_training_never_sees_held_out_labels(spark):
     got = {int(x.text) for x in labelled.training_rows(docs, labels, "toxic").collect()}
     assert got == {i for i in range(60) if not labelled.is_held_out(i)}
     assert labelled.training_rows(docs, labels, "toxic", max_rows=7).count() == 7
+
+
+def test_repeated_labelled_ids_keep_the_bound_and_all_folds(spark):
+    docs = spark.createDataFrame([(i, f"text {i} {k}") for i in range(60) for k in range(20)] + [(0, "same")] * 300, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    for rows in (docs, docs.where("text = 'same'")):
+        got = labelled.training_rows(rows, labels, "toxic", max_rows=100).collect()
+        assert len(got) == 100
+        again = labelled.training_rows(rows.repartition(5), labels, "toxic", max_rows=100).collect()
+        assert sorted(got) == sorted(again)
+    all_of = labelled.training_rows(docs, labels, "toxic", max_rows=5000).collect()
+    assert len(all_of) == 20 * sum(not labelled.is_held_out(i) for i in range(60)) + 300 * (not labelled.is_held_out(0))
+    few = labelled.training_rows(docs.where("text <> 'same'"), labels, "toxic", max_rows=100).collect()
+    assert len(few) == 100 and {x.fold for x in few} == {x.fold for x in all_of}
