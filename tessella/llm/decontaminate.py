@@ -245,8 +245,11 @@ def overlaps(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str =
                                 out, held = [], 0
                     yield packed(d, out)
 
-            near = rows.mapInArrow(candidates, f"id {kinds[0]}, item int, low long, words array<int>")
-            scored = near.mapInArrow(_scored(block, score_from), f"id {kinds[0]}, item int, score double, start_word long, end_word long")
+            def run(batches: Iterator[pa.RecordBatch], propose=candidates, score=_scored(block, score_from)) -> Iterator[pa.RecordBatch]:
+                return score(propose(batches))
+
+            # one function, as two would keep two Python workers for each task
+            scored = rows.mapInArrow(run, f"id {kinds[0]}, item int, score double, start_word long, end_word long")
             named = spark.createDataFrame(list(enumerate(names)), f"k int, item {kinds[1]}")
             scored = scored.withColumnRenamed("item", "k").join(F.broadcast(named), "k").select("id", "item", "score", "start_word", "end_word")
             found = found.union(materialize(scored, "scored"))
