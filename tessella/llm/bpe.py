@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import small_batches
+from .common import bound_batches
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Chunks: a cut where the rolling hash has CUT_BITS zero bits, at least MIN_CHUNK and at most MAX_CHUNK characters after the last.
@@ -225,7 +225,7 @@ def with_token_ids(df: DataFrame, path: str, text: str = "text", out: str = "tok
     ``path`` is a tokenizer file that every worker can open. Empty texts have an empty array;
     other columns and repeated rows pass unchanged. A column named ``out`` is replaced.
     """
-    small_batches(df.sparkSession)
+    bound_batches(df.sparkSession)
 
     @F.pandas_udf("array<int>")
     def ids(texts):
@@ -237,7 +237,7 @@ def with_token_ids(df: DataFrame, path: str, text: str = "text", out: str = "tok
 
 def with_decoded(df: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """``df`` with the text of each row's ids, special tokens included; null ids decode to ''."""
-    small_batches(df.sparkSession)
+    bound_batches(df.sparkSession)
 
     @F.pandas_udf("string")
     def decoded(rows):

@@ -2,23 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch that carries whole texts; with texts of a few KB a batch stays near one MB.
-TEXT_BATCH = 512
-
-_own_root: dict[str, str] = {}
+#: Bytes of an Arrow batch, whatever its rows hold; a longer text is a batch of its own.
+BATCH_BYTES = 4 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a folder of our own only where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = _own_root.setdefault("root", tempfile.mkdtemp(prefix="tessella-"))
+    """The shared folder named by spark.checkpoint.dir; where that is unset, one beside the warehouse, which executors share too."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tessella-scratch"
     return root.rstrip("/")
 
 
@@ -49,10 +44,9 @@ def drop_table(df: DataFrame) -> None:
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
-def small_batches(spark: SparkSession, rows: int = TEXT_BATCH) -> None:
-    """Bound what one Arrow batch of whole texts holds, by rows and by bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the bytes of Arrow batches in this session; all operators set the same, so that plans don't depend on who came last."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

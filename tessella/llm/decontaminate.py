@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, text_key
+from .common import bound_batches, materialize, text_key
 
 N = 3
 #: Characters of items in a block; its seeds and words, no more than these, go to all workers.
@@ -208,8 +208,7 @@ def overlaps(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str =
     tables give an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
-    small_batches(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    bound_batches(spark)
     tests = items.select(F.col(item_id).alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
     chars = tests.agg(F.sum(F.length("text"))).first()[0] or 0
     count = -(-chars // max(1, block_chars // 2)) or 1

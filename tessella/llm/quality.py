@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gbt
-from .common import small_batches
+from .common import bound_batches
 from .labelled import FOLDS, MAX_TRAIN_ROWS, training_rows
 
 SYMBOLS = "#*$%&|<>"
@@ -99,7 +99,7 @@ def base_failed(stats: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id: str = "doc_id", text: str = "text", max_rows: int = MAX_TRAIN_ROWS) -> gbt.Trees:
     """Trees for the chance that a text is good, fitted on at most ``max_rows`` labelled rows."""
-    small_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession)
 
     def dense(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -129,7 +129,7 @@ def with_quality(df: DataFrame, trees: gbt.Trees, text: str = "text", out: str =
     A null text counts as one without words, which fails. Other columns and repeated rows pass
     unchanged; a column named ``out`` is replaced.
     """
-    small_batches(df.sparkSession)
+    bound_batches(df.sparkSession)
 
     @F.pandas_udf(RESULT)
     def rules(texts: pd.Series) -> pd.DataFrame:

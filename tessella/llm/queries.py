@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, decontaminate, pii, quality, sharding, simhash, suffix_dedup, token_files, toxicity
-from .common import read, small_batches
+from .common import bound_batches, read
 from .labelled import held_out
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -45,7 +45,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_files.write_tokens(read(spark, sf_dir, "documents"), TOKENIZER, END_ID)
-    small_batches(spark)
+    bound_batches(spark)
 
     def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -77,7 +77,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    bound_batches(spark)
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digests(ids: pd.Series) -> pd.DataFrame:

@@ -1,12 +1,15 @@
 """SimHash near-duplicates through an inverted index of positional bytes.
 
 Two 64-bit fingerprints that differ in at most three bits differ in at most three of their
-eight bytes, so they share at least five bytes at the same positions. The index therefore
-holds, for each of the 56 choices of five positions, the five bytes found there: a pair that
-reaches the guaranteed minimum of five shared positional bytes meets in a list, one that
-shares fewer never does. Within a list the pairs are verified bit by bit, and only a spanning
-forest of the verified links leaves it, so a group of m near copies yields m - 1 links and
-not m * m. A list cannot hold more than 2**24 different fingerprints, as only three bytes are free.
+eight bytes, so they share five positional bytes or more. A list of the index has the
+fingerprints with given bytes at some positions. The k-th byte that a pair shares is no later
+than its (3 + k)-th byte, so the lists for k of the first 3 + k positions lose no pair. The
+index starts with as many positions as keep lists short by chance, and a list that is long all
+the same is split by the next position that its pairs can share, at most to five positions.
+
+Within a list the shared bytes of each pair are tallied, pairs under the guaranteed five are
+dropped, the others are verified bit by bit, and only a spanning forest of the links leaves the
+list: a group of m near copies yields m - 1 links and not m * m.
 """
 
 from __future__ import annotations
@@ -20,31 +23,48 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import bound_batches, drop_table, materialize
 from .components import components
 
 SEED = 42
 MAX_BITS = 3
-SHARED_BYTES = 5
+BYTES, SHARED_BYTES = 8, 5
+#: A list with more fingerprints is split by one more position; at five positions it looks its neighbours up.
+LIST_MAX = 256
+#: The index starts with so many positions that a list has no more than this by chance.
+BY_CHANCE = 16
 #: Shingles whose hashes are held at one time.
 _BLOCK = 1 << 18
-#: From this size on, a list looks its neighbours up instead of comparing all its members.
-_PROBE_FROM = 2048
 
 
-def fingerprint(text: str | None, n: int = 3) -> int:
-    """The SimHash of a whole text: bit i is 1 if it is set in over half of the shingle hashes."""
+def spans(text: str | None, n: int) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The words in lower case (A-Z), joined by blanks, and the starts and ends of its shingles of ``n`` words.
+
+    Fewer words than ``n`` are one shingle; no words have none.
+    """
     words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
     if not words:
-        return 0
-    joined = b" ".join(words)
+        return b"", np.empty(0, np.int64), np.empty(0, np.int64)
     size = np.fromiter(map(len, words), np.int64, len(words))
     end = np.cumsum(size + 1) - 1
     start, stop = (end - size, end[n - 1 :]) if len(words) >= n else (end[:1] - size[:1], end[-1:])
-    ones, total, digest = np.zeros(64, np.int64), len(stop), xxhash.xxh64_digest
-    for at in range(0, total, _BLOCK):
+    return b" ".join(words), start[: len(stop)], stop
+
+
+def hashes(text: str | None, n: int) -> Iterator[np.ndarray]:
+    """The XXH64 of a text's shingles, repeats included, in blocks of rows of eight bytes."""
+    joined, start, stop = spans(text, n)
+    digest = xxhash.xxh64_digest
+    for at in range(0, len(stop), _BLOCK):
         pairs = zip(start[at : at + _BLOCK].tolist(), stop[at : at + _BLOCK].tolist())
-        h = np.frombuffer(b"".join([digest(joined[i:j], SEED) for i, j in pairs]), np.uint8).reshape(-1, 8)
+        yield np.frombuffer(b"".join([digest(joined[i:j], SEED) for i, j in pairs]), np.uint8).reshape(-1, 8)
+
+
+def fingerprint(text: str | None, n: int = 3) -> int:
+    """The SimHash of a whole text: bit i is 1 if it is set in over half of the shingle hashes."""
+    ones, total = np.zeros(64, np.int64), 0
+    for h in hashes(text, n):
+        total += len(h)
         for k in range(0, len(h), 255):
             ones += np.unpackbits(h[k : k + 255], axis=1).sum(0, dtype=np.uint8)
     return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big")
@@ -59,7 +79,7 @@ def _signed(value: int) -> int:
 
 def with_fingerprint(df: DataFrame, text: str = "text", out: str = "fp", n: int = 3) -> DataFrame:
     """``df`` with a long column of each text's fingerprint (its 64 bits, as a signed number)."""
-    small_batches(df.sparkSession)
+    bound_batches(df.sparkSession)
 
     @F.pandas_udf("long")
     def prints(texts: pd.Series) -> pd.Series:
@@ -68,27 +88,42 @@ def with_fingerprint(df: DataFrame, text: str = "text", out: str = "fp", n: int
     return df.withColumn(out, prints(F.col(text)))
 
 
-def _masks() -> list[int]:
-    return [_signed(sum(0xFF << (56 - 8 * p) for p in c)) for c in combinations(range(8), SHARED_BYTES)]
+# ---- the index: position p is byte p of a fingerprint, the highest first; a choice is a set of positions as bits ----
+
+
+def mask(choice: int) -> int:
+    """The bits of a fingerprint at the positions of a choice."""
+    return sum(0xFF << (56 - 8 * p) for p in range(BYTES) if choice >> p & 1)
+
+
+def choices(k: int) -> list[int]:
+    """The choices of ``k`` positions that a pair's first ``k`` shared bytes can be."""
+    return [sum(1 << p for p in c) for c in combinations(range(BYTES - SHARED_BYTES + k), k)]
+
+
+def longer(choice: int) -> list[int]:
+    """The choices that add the next position that a pair can share."""
+    k, last = choice.bit_count(), choice.bit_length()
+    return [choice | 1 << p for p in range(last, BYTES - SHARED_BYTES + k + 1)]
 
 
-MASKS = _masks()
+def first_choice(n: int) -> int:
+    """How many positions the index starts with for ``n`` fingerprints."""
+    return next((k for k in range(1, SHARED_BYTES) if n <= BY_CHANCE << 8 * k), SHARED_BYTES)
 
 
-def _deltas(mask: int) -> np.ndarray:
-    free = [i for i in range(64) if not (mask >> i) & 1]
+def _deltas(bits: int) -> np.ndarray:
+    free = [i for i in range(64) if not (bits >> i) & 1]
     return np.array([sum(1 << b for b in c) for k in range(1, MAX_BITS + 1) for c in combinations(free, k)], np.uint64)
 
 
-def forest(values: np.ndarray, mask: int, probe_from: int = _PROBE_FROM) -> list[tuple[int, int]]:
-    """A spanning forest of the links among sorted different fingerprints that agree under ``mask``.
+def forest(values: np.ndarray, bits: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among sorted different fingerprints that agree in ``bits``, 40 of them.
 
-    Each step tallies one fingerprint against those not yet reached, or, in a long list, looks up
-    the few thousand values within three bits of it: work per fingerprint is bounded either way.
+    Each step looks up the few thousand values within three bits of one, so its work does not grow with the list.
     """
     out: list[tuple[int, int]] = []
-    left = np.ones(len(values), bool)
-    deltas = _deltas(mask) if len(values) >= probe_from else None
+    left, deltas = np.ones(len(values), bool), _deltas(bits)
     for first in range(len(values)):
         if not left[first]:
             continue
@@ -96,59 +131,131 @@ def forest(values: np.ndarray, mask: int, probe_from: int = _PROBE_FROM) -> list
         stack = [first]
         while stack:
             i = stack.pop()
-            if deltas is None:
-                near = np.flatnonzero(left & (np.bitwise_count(values ^ values[i]) <= MAX_BITS))
-            else:
-                want = values[i] ^ deltas
-                at = np.minimum(np.searchsorted(values, want), len(values) - 1)
-                near = at[(values[at] == want) & left[at]]
+            want = values[i] ^ deltas
+            at = np.minimum(np.searchsorted(values, want), len(values) - 1)
+            near = at[(values[at] == want) & left[at]]
             left[near] = False
             out += [(int(values[i]), int(values[j])) for j in near]
             stack += near.tolist()
     return out
 
 
-def _lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Links of each list of a partition that is sorted by (c, key, fp); lists may span batches."""
+def tallied(group: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (places in ``values``) of all pairs within groups of neighbours, as a spanning forest of each group.
 
-    def links(part: pd.DataFrame) -> pd.DataFrame:
-        c, key, fp = (part[x].to_numpy() for x in ("c", "key", "fp"))
-        cut = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (key[1:] != key[:-1])])
-        size = np.diff(np.r_[cut, len(c)])
-        out = []
-        for at, m in zip(cut[size > 1].tolist(), size[size > 1].tolist()):
-            found = np.sort(fp[at : at + m].view(np.uint64))
-            out += forest(found, MASKS[c[at]] & (2**64 - 1))
-        pairs = np.array(out, np.uint64).reshape(-1, 2).view(np.int64)
-        return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
-
-    held: list[pd.DataFrame] = []
-    for part in batches:
-        if not len(part):
-            continue
-        last = part.iloc[-1]
-        tail = int(((part["c"] == last["c"]) & (part["key"] == last["key"])).sum())
-        if tail == len(part) and held and (held[0].iloc[0][["c", "key"]] == last[["c", "key"]]).all():
-            held.append(part)
-            continue
-        whole = pd.concat([*held, part.iloc[: len(part) - tail]])
-        if len(whole):
-            yield links(whole)
-        held = [part.iloc[len(part) - tail :]]
-    if held:
-        yield links(pd.concat(held))
-
-
-def links(prints: DataFrame) -> DataFrame:
+    A pair's shared positional bytes are counted; those with SHARED_BYTES or more are verified by their bits.
+    """
+    firsts, seconds = [], []
+    at = np.arange(len(values))
+    for step in range(1, len(values)):
+        at = at[at + step < len(values)]
+        at = at[group[at] == group[at + step]]
+        if not len(at):
+            break
+        differ = values[at] ^ values[at + step]
+        tally = (differ.view(np.uint8).reshape(-1, BYTES) == 0).sum(1)
+        kept = tally >= SHARED_BYTES
+        near = at[kept][np.bitwise_count(differ[kept]) <= MAX_BITS]
+        firsts.append(near)
+        seconds.append(near + step)
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for i, j in zip(np.concatenate(firsts or [at[:0]]).tolist(), np.concatenate(seconds or [at[:0]]).tolist()):
+        a, b = find(i), find(j)
+        if a != b:
+            root[b] = a
+            out.append((i, j))
+    pairs = np.array(out, np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
+
+
+_ROWS = "choice int, a long, b long"
+
+
+def _rows(choice, a, b) -> pd.DataFrame:
+    return pd.DataFrame({"choice": np.asarray(choice, np.int32), "a": a, "b": b})
+
+
+def _split(choice: int, values: np.ndarray) -> Iterator[pd.DataFrame]:
+    """The rows (choice, key, fingerprint) of a long list's members in the lists that take its place."""
+    for c in longer(choice):
+        yield _rows(np.full(len(values), c), values & np.int64(_signed(mask(c))), values)
+
+
+def _lists(list_max: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Links (choice 0, u, v) of the short lists of a partition sorted by (choice, key, fp), and the splits of long ones.
+
+        A list that is split is never held: its rows pass through.
+        """
+        held = [np.empty(0, np.int64)] * 3
+        passing: tuple[int, int] | None = None
+
+        def whole(choice, key, fp, start, size) -> Iterator[pd.DataFrame]:
+            long = size > list_max
+            for at, m in zip(start[long].tolist(), size[long].tolist()):
+                if int(choice[at]).bit_count() < SHARED_BYTES:
+                    yield from _split(int(choice[at]), fp[at : at + m])
+                else:
+                    found = np.array(forest(np.sort(fp[at : at + m].view(np.uint64)), mask(int(choice[at]))), np.uint64).reshape(-1, 2).view(np.int64)
+                    yield _rows(np.zeros(len(found)), found[:, 0], found[:, 1])
+            short = np.repeat(~long & (size > 1), size)
+            group, values = np.repeat(np.arange(len(size)), size)[short], fp[short]
+            i, j = tallied(group, values.view(np.uint64))
+            yield _rows(np.zeros(len(i)), values[i], values[j])
+
+        for part in batches:
+            now = [part[c].to_numpy(dtype=np.int64) for c in ("choice", "key", "fp")]
+            if passing:
+                more = (now[0] == passing[0]) & (now[1] == passing[1])
+                yield from _split(passing[0], now[2][more])
+                now = [x[~more] for x in now]
+            choice, key, fp = (np.concatenate(x) for x in zip(held, now))
+            if not len(fp):
+                continue
+            passing = None
+            start = np.flatnonzero(np.r_[True, (choice[1:] != choice[:-1]) | (key[1:] != key[:-1])])
+            size = np.diff(np.r_[start, len(fp)])
+            yield from whole(choice[: start[-1]], key[: start[-1]], fp[: start[-1]], start[:-1], size[:-1])
+            held = [x[start[-1] :] for x in (choice, key, fp)]
+            if size[-1] > list_max and int(held[0][0]).bit_count() < SHARED_BYTES:
+                passing = int(held[0][0]), int(held[1][0])
+                yield from _split(passing[0], held[2])
+                held = [x[:0] for x in held]
+        if len(held[2]):
+            yield from whole(*held, np.zeros(1, np.int64), np.array([len(held[2])]))
+
+    return run
+
+
+def links(prints: DataFrame, n: int, list_max: int = LIST_MAX) -> DataFrame:
     """Columns u, v: a spanning forest of all pairs of different fingerprints within three bits.
 
-    ``prints`` has one column fp (long) without repeats.
+    ``prints`` has one column fp (long) of ``n`` rows without repeats and nulls. ``list_max`` bounds
+    the pairs that a fingerprint meets in a list and what is held of it; all sizes give the same components.
     """
-    masks = F.array(*[F.lit(m).cast("long") for m in MASKS])
-    keys = prints.select("fp", F.posexplode(F.transform(masks, lambda m: m.bitwiseAND(F.col("fp")))).alias("c", "key"))
-    prints.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
-    keys = keys.repartition("c", "key").sortWithinPartitions("c", "key")
-    return keys.mapInPandas(_lists, "u long, v long").distinct()
+    k = first_choice(n)
+    masks = [F.struct(F.lit(c).alias("choice"), F.lit(_signed(mask(c))).cast("long").bitwiseAND(F.col("fp")).alias("key")) for c in choices(k)]
+    rows, found = prints.select("fp", F.explode(F.array(*masks)).alias("x")).select("x.choice", "x.key", "fp"), []
+    while True:
+        dealt = rows.repartition("choice", "key").sortWithinPartitions("choice", "key", "fp")
+        step = materialize(dealt.mapInPandas(_lists(list_max), _ROWS), "lists")
+        found.append(step.where("choice = 0").select(F.col("a").alias("u"), F.col("b").alias("v")))
+        rows = step.where("choice > 0").select("choice", F.col("a").alias("key"), F.col("b").alias("fp"))
+        k += 1
+        if k > SHARED_BYTES or rows.isEmpty():
+            break
+    out = found[0]
+    for x in found[1:]:
+        out = out.union(x)
+    return out.distinct()
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = 3) -> DataFrame:
@@ -163,34 +270,10 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", n:
     prints = with_fingerprint(docs.select(F.col(id).alias("id"), F.col(text).alias("t")), "t", "fp", n).drop("t")
     prints = materialize(prints, "prints")
     classes = materialize(prints.groupBy("fp").agg(F.min("id").alias("least")), "classes")
-    rooted = classes.join(_roots(classes), "fp")
+    edges = materialize(links(classes.select("fp"), classes.count()), "links")
+    roots = components(edges).withColumnRenamed("node", "fp")
+    drop_table(edges)
+    rooted = classes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
     of = rooted.join(least, "root").select("fp", "component")
     return prints.join(of, "fp").select(F.col("id").alias(id), "fp", "component")
-
-
-def _roots(classes: DataFrame) -> DataFrame:
-    """Columns fp, root for each fingerprint of ``classes``, a table without repeats of fp."""
-    edges = materialize(links(classes.select("fp")), "links")
-    roots = components(edges).withColumnRenamed("node", "fp")
-    return classes.select("fp").join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
-
-
-def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = 3) -> DataFrame:
-    """The rows of ``docs``, one for each component of :func:`near_duplicates`, with all their columns.
-
-    The row with the smallest id stays; a null id only where no other has one, and of rows with
-    one id the one with the smallest hash of its columns. Of rows that repeat in every column one stays.
-    """
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    prints = with_fingerprint(docs.select(F.col(id).alias("id"), F.col(text).alias("t"), row.alias("row")), "t", "fp", n).drop("t")
-    prints = materialize(prints, "prints")
-    classes = materialize(prints.select("fp").distinct(), "classes")
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
-    # groups are met by their fingerprints first, so that a large one is joined as few rows
-    of = prints.groupBy("fp").agg(first).join(_roots(classes), "fp").groupBy("root").agg(F.min("first").alias("first"))
-    stay = materialize(of.select(F.col("first.id").alias("__tessella_id"), F.col("first.row").alias("__tessella_row")), "stay")
-    same = docs[id].eqNullSafe(stay["__tessella_id"]) & (row == stay["__tessella_row"])
-    out = docs.join(stay, same, "left_semi")
-    times = prints.join(stay, prints["id"].eqNullSafe(stay["__tessella_id"]) & (prints["row"] == stay["__tessella_row"]), "left_semi").groupBy("id", "row").count()
-    return out if times.where("count > 1").isEmpty() else out.dropDuplicates()

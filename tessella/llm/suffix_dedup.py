@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialize, small_batches
+from .common import bound_batches, drop_table, materialize
 
 LENGTH, LEAD = 200, 32
 #: Contexts of one lead that are compared in one task; more are split.
@@ -326,11 +326,10 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
     if not 2 * LEAD <= length <= _A + 1:
         raise ValueError(f"length must be from {2 * LEAD} to {_A + 1}")
     spark = docs.sparkSession
-    small_batches(spark)
+    bound_batches(spark)
     t = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.select(F.col(id).alias("id"), t.cast("binary").alias("t"), F.xxhash64(t).alias("k1"), F.hash(t).alias("k2"))
     anchors = materialize(keyed.where(F.length("t") >= length).select("t", "k1", "k2").mapInArrow(_anchors(length), _ANCHORS), "anchors")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
     near = anchors.repartitionByRange("h", "c", "k1", "k2", "at").sortWithinPartitions("h", "c")
     marked = materialize(near.mapInArrow(_compare, _MARKED), "marked")
     drop_table(anchors)
@@ -347,7 +346,7 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
     # one of a text's copies gives its bytes; with the id in the key, copies are dealt apart
     which = (F.col("k1") == F.col("j1")) & (F.col("k2") == F.col("j2")) & F.col("id").eqNullSafe(F.col("who"))
     texts = keyed.join(wanted.hint("shuffle_hash"), which).select("t", "k1", "k2", "wanted")
-    small_batches(spark, 64)
+    bound_batches(spark)
     contexts = texts.mapInArrow(_contexts(length), _CONTEXTS).repartitionByRange("lead", "part").sortWithinPartitions("lead", "part")
     found = materialize(contexts.mapInArrow(_blocks(length), _FOUND), "found")
 

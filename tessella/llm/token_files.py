@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import worker_encoder
-from .common import new_path, small_batches
+from .common import bound_batches, new_path
 
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
@@ -49,7 +49,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int | None, id: str =
     """
     spark = docs.sparkSession
     path = path or new_path(spark, "tokens")
-    small_batches(spark)
+    bound_batches(spark)
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     by = ("doc_id", F.xxhash64("text"))
     rows = rows.repartitionByRange(partitions, *by) if partitions else rows.repartitionByRange(*by)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gbt
-from .common import materialize, small_batches
+from .common import bound_batches, materialize
 from .labelled import FOLDS, MAX_TRAIN_ROWS, training_rows
 
 THRESHOLD = 0.7
@@ -107,7 +107,7 @@ def _learn(counts: pd.DataFrame, totals: pd.DataFrame, without: int | None) -> d
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id: str = "doc_id", text: str = "text", max_rows: int = MAX_TRAIN_ROWS) -> Model:
     """Fit on at most ``max_rows`` labelled rows that are not held out. Without any, all scores are one constant."""
     spark = docs.sparkSession
-    small_batches(spark)
+    bound_batches(spark)
     rows = materialize(training_rows(docs, labels, label, id, text, max_rows), "train")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -161,7 +161,7 @@ def with_toxicity(df: DataFrame, model: Model, text: str = "text", out: str = "t
     Null texts score as empty ones. Other columns and repeated rows pass unchanged; equal texts
     have equal scores; a column named ``out`` is replaced. Nothing but the text enters a score.
     """
-    small_batches(df.sparkSession)
+    bound_batches(df.sparkSession)
     trees, entries = model.trees, model.entries
 
     @F.pandas_udf("double")

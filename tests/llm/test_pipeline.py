@@ -1,13 +1,21 @@
 import random
+import re
 
 import pytest
 
 import corpus_pipeline as cp
-from tessella.llm import bpe, decontaminate, pii, simhash, toxicity
+from tessella.llm import bpe, decontaminate, pii, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, tox double, pii string"
 
 
+def edited(text, r):
+    words = text.split()
+    for _ in range(r.randint(1, 3)):
+        words[r.randrange(len(words))] = "changed"
+    return " ".join(words)
+
+
 def documents(seed=2):
     r = random.Random(seed)
     vocabulary = ["".join(r.choices("aeioukrstn", k=r.randint(2, 6))) for _ in range(300)]
@@ -15,6 +23,7 @@ def documents(seed=2):
     items = [say(25) for _ in range(6)]
     texts = [say(r.randint(5, 120)) for _ in range(80)]
     texts += [f"{say(20)} you idiot moron loser you scum {say(10)} idiot you {k}" for k in range(30)]
+    texts += [edited(t, r) for t in texts[:40] if len(t.split()) > 60]
     texts += texts[:10] + [t.upper() for t in texts[10:14]] + [None, "", None]
     texts += [f"{say(30)} {i} {say(10)}" for i in items] + [f"{say(12)} mail a.b@c.org or 10.0.0.{k}" for k in range(9)]
     rows = [(i, t, "en", "s", len(t or ""), 1.0, "x") for i, t in enumerate(texts)]
@@ -22,6 +31,11 @@ def documents(seed=2):
     return rows, labels, list(enumerate(items))
 
 
+def five(text):
+    words = re.findall("[^\\x20\\x09-\\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     at = str(tmp_path_factory.mktemp("tables"))
@@ -43,9 +57,9 @@ def test_each_stage_against_plain_code(spark, folder):
     left = [x for x in rows if model.trees.score(np.array([toxicity.features(x[1] or "", lexicon)]))[0] < toxicity.THRESHOLD]
     assert 0 < len(left) < len(rows)
     groups = {}
-    prints = {x[0]: simhash.fingerprint(x[1]) for x in left}
+    grams = {x[0]: five(x[1]) for x in left}
     for x in left:  # closed under links
-        near = [k for k, v in groups.items() if any(bin(prints[x[0]] ^ prints[y]).count("1") <= 3 for y in v)]
+        near = [k for k, v in groups.items() if any(9 * len(grams[x[0]] & grams[y]) >= 4 * (len(grams[x[0]]) + len(grams[y])) for y in v)]
         groups[x[0]] = {x[0]}.union(*[groups.pop(k) for k in near])
     left = [x for x in left if x[0] in {min(v) for v in groups.values()}]
     tests = [np.array(decontaminate.make_block([t]).items[0]) for _, t in items]

@@ -67,31 +67,78 @@ def test_repeats_null_ids_and_empty_tables(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_long_lists_look_neighbours_up():
-    r = np.random.default_rng(1)
-    mask = simhash.MASKS[7] & (2**64 - 1)
-    free = [i for i in range(64) if not mask >> i & 1]
-    values = np.unique([sum(1 << free[b] for b in set(r.integers(0, 24, 5).tolist())) for _ in range(600)]).astype(np.uint64)
+def grouped(values, edges):
+    root = {int(v): int(v) for v in values}
 
-    def parts(edges):
-        root = {int(v): int(v) for v in values}
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        assert bin(a ^ b).count("1") <= 3 and find(a) != find(b)
+        root[find(b)] = find(a)
+    groups = {}
+    for v in root:
+        groups.setdefault(find(v), set()).add(v)
+    return {frozenset(g) for g in groups.values()}
 
-        def find(x):
-            while root[x] != x:
-                x = root[x]
-            return x
 
+def test_looking_up_and_tallying_give_one_forest():
+    r = np.random.default_rng(1)
+    bits = simhash.mask(0b11111)
+    free = [i for i in range(64) if not bits >> i & 1]
+    values = np.unique([sum(1 << free[b] for b in set(r.integers(0, 24, 5).tolist())) for _ in range(600)]).astype(np.uint64)
+    i, j = simhash.tallied(np.zeros(len(values), np.int64), values)
+    a = grouped(values, simhash.forest(values, bits))
+    assert a == grouped(values, [(int(values[x]), int(values[y])) for x, y in zip(i, j)]) and len(a) > 1
+
+
+def test_choices_reach_each_pair_that_shares_five_bytes():
+    for shared in itertools.combinations(range(8), 5):
+        at = [sum(1 << p for p in shared[:k]) for k in range(1, 6)]
+        for k, choice in enumerate(at, 1):
+            assert choice in simhash.choices(k)
+        assert all(b in simhash.longer(a) for a, b in zip(at, at[1:]))
+    assert [simhash.first_choice(n) for n in (0, 4096, 4097, 1 << 20, 1 << 28, 1 << 40)] == [1, 1, 2, 2, 3, 5]
+
+
+def test_split_lists_lose_no_link(spark):
+    """Dense fingerprints, so that lists of one position are split again and again."""
+    r = np.random.default_rng(3)
+    base = r.integers(0, 1 << 62, 6).tolist()
+    values = sorted({b ^ sum(1 << int(x) for x in set(r.integers(0, 64, r.integers(0, 4)))) for b in base for _ in range(150)})
+    values = [simhash._signed(v) for v in values]
+    df = spark.createDataFrame([(v,) for v in values], "fp long")
+    want = set(map(frozenset, grouped([v % (1 << 64) for v in values], forest_of([v % (1 << 64) for v in values]))))
+    for n, most in ((len(values), 256), (len(values), 3), (1, 2), (1 << 40, 5)):
+        edges = [(x.u % (1 << 64), x.v % (1 << 64)) for x in simhash.links(df, n, most).collect()]
+        got = {}
+        for v in values:
+            got[v % (1 << 64)] = {v % (1 << 64)}
         for a, b in edges:
             assert bin(a ^ b).count("1") <= 3
+            both = got[a] | got[b]
+            for x in both:
+                got[x] = both
+        assert set(map(frozenset, got.values())) == want, (n, most)
+
+
+def forest_of(values):
+    """Links of a spanning forest by comparing all pairs."""
+    root = {v: v for v in values}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    out = []
+    for a, b in itertools.combinations(values, 2):
+        if bin(a ^ b).count("1") <= 3 and find(a) != find(b):
             root[find(b)] = find(a)
-        groups = {}
-        for v in root:
-            groups.setdefault(find(v), set()).add(v)
-        return {frozenset(g) for g in groups.values()}
-
-    a = parts(simhash.forest(values, mask, 1))
-    b = parts(simhash.forest(values, mask, 10**9))
-    assert a == b
+            out.append((a, b))
+    return out
 
 
 def test_components_of_a_chain_and_a_hub(spark):
