@@ -1,10 +1,12 @@
-"""The Arrow functions: NFKD without marks, Ratcliff-Obershelp similarity, n-gram loops, monotone alignment, tails."""
+"""The Arrow functions: NFKD without marks, Ratcliff-Obershelp similarity, n-gram overlaps, n-gram loops, monotone alignment, tails."""
 
 from __future__ import annotations
 
 import difflib
 import math
 import unicodedata
+from collections import Counter
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -34,6 +36,54 @@ def _ratcliff(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
+#: Texts whose counts a worker keeps; pairs that follow each other often share one.
+_KEPT = 32
+
+
+@lru_cache(_KEPT)
+def _profile(items: str | tuple[str, ...], n: int) -> Counter:
+    """How often each run of n characters, or of n items, is met."""
+    if n == 1:
+        return Counter(items)
+    if isinstance(items, str):
+        return Counter([items[i : i + n] for i in range(len(items) - n + 1)])
+    return Counter(zip(*(items[i:] for i in range(n))))
+
+
+_OVERLAPS = "array<struct<kind:string,n:int,common:long,in_a:long,in_b:long>>"
+
+
+def _common(kind: str, a, b, orders: tuple[int, ...]) -> list[tuple]:
+    out = []
+    for n in orders:
+        x, y = _profile(a, n), _profile(b, n)
+        out.append((kind, n, sum(min(x[g], y[g]) for g in x.keys() & y.keys()), max(0, len(a) - n + 1), max(0, len(b) - n + 1)))
+    return out
+
+
+def text_overlaps(a: Column, b: Column, chars: tuple[int, ...] = (), words: tuple[int, ...] = ()) -> Column:
+    """Clipped common n-grams and totals of two texts, for each order of characters ("char") and of words ("word"); NULL is empty."""
+
+    def of(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b):
+            x, y = x or "", y or ""
+            both = _common("char", x, y, chars)
+            out.append(both + _common("word", tuple(x.split()), tuple(y.split()), words) if words else both)
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(of, _OVERLAPS)(a, b)
+
+
+def item_overlaps(a: Column, b: Column, orders: tuple[int, ...], kind: str = "word") -> Column:
+    """The same for two arrays of strings."""
+
+    def of(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([_common(kind, tuple(x) if x is not None else (), tuple(y) if y is not None else (), orders) for x, y in zip(a, b)], dtype=object)
+
+    return F.pandas_udf(of, _OVERLAPS)(a, b)
+
+
 def unlooped(words: list[str], least: int = 3, most: int = 8) -> list[str]:
     """Words without immediate repeats of a chunk of ``most`` down to ``least`` words, left to right."""
     for n in range(most, least - 1, -1):

@@ -165,16 +165,17 @@ def capped(text: Column, most: Column) -> Column:
     """Whole words while their lengths, a blank each, stay within ``most``; the first always stays. Shorter texts are not touched."""
 
     def cut(t: Column) -> Column:
-        start = F.struct(F.lit(0).alias("size"), F.lit(False).alias("full"), F.array().cast("array<string>").alias("kept"))
+        # how many words stay: sizes are added up in one pass, and words are taken by one slice
+        zero = F.struct(F.lit(0).alias("size"), F.lit(0).alias("n"), F.lit(False).alias("full"))
 
         def step(acc: Column, w: Column) -> Column:
             size = acc["size"] + F.length(w) + 1
             full = acc["full"] | ((size > most) & (acc["size"] > 0))
-            return F.struct(F.when(full, acc["size"]).otherwise(size).alias("size"), full.alias("full"), F.when(full, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(w))).alias("kept"))
+            return F.struct(size.alias("size"), (acc["n"] + F.when(full, 0).otherwise(1)).alias("n"), full.alias("full"))
 
-        return F.when(F.length(t) <= most, t).otherwise(F.aggregate(tokens(t), start, step, lambda acc: F.array_join(acc["kept"], " ")))
+        return let(tokens(t), lambda words: F.array_join(F.slice(words, 1, F.aggregate(words, zero, step, lambda acc: acc["n"])), " "))
 
-    return let(text, cut)
+    return let(text, lambda t: F.when(F.length(t) <= most, t).otherwise(cut(t)))
 
 
 def cap_length(text: Column, source: Column, share: float | Column = 0.5, plus: int | Column = 30, least: int | None = 100) -> Column:
@@ -206,13 +207,9 @@ def without_template(text: Column) -> Column:
     pattern = "(?U)" + sub_pattern(T.SOURCE_WORDS)
 
     def before(x: Column) -> Column:
-        start = F.struct(F.lit(False).alias("met"), F.array().cast("array<string>").alias("kept"))
-
-        def step(acc: Column, sentence: Column) -> Column:
-            met = acc["met"] | sentence.rlike(pattern)
-            return F.struct(met.alias("met"), F.when(met, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(sentence))).alias("kept"))
-
-        kept = F.aggregate(F.split(x, r"\.", -1), start, step, lambda acc: acc["kept"])
+        sentences = F.split(x, r"\.", -1)
+        met = F.array_position(F.transform(sentences, lambda s: s.rlike(pattern)), True)
+        kept = F.when(met > 0, F.slice(sentences, 1, met.cast("int") - 1)).otherwise(sentences)
         joined = let(F.array_join(kept, ". "), lambda j: F.when(j.endswith("."), j).otherwise(F.concat(j, F.lit("."))))
         return F.when(x.rlike(pattern) & (F.size(kept) > 0), joined).otherwise(x)
 

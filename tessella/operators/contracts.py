@@ -34,6 +34,12 @@ def schema_rows(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([(i, n, t) for i, (n, t) in enumerate(df.dtypes)], "position int, name string, type string")
 
 
+def inspect(df: DataFrame, *order: str, rows: int = 5) -> dict:
+    """What a table looks like: its number of rows and columns, names, types and first rows."""
+    names, kinds = zip(*df.dtypes) if df.dtypes else ((), ())
+    return {"shape": (df.count(), len(names)), "columns": list(names), "types": list(kinds), "first": [x.asDict() for x in df.orderBy(*order).limit(rows).collect()]}
+
+
 def profile(df: DataFrame, texts: list[str]) -> DataFrame:
     """A row for each text column: rows, nulls, mean, least and largest length."""
     stats = [F.struct(F.lit(c).alias("name"), F.count("*").alias("n_rows"), F.count_if(F.col(c).isNull()).alias("nulls"), F.avg(F.length(c)).alias("mean_length"), F.min(F.length(c)).alias("min_length"), F.max(F.length(c)).alias("max_length")) for c in texts]

@@ -70,6 +70,13 @@ def sentence_pairs(docs: DataFrame, src: str = "src", tgt: str = "tgt") -> DataF
     return out.where("src <> '' and tgt <> ''").distinct()
 
 
+def zip_strict(a: Column, b: Column) -> Column:
+    """Structs (a, b) of two arrays by place; arrays of different sizes raise an error when they are met."""
+    sizes = F.concat(F.lit("arrays of "), F.size(a).cast("string"), F.lit(" and "), F.size(b).cast("string"))
+    pairs = F.zip_with(a, b, lambda x, y: F.struct(x.alias("a"), y.alias("b")))
+    return F.when(F.size(a) == F.size(b), pairs).otherwise(F.raise_error(sizes))
+
+
 def turn_pairs(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Each user turn with the assistant turn right after it: conv, turn, src, tgt."""
     w = W.partitionBy(conv).orderBy(turn)
@@ -77,6 +84,34 @@ def turn_pairs(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     return both.where("r = 'user' and r2 = 'assistant'").select(conv, turn, "src", "tgt")
 
 
+# ---- filters, limits, batches ----
+
+
+def longer_than(rows: DataFrame, text: str, least: int) -> DataFrame:
+    """Rows of at least so many words."""
+    return rows.where(F.size(tokens(text_of(F.col(text)))) >= least)
+
+
+def first_rows(rows: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first ``n`` rows in an order that the data gives; each task sends n rows at most."""
+    return rows.orderBy(*order).limit(n)
+
+
+def batched(rows: DataFrame, size: int, id: str, seed: int | None = None) -> DataFrame:
+    """``rows`` with batch and place, both from 0: batches of ``size`` rows in the order of ``id``, or of a hash of id and seed.
+
+    Rows are dealt to sorted ranges and numbered by the sizes of the ranges before, so no task sees all of them.
+    """
+    order = F.col(id) if seed is None else F.md5(F.concat_ws(":", F.col(id).cast("string"), F.lit(str(seed))))
+    dealt = rows.withColumn("__o", order).repartitionByRange("__o").sortWithinPartitions("__o", id).withColumn("__i", F.monotonically_increasing_id()).persist()
+    part = F.shiftright("__i", 33)
+    sizes = dealt.groupBy(part.alias("__p")).agg(F.count("*").alias("__n"))
+    before = sizes.select("__p", (F.sum("__n").over(W.orderBy("__p")) - F.col("__n")).alias("__b"))  # one row a partition
+    number = F.col("__b") + F.col("__i").bitwiseAND((1 << 33) - 1)
+    numbered = dealt.join(F.broadcast(before), part == F.col("__p"))
+    return numbered.select(*rows.columns, F.floor(number / size).cast("long").alias("batch"), (number % size).cast("long").alias("place"))
+
+
 # ---- duplicates, unions, splits ----
 
 
@@ -101,17 +136,21 @@ def overlap_size(a: DataFrame, b: DataFrame, key_a: str, key_b: str) -> DataFram
 
 
 def hash_split(rows: DataFrame, id: str, share: float, seed: int = 42) -> DataFrame:
-    """``rows`` with is_val: exactly ceil(n * share) rows, those with the largest hashes of id and seed.
+    """``rows`` with is_val: exactly ceil(n * share) rows, those with the largest MD5 of "id:seed"; of equal ones the smaller id.
 
-    The border is found by counting hashes in 4096 ranges first, so no task orders all rows.
+    Hashes are counted by their first four digits; only the rows of the group that the border runs
+    through, one in 65,536, are put in order.
     """
-    hashed = rows.withColumn("__h", F.xxhash64(F.col(id), F.lit(seed))).withColumn("__b", F.shiftright("__h", 52))
+    hashed = rows.withColumn("__h", F.md5(F.concat_ws(":", F.col(id).cast("string"), F.lit(str(seed))))).withColumn("__b", F.substring("__h", 1, 4))
     sizes = hashed.groupBy("__b").agg(F.count("*").alias("n"))
-    above = sizes.select(F.col("__b").alias("b"), (F.sum("n").over(W.orderBy(F.desc("__b"))) - F.col("n")).alias("above"))  # 4096 rows at most
-    total = rows.agg(F.ceil(F.count("*") * F.lit(share)).alias("want"))
+    upto = F.sum("n").over(W.orderBy(F.desc("__b")))  # 65,536 rows at most
+    want = F.ceil(F.sum("n").over(W.partitionBy()) * F.lit(share))
+    groups = sizes.select(F.col("__b").alias("b"), (upto <= want).alias("all"), (want - upto + F.col("n")).alias("room"))
+    dealt = hashed.join(F.broadcast(groups), F.col("__b") == F.col("b"))
+    border = ~F.col("all") & (F.col("room") > 0)
     rank = F.row_number().over(W.partitionBy("__b").orderBy(F.desc("__h"), id))
-    numbered = hashed.withColumn("__r", rank).join(F.broadcast(above), F.col("__b") == F.col("b")).crossJoin(F.broadcast(total))
-    return numbered.withColumn("is_val", F.col("above") + F.col("__r") <= F.col("want")).select(*rows.columns, "is_val")
+    sure = dealt.where(~border).select(*rows.columns, F.col("all").alias("is_val"))
+    return sure.union(dealt.where(border).withColumn("__r", rank).select(*rows.columns, (F.col("__r") <= F.col("room")).alias("is_val")))
 
 
 # ---- memories and lexicons ----
@@ -155,20 +194,15 @@ def restore_names(text: Column, names: dict[str, str]) -> Column:
     return F.when(text.isNull() | (text == ""), text).otherwise(F.array_join(F.transform(tokens(text), one), " "))
 
 
-def token_f1_ready(text: Column) -> Column:
-    return F.array_distinct(tokens(F.lower(text_of(text))))
-
-
 # ---- label ids ----
 
 
 def byte_ids(text: Column, most: int | None = None, pad_to: int | None = None) -> Column:
     """UTF-8 bytes plus 3 and the end id 1, cut to ``most`` and filled with 0 up to ``pad_to``."""
-    hexed = F.hex(F.encode(text_of(text), "utf-8"))
-    n = (F.length(hexed) / 2).cast("int")
-    each = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.conv(F.substring(hexed, 2 * i + 1, F.lit(2)), 16, 10).cast("int") + 3)).otherwise(F.array().cast("array<int>"))
-    ids = each if most is None else F.slice(each, 1, most - 1)
-    ids = F.concat(ids, F.array(F.lit(1)))
+    raw = F.decode(F.encode(text_of(text), "utf-8"), "iso-8859-1")  # a character for each byte
+    raw = raw if most is None else F.substring(raw, 1, most - 1)
+    each = F.when(raw == "", F.array().cast("array<int>")).otherwise(F.transform(F.split(raw, ""), lambda c: F.ascii(c) + 3))
+    ids = F.concat(each, F.array(F.lit(1)))
     return ids if pad_to is None else F.concat(ids, F.array_repeat(F.lit(0), F.greatest(F.lit(0), F.lit(pad_to) - F.size(ids))))
 
 

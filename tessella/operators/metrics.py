@@ -7,9 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrow import ratcliff
-from ..functions.dialect import sub, tokens
-from .ngrams import characters, named, overlaps, windows
+from ..functions.arrow import item_overlaps, ratcliff, text_overlaps
+from ..functions.dialect import let, strip, sub, text_of, tokens
 
 CHARS, WORDS, ORDERS = (1, 2, 3, 4, 5, 6), (1, 2), (1, 2, 3, 4)
 
@@ -30,8 +29,8 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def round_trip_similarity(a: Column, b: Column) -> Column:
-    """Ratcliff-Obershelp similarity with case, without marks in angle brackets."""
-    bare = lambda c: sub(c, (r"<[^>]+>", ""))
+    """Ratcliff-Obershelp similarity with case, without marks in angle brackets and white space at the ends."""
+    bare = lambda c: strip(sub(c, (r"<[^>]+>", "")))
     return ratcliff(bare(a), bare(b))
 
 
@@ -39,6 +38,17 @@ def combined_similarity(a: Column, b: Column) -> Column:
     return 0.7 * ratio(a, b) + 0.3 * token_f1(a, b)
 
 
+def round_trip(original: Column, back: Column, valid_from: float = 0.3) -> Column:
+    """A struct for a text and what came back: score, roundtrip_text, lev_similarity, f1_similarity, is_valid."""
+    x, y = text_of(original), text_of(back)
+
+    def record(parts: Column) -> Column:
+        score = 0.7 * parts["lev"] + 0.3 * parts["f1"]
+        return F.struct(score.alias("score"), y.alias("roundtrip_text"), parts["lev"].alias("lev_similarity"), parts["f1"].alias("f1_similarity"), (score >= valid_from).alias("is_valid"))
+
+    return let(F.struct(round_trip_similarity(x, y).alias("lev"), token_f1(x, y).alias("f1")), record)
+
+
 def confidence(score: Column) -> Column:
     return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.exp(score))), F.lit(0.5))
 
@@ -64,59 +74,62 @@ def _f(p: Column, r: Column, beta: float = 2.0) -> Column:
     return F.when(p + r > 0, (1 + beta**2) * p * r / (beta**2 * p + r)).otherwise(0.0)
 
 
-def _scored(pairs: DataFrame, a: str, b: str, keys: tuple[str, ...], aggregates: dict[str, Column], chars=(), words=()) -> DataFrame:
-    counted = overlaps(pairs, a, b, keys, chars, words).groupBy(*keys).agg(*[v.alias(k) for k, v in aggregates.items()])
-    if len(keys) == 1:
-        k = keys[0]
-        return pairs.join(counted.withColumnRenamed(k, "__key"), pairs[k].eqNullSafe(F.col("__key")), "left").drop("__key")
-    return pairs.join(counted, list(keys), "left")
+def _share(common: Column, of: Column) -> Column:
+    return F.coalesce(common / F.nullif(of, F.lit(0)), F.lit(0.0))
 
 
-def with_chrf(pairs: DataFrame, a: str, b: str, keys: tuple[str, ...], out: str = "chrf") -> DataFrame:
+def _total(overlaps: Column, value: Callable[[Column], Column]) -> Column:
+    return F.aggregate(overlaps, F.lit(0.0), lambda acc, o: acc + value(o))
+
+
+def chrf(a: Column, b: Column) -> Column:
     """chrF++ from 0 to 100: the mean of the F scores of six character and two word orders; an order that a text lacks counts 0."""
-    p, r = F.col("common") / F.nullif("in_a", F.lit(0)), F.col("common") / F.nullif("in_b", F.lit(0))
-    mean = F.sum(_f(F.coalesce(p, F.lit(0.0)), F.coalesce(r, F.lit(0.0)))) / (len(CHARS) + len(WORDS)) * 100
-    one = F.when((F.col(a) == "") & (F.col(b) == ""), 100.0).when((F.col(a) == "") | (F.col(b) == ""), 0.0)
-    return _scored(pairs, a, b, keys, {"__f": mean}, CHARS, WORDS).withColumn(out, one.otherwise(F.coalesce("__f", F.lit(0.0)))).drop("__f")
+    x, y = text_of(a), text_of(b)
+    f = lambda o: _f(_share(o["common"], o["in_a"]), _share(o["common"], o["in_b"]))
+    mean = _total(text_overlaps(x, y, CHARS, WORDS), f) / (len(CHARS) + len(WORDS)) * 100
+    return F.when((x == "") & (y == ""), 100.0).when((x == "") | (y == ""), 0.0).otherwise(mean)
 
 
-def with_mean_chrf(pairs: DataFrame, a: str, b: str, keys: tuple[str, ...], out: str = "chrf") -> DataFrame:
+def mean_chrf(a: Column, b: Column) -> Column:
     """chrF++ from 0 to 1: the F score of the mean precision and mean recall over the eight orders."""
-    n = len(CHARS) + len(WORDS)
-    p = F.sum(F.coalesce(F.col("common") / F.nullif("in_a", F.lit(0)), F.lit(0.0))) / n
-    r = F.sum(F.coalesce(F.col("common") / F.nullif("in_b", F.lit(0)), F.lit(0.0))) / n
-    scored = _scored(pairs, a, b, keys, {"__p": p, "__r": r}, CHARS, WORDS)
-    value = F.when((F.col(a) == "") | (F.col(b) == ""), 0.0).otherwise(F.coalesce(_f(F.col("__p"), F.col("__r")), F.lit(0.0)))
-    return scored.withColumn(out, value).drop("__p", "__r")
+    n, x, y = len(CHARS) + len(WORDS), text_of(a), text_of(b)
+
+    def value(overlaps: Column) -> Column:
+        means = F.struct((_total(overlaps, lambda o: _share(o["common"], o["in_a"])) / n).alias("p"), (_total(overlaps, lambda o: _share(o["common"], o["in_b"])) / n).alias("r"))
+        return let(means, lambda m: _f(m["p"], m["r"]))
 
+    return F.when((x == "") | (y == ""), 0.0).otherwise(let(text_overlaps(x, y, CHARS, WORDS), value))
 
-def with_bleu(pairs: DataFrame, a: str, b: str, keys: tuple[str, ...], out: str = "bleu") -> DataFrame:
+
+def bleu(a: Column, b: Column) -> Column:
     """BLEU from 0 to 100 of ``a`` against ``b`` with one added to every count, so an order that ``a`` lacks has precision 1."""
-    x, y = F.size(tokens(F.col(a))), F.size(tokens(F.col(b)))
-    logs = F.sum(F.log((F.col("common") + 1) / (F.col("in_a") + 1))) / len(ORDERS)
-    scored = _scored(pairs, a, b, keys, {"__log": logs}, words=ORDERS)
-    brevity = F.least(F.lit(1.0), F.exp(1.0 - y / F.greatest(x, F.lit(1))))
-    return scored.withColumn(out, F.when((x == 0) | (y == 0), 0.0).otherwise(brevity * F.exp("__log") * 100)).drop("__log")
+    x, y = text_of(a), text_of(b)
+
+    def value(overlaps: Column) -> Column:
+        n, m = F.element_at(overlaps, 1)["in_a"], F.element_at(overlaps, 1)["in_b"]
+        logs = _total(overlaps, lambda o: F.log((o["common"] + 1) / (o["in_a"] + 1))) / len(ORDERS)
+        brevity = F.least(F.lit(1.0), F.exp(1.0 - m / F.greatest(n, F.lit(1))))
+        return F.when((n == 0) | (m == 0), 0.0).otherwise(brevity * F.exp(logs) * 100)
+
+    return let(text_overlaps(x, y, (), ORDERS), value)
 
 
-def with_geo_mean(pairs: DataFrame, a: str, b: str, keys: tuple[str, ...], out: str = "geo_mean") -> DataFrame:
-    both = with_chrf(with_bleu(pairs, a, b, keys, "__bleu"), a, b, keys, "__chrf")
-    return both.withColumn(out, geo_mean(F.col("__bleu"), F.col("__chrf"))).drop("__bleu", "__chrf")
+def bleu_chrf(a: Column, b: Column) -> Column:
+    return geo_mean(bleu(a, b), chrf(a, b))
 
 
-Utility = Callable[[DataFrame, str, str, tuple[str, ...], str], DataFrame]
-UTILITIES: dict[str, Utility] = {"chrf": with_chrf, "bleu": with_bleu, "geo_mean": with_geo_mean}
+#: A utility is a function of two text columns.
+Utility = Callable[[Column, Column], Column]
+UTILITIES: dict[str, Utility] = {"chrf": chrf, "bleu": bleu, "geo_mean": bleu_chrf}
 
 
-def utility(name: str | Utility | Callable[[Column, Column], Column]) -> Utility:
-    """A utility by name; a function of two columns, a UDF among them, serves too. Others raise ValueError."""
-    if isinstance(name, str):
-        if name not in UTILITIES:
-            raise ValueError(f"no utility {name}; there are {', '.join(UTILITIES)}")
-        return UTILITIES[name]
-    if name in UTILITIES.values():
+def utility(name: str | Utility) -> Utility:
+    """A utility by name; a function of two columns, a UDF among them, serves as it is. Other names raise ValueError."""
+    if not isinstance(name, str):
         return name
-    return lambda pairs, a, b, keys, out: pairs.withColumn(out, name(F.col(a), F.col(b)))
+    if name not in UTILITIES:
+        raise ValueError(f"no utility {name}; there are {', '.join(UTILITIES)}")
+    return UTILITIES[name]
 
 
 # ---- corpora ----
@@ -145,25 +158,21 @@ def chrf_words(text: Column) -> Column:
     return F.flatten(F.transform(tokens(text), part))
 
 
-def corpus_scores(rows: DataFrame, hypothesis: str, reference: str, id: str, by: tuple[str, ...] = ()) -> DataFrame:
+def corpus_scores(rows: DataFrame, hypothesis: str, reference: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Columns ``by``, n, bleu, chrf, geo_mean of all rows, or of each group; from 0 to 100, rounded to four places.
 
     BLEU: 13a tokens, orders 1 to 4, counts summed over the corpus, orders without a match halved
     ever more (exponential smoothing), brevity penalty. chrF++: characters without blanks, words
     with their marks apart, beta 2, means of precision and recall over the orders that both sides
-    have. NULL texts are empty. ``id`` tells rows of a group apart.
+    have. NULL texts are empty.
     """
-    keys = (*by, id)
-    clean = rows.select(*keys, F.coalesce(hypothesis, F.lit("")).alias("h"), F.coalesce(reference, F.lit("")).alias("r"))
+    clean = rows.select(*by, F.coalesce(hypothesis, F.lit("")).alias("h"), F.coalesce(reference, F.lit("")).alias("r"))
 
-    def grams(text: str, a: int, b: int) -> DataFrame:
-        t = clean.select(*keys, bleu_tokens(F.col(text)).alias("b"), chrf_words(F.col(text)).alias("w"), characters(F.regexp_replace(text, r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x1c-\x1f]+", "")).alias("c"))
-        kinds = [("b", n, windows(F.col("b"), n, "\x01")) for n in ORDERS] + [("w", n, windows(F.col("w"), n, "\x01")) for n in WORDS] + [("c", n, windows(F.col("c"), n, "")) for n in CHARS]
-        every = F.concat(*[named(k, n, g) for k, n, g in kinds])
-        return t.select(*keys, F.explode(every).alias("g")).select(*keys, "g.*", F.lit(a).alias("ih"), F.lit(b).alias("ir"))
-
-    counts = grams("h", 1, 0).union(grams("r", 0, 1)).groupBy(*keys, "kind", "n", "gram").agg(F.sum("ih").alias("ih"), F.sum("ir").alias("ir"))
-    each = counts.groupBy(*keys, "kind", "n").agg(F.sum(F.least("ih", "ir")).alias("m"), F.sum("ih").alias("h"), F.sum("ir").alias("r"))
+    bare = lambda c: F.regexp_replace(c, r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x1c-\x1f]+", "")
+    sides = clean.select(*by, *[f(F.col(c)).alias(f"{k}{c}") for c in ("h", "r") for k, f in (("b", bleu_tokens), ("w", chrf_words), ("c", bare))])
+    # counts of a row stay in the row; only their sums are shuffled
+    counts = F.concat(item_overlaps(F.col("bh"), F.col("br"), ORDERS, "b"), item_overlaps(F.col("wh"), F.col("wr"), WORDS, "w"), text_overlaps(F.col("ch"), F.col("cr"), CHARS))
+    each = sides.select(*by, F.explode(counts).alias("o")).select(*by, F.left("o.kind", F.lit(1)).alias("kind"), "o.n", F.col("o.common").alias("m"), F.col("o.in_a").alias("h"), F.col("o.in_b").alias("r"))
     # in chrF a hypothesis counts only where its reference has the order
     counted = F.when((F.col("kind") == "b") | (F.col("r") > 0), F.col("h")).otherwise(0)
     total = each.groupBy(*by, "kind", "n").agg(F.sum("m").alias("m"), F.sum(counted).alias("h"), F.sum("r").alias("r"))
@@ -188,3 +197,24 @@ def corpus_scores(rows: DataFrame, hypothesis: str, reference: str, id: str, by:
     scored = joined.select(*by, "n", F.coalesce(bleu, F.lit(0.0)).alias("bleu"), mean("h").alias("p"), mean("r").alias("q"))
     scored = scored.select(*by, "n", "bleu", (100 * F.coalesce(_f(F.col("p"), F.col("q")), F.lit(0.0))).alias("chrf"))
     return scored.select(*by, "n", F.bround("bleu", 4).alias("bleu"), F.bround("chrf", 4).alias("chrf"), F.bround(F.sqrt(F.col("bleu") * F.col("chrf")), 4).alias("geo_mean"))
+
+
+def evaluate(predictions: DataFrame, references: DataFrame, id: str = "id", text: str = "text") -> DataFrame:
+    """Corpus scores of two tables by id; empty tables, and tables whose ids are not the same, raise ValueError."""
+    sizes = predictions.select(F.col(id).alias("k"), F.lit(1).alias("p"), F.lit(0).alias("r")).union(references.select(F.col(id).alias("k"), F.lit(0).alias("p"), F.lit(1).alias("r")))
+    sizes = sizes.groupBy("k").agg(F.sum("p").alias("p"), F.sum("r").alias("r"))
+    p, r, apart = sizes.agg(F.sum("p"), F.sum("r"), F.count_if((F.col("p") != 1) | (F.col("r") != 1))).first()
+    for name, n in (("predictions", p), ("references", r)):
+        if not n:
+            raise ValueError(f"no {name}")
+    if p != r or apart:
+        raise ValueError(f"{p} predictions against {r} references; {apart} ids are not in both once")
+    a = predictions.select(F.col(id).alias("k"), F.col(text).alias("prediction"))
+    b = references.select(F.col(id).alias("j"), F.col(text).alias("reference"))
+    return corpus_scores(a.join(b, F.col("k").eqNullSafe(F.col("j"))), "prediction", "reference")
+
+
+def training_scores(rows: DataFrame, prediction: Column, label: Column, clean: Callable[[Column], Column]) -> DataFrame:
+    """Columns bleu, chrf of cleaned predictions and labels, a full stop for blank ones."""
+    side = lambda c: let(clean(text_of(c)), lambda t: F.when(strip(t) == "", F.lit(".")).otherwise(t))
+    return corpus_scores(rows.select(side(prediction).alias("p"), side(label).alias("l")), "p", "l").select("bleu", "chrf")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrow import text_overlaps
 from ..functions.dialect import let, tokens
 
 _NONE = "array<string>"
@@ -43,9 +44,8 @@ def gram_rows(rows: DataFrame, text: str, chars: tuple[int, ...] = (), words: tu
 def overlaps(pairs: DataFrame, a: str, b: str, keys: tuple[str, ...], chars: tuple[int, ...] = (), words: tuple[int, ...] = ()) -> DataFrame:
     """Columns ``keys``, kind, n, common, in_a, in_b: clipped common n-grams and totals of each pair.
 
-    Both sides are counted in one aggregation, so no join and one shuffle for all orders. An order
-    that neither text reaches has no row. Texts must not be NULL.
+    Both texts are in one row, so nothing is shuffled. An order that neither text reaches has no
+    row; NULL texts are empty.
     """
-    side = lambda c, v, w: gram_rows(pairs, c, chars, words, keys).select(*keys, "kind", "n", "gram", F.lit(v).alias("ia"), F.lit(w).alias("ib"))
-    counts = side(a, 1, 0).union(side(b, 0, 1)).groupBy(*keys, "kind", "n", "gram").agg(F.sum("ia").alias("ia"), F.sum("ib").alias("ib"))
-    return counts.groupBy(*keys, "kind", "n").agg(F.sum(F.least("ia", "ib")).alias("common"), F.sum("ia").alias("in_a"), F.sum("ib").alias("in_b"))
+    rows = pairs.select(*keys, F.explode(text_overlaps(F.col(a), F.col(b), chars, words)).alias("o"))
+    return rows.select(*keys, "o.*").where((F.col("in_a") > 0) | (F.col("in_b") > 0))

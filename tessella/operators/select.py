@@ -38,7 +38,7 @@ def mbr_scores(cands: DataFrame, utility="chrf", weight: str | None = None) -> D
     if weight:
         total = F.sum("weight").over(W.partitionBy("group"))
         unique = unique.withColumn("weight", F.when(total > 0, F.col("weight") / total).otherwise(1.0))
-    scored = M.utility(utility)(candidate_pairs(unique), "a", "b", ("group", "i", "j"), "u")
+    scored = candidate_pairs(unique).withColumn("u", M.utility(utility)(F.col("a"), F.col("b")))
     mean = F.when(F.sum("w") > 0, F.sum(F.col("w") * F.col("u")) / F.sum("w")).otherwise(0.0)
     of = scored.groupBy(F.col("group").alias("g"), F.col("i").alias("c")).agg(mean.alias("s"))
     joined = unique.join(of, F.col("group").eqNullSafe(F.col("g")) & (F.col("cand") == F.col("c")), "left")
@@ -55,6 +55,18 @@ def mbr_select(cands: DataFrame, utility="chrf", weight: str | None = None) -> D
     return best_of(mbr_scores(cands, utility, weight))
 
 
+def mbr_details(cands: DataFrame, utility="chrf", weight: str | None = None) -> DataFrame:
+    """Columns group, cand, text, score, n_candidates, n_unique, best: all rows, equal texts with one score; ``best`` marks the choice."""
+    scores = mbr_scores(cands, utility, weight)
+    chosen = best_of(scores).select(F.col("group").alias("g"), F.col("cand").alias("c"))
+    unique = scores.groupBy(F.col("group").alias("u")).agg(F.count("*").alias("n_unique"))
+    rows = cands.select("group", "cand", text_of(F.col("text")).alias("text")).withColumn("n_candidates", F.count("*").over(W.partitionBy("group")))
+    scored = scores.select(F.col("group").alias("sg"), F.col("text").alias("st"), "score")
+    out = rows.join(scored, F.col("group").eqNullSafe(F.col("sg")) & (F.col("text") == F.col("st")))
+    out = out.join(chosen, F.col("group").eqNullSafe(F.col("g"))).join(unique, F.col("group").eqNullSafe(F.col("u")))
+    return out.select("group", "cand", "text", "score", "n_candidates", "n_unique", (F.col("cand") == F.col("c")).alias("best"))
+
+
 def consensus_select(cands: DataFrame, refs: DataFrame | None = None, external: float = 0.3) -> DataFrame:
     """The candidate that agrees most with the others, and with outside references (group, ref_text, ref_weight) by a share of ``external``.
 
@@ -62,14 +74,14 @@ def consensus_select(cands: DataFrame, refs: DataFrame | None = None, external:
     one different text keep it. Agreement is the mean chrF++ of precision and recall.
     """
     unique = distinct_candidates(cands, stripped=True)
-    inner = M.with_mean_chrf(candidate_pairs(unique), "a", "b", ("group", "i", "j"), "u")
+    inner = candidate_pairs(unique).withColumn("u", M.mean_chrf(F.col("a"), F.col("b")))
     inner = inner.groupBy(F.col("group").alias("g"), F.col("i").alias("c")).agg(F.avg("u").alias("inner"))
     scored = unique.join(inner, F.col("group").eqNullSafe(F.col("g")) & (F.col("cand") == F.col("c")), "left").drop("g", "c")
     score = F.coalesce("inner", F.lit(0.0))
     if refs is not None:
-        numbered = refs.withColumn("k", F.monotonically_increasing_id()).select(F.col("group").alias("g"), "k", text_of(F.col("ref_text")).alias("b"), F.col("ref_weight").cast("double").alias("w"))
-        pairs = unique.join(numbered, F.col("group").eqNullSafe(F.col("g"))).select("group", "cand", "k", F.col("text").alias("a"), "b", "w")
-        outer = M.with_mean_chrf(pairs, "a", "b", ("group", "cand", "k"), "u").where(strip(F.col("b")) != "")
+        theirs = refs.select(F.col("group").alias("g"), text_of(F.col("ref_text")).alias("b"), F.col("ref_weight").cast("double").alias("w")).where(strip(F.col("b")) != "")
+        pairs = unique.join(theirs, F.col("group").eqNullSafe(F.col("g"))).select("group", "cand", F.col("text").alias("a"), "b", "w")
+        outer = pairs.withColumn("u", M.mean_chrf(F.col("a"), F.col("b")))
         outer = outer.groupBy(F.col("group").alias("g"), F.col("cand").alias("c")).agg(F.when(F.sum("w") > 0, F.sum(F.col("w") * F.col("u")) / F.sum("w")).otherwise(0.0).alias("outer"))
         scored = scored.join(outer, F.col("group").eqNullSafe(F.col("g")) & (F.col("cand") == F.col("c")), "left").drop("g", "c")
         groups = refs.select(F.col("group").alias("g"), F.lit(True).alias("has")).distinct()
@@ -160,7 +172,8 @@ def top_words(cands: DataFrame, k: int = 3, words: int = 5, score: str = "seq_sc
 
 def weighted_choice(cands: DataFrame, score: str = "score", seed: int = 42) -> DataFrame:
     """One candidate of each group, drawn with a chance in proportion to its score; a seed gives one draw for good."""
-    u = (F.pmod(F.xxhash64("group", "cand", F.lit(seed)), F.lit(1 << 52)) + 1) / float((1 << 52) + 1)
+    name = F.md5(F.concat_ws(":", F.col("group").cast("string"), F.col("cand").cast("string"), F.lit(str(seed))))
+    u = (F.conv(F.substring(name, 1, 12), 16, 10).cast("double") + 1) / float((1 << 48) + 1)
     rows = cands.where(F.col(score) > 0).withColumn("key", -F.log(u) / F.col(score))
     return rows.groupBy("group").agg(F.min(F.struct("key", "cand", "text")).alias("b")).select("group", "b.cand", "b.text")
 

@@ -145,7 +145,7 @@ def grid_best(scored: DataFrame, order: list[str], score: str = "geo_mean") -> D
 
 def pattern_report(patterns: DataFrame, baseline: str) -> DataFrame:
     """Corpus scores of each pattern (pattern, sample_id, prediction, reference) and how many predictions differ from the baseline's."""
-    scores = metrics.corpus_scores(patterns, "prediction", "reference", "sample_id", ("pattern",))
+    scores = metrics.corpus_scores(patterns, "prediction", "reference", ("pattern",))
     base = patterns.where(F.col("pattern") == baseline).select(F.col("sample_id").alias("s"), F.col("prediction").alias("b"))
     changed = patterns.join(base, F.col("sample_id") == F.col("s"), "left").groupBy(F.col("pattern").alias("p")).agg(F.count_if(~F.col("prediction").eqNullSafe(F.col("b"))).alias("changed"))
     return scores.join(changed, F.col("pattern") == F.col("p")).drop("p")

@@ -11,14 +11,17 @@ from .functions import tables as T
 from .functions.arrow import align_monotone, without_loops
 from .functions.dialect import S, collapse, collapse_sql, strip, strip_sql, sub_sql, text_of, tokens, tokens_sql
 from .operators import blend, contracts, corpus, metrics, ngrams, retrieve, select
+from .oracles import aligned_sql, corpus_scores_sql, loops_query, repeats_query
 from .plans import cascade
+from .sources import files, sinks
+from .sources.files import scratch, spread
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def query(sql: str | None = None):
@@ -91,9 +94,9 @@ def preprocess_sql(text: str) -> str:
 
 
 def cut_sql(text: str, least: int) -> str:
-    rfind = lambda c: f"case when contains(t, '{c}') then length(t) - instr(reverse(t), '{c}') else -1 end"
-    inner = f"select t, greatest({rfind('.')}, {rfind(',')}) as p from (select {text} as t)"
-    return f"(select case when length(t) >= {least} and p > length(t) * 0.5 then regexp_replace(substr(t, 1, p), '{S}+$', '') else t end from ({inner}))"
+    rfind = lambda c: f"case when contains(x, '{c}') then length(x) - instr(reverse(x), '{c}') else -1 end"
+    inner = f"select x, greatest({rfind('.')}, {rfind(',')}) as p from (select {text} as x)"
+    return f"(select case when length(x) >= {least} and p > length(x) * 0.5 then regexp_replace(substr(x, 1, p), '{S}+$', '') else x end from ({inner}))"
 
 
 def key_sql(text: str) -> str:
@@ -131,25 +134,112 @@ column_query("strip_big_gaps", lambda t: C.strip_big_gaps(C.normalize_gaps(t)),
 column_query("truncate_sentence", C.whole_sentences, cut_sql("text", 200))
 column_query("retrieval_key", C.retrieval_key, key_sql("text"))
 column_query("sanitize_ascii", C.to_ascii, f"regexp_replace(strip_accents(translate(text, {q(T.DIACRITICS)}, {q(T.DIACRITICS_ASCII)})), '[^\\x00-\\x7f]', ' ', 'g')")
-column_query("repeated_phrases", C.remove_repeats)
+
+
+def ascii_sql(text: str) -> str:
+    return f"regexp_replace(strip_accents(translate({text}, {q(T.DIACRITICS)}, {q(T.DIACRITICS_ASCII)})), '[^\\x00-\\x7f]', ' ', 'g')"
+
+
+def plain_sql(text: str) -> str:
+    return f"translate({text}, 'ḫḪ', 'hH')"
+
+
+def gaps_sql(text: str) -> str:
+    return sub_sql(lone_sql(sub_sql(text, (r"\[x\]|\(x\)", "<gap>"), flags="gi"), "[xX]", "<gap>"), *T.OUTPUT_GAP_RULES)
+
+
+def grammar_sql(text: str) -> str:
+    return sub_sql(text, (T.GRAMMAR, ""), flags="gi")
+
+
+def bracketed_sql(text: str, gap: str = "<gap>", big: str = "<big_gap>") -> str:
+    return guarded_sql(text, lambda t: sub_sql(t, (T.BRACKETED, "")), gap, big)
+
+
+def dashes_sql(text: str, again: bool) -> str:
+    t = f"regexp_replace({collapse_sql(text)}, '^-+|-+$', '', 'g')"
+    return strip_sql(t) if again else t
+
+
+def zero_sql(text: str) -> str:
+    return sub_sql(text, (r"(^|[^\w])0\s+([¼½¾⅓-⅞])", r"\1\2"))
+
+
+DOCS = "(select doc_id as id, text from documents)"
+#: What comes before repeats are taken out, and what comes after, of each pipeline.
+TARGET_HEAD = grammar_sql(gaps_sql(digits_sql(plain_sql("text"))))
+BEFORE_FULL = zero_sql(decimals_sql(replace_sql(special_sql(bracketed_sql(TARGET_HEAD)), T.FRACTIONS)))
+BEFORE_ASCII = replace_sql(special_sql(bracketed_sql(TARGET_HEAD)), T.FRACTIONS)
+LOW_DIGITS = f"translate({plain_sql('text')}, {q(T.SUBSCRIPTS)}, {q(T.DIGITS)})"
+BEFORE_FOUND = replace_sql(f"translate({bracketed_sql(LOW_DIGITS, '', '')}, {q(T.BAD_OUTPUT)}, '')", T.FRACTIONS)
+BEFORE_PLAIN = decimals_sql(special_sql(grammar_sql(gaps_sql(LOW_DIGITS))))
+
+
+def big_gaps_sql(text: str) -> str:
+    return collapse_sql(f"replace({text}, '<big_gap>', '')")
+
+
+AFTER_FULL = lambda t: dashes_sql(cut_sql(big_gaps_sql(t), 200), True)
+AFTER_ASCII = lambda t: collapse_sql(ascii_sql(dashes_sql(cut_sql(big_gaps_sql(t), 201), True)))
+AFTER_FOUND = lambda t: collapse_sql(ascii_sql(dashes_sql(t, True)))
+AFTER_PLAIN = lambda t: dashes_sql(t, False)
+
+
+def cleaned_sql(rel: str, before: str, after, loops: bool, empty: str = "") -> str:
+    """doc_id, result of a target pipeline for ``rel`` (id, text)."""
+    inner = repeats_query(rel, before, after, loops)
+    ctes, last = inner.rsplit("\nselect ", 1)
+    result = f"case when {collapse_sql('text')} = '' then {q(empty)} else {after('t')} end"
+    return f"{ctes}\nselect id as doc_id, {result} as result from fixed join {rel} using (id)"
+
+
+for _name, _rule, _before, _after, _loops, _empty in (
+    ("repeated_phrases", C.remove_repeats, "text", lambda t: t, True, None),
+    ("postprocess_pipeline", C.postprocess, BEFORE_FULL, AFTER_FULL, True, ""),
+    ("postprocess_ascii", C.postprocess_ascii, BEFORE_ASCII, AFTER_ASCII, True, ""),
+    ("postprocess_retrieved", C.postprocess_retrieved, BEFORE_FOUND, AFTER_FOUND, False, ""),
+    ("postprocess_plain", C.postprocess_plain, BEFORE_PLAIN, AFTER_PLAIN, False, "hnr"),
+):
+    column_query(_name, _rule)
+    ORACLES[_name] = repeats_query(DOCS, _before, _after, _loops) if _empty is None else cleaned_sql(DOCS, _before, _after, _loops, _empty)
+
 column_query("ngram_loops", without_loops)
-column_query("postprocess_pipeline", C.postprocess)
-column_query("postprocess_ascii", C.postprocess_ascii)
-column_query("postprocess_retrieved", C.postprocess_retrieved)
-column_query("postprocess_plain", C.postprocess_plain)
-column_query("template_cut", C.without_template)
-column_query("edited_answer", C.edited_answer)
+ORACLES["ngram_loops"] = loops_query(DOCS)
+column_query("word_loops", lambda t: C.remove_repeats(t, loops=False))
+ORACLES["word_loops"] = repeats_query(DOCS, "text", lambda t: t, False)
+
+
+def template_sql(text: str) -> str:
+    for marker in T.TEMPLATE_MARKERS:
+        text = f"(select case when contains(x, {q(marker)}) then {strip_sql(f'split_part(x, {q(marker)}, 1)')} else x end from (select {text} as x))"
+    words = r"(^|[^\p{L}\p{N}_])" + T.SOURCE_WORDS.removeprefix(r"\b")
+    kept = f"list_slice(p, 1, coalesce(list_position(list_transform(p, lambda s: regexp_matches(s, '{words}')), true), len(p) + 1) - 1)"
+    joined = "case when ends_with(j, '.') then j else j || '.' end"
+    cut = f"(select case when regexp_matches(x, '{words}') and len(k) > 0 then (select {joined} from (select array_to_string(k, '. ') as j)) else x end from (select x, {kept} as k from (select x, string_split(x, '.') as p from (select {text} as x))))"
+    return f"(select case when length(y) < 10 and length(text) > 50 then null else y end from (select {cut} as y))"
+
+
+def edited_sql(text: str) -> str:
+    for mark in ("Corrected:", "Translation:"):
+        text = f"(select case when contains(x, '{mark}') then {strip_sql(f'list_last(string_split(x, {q(mark)}))')} else x end from (select {text} as x))"
+    last = "length(regexp_extract(x, '^(.*[.!?])', 1, 's'))"
+    return f"(select case when substr(x, length(x), 1) in ('.', '!', '?') or {last} - 1 <= length(x) * 0.5 then x else substr(x, 1, {last}) end from (select {text} as x))"
+
+
+column_query("template_cut", C.without_template, template_sql("text"))
+column_query("edited_answer", C.edited_answer, edited_sql("text"))
+column_query("retrieval_key_superscripts", lambda t: C.retrieval_key(t, superscripts=True), key_sql("text").replace("[₀-₉⁰-⁹0-9]", "[₀-₉⁰-⁹0-9¹²³]"))
+column_query("default_text", lambda t: C.or_default(F.when(F.length(t) % 2 == 0, t)), "case when length(text) % 2 = 0 and " + collapse_sql("text") + " <> '' then text else 'broken text' end")
+column_query("final_cleanup", C.strip_dashes, dashes_sql("text", True))
+column_query("gap_marks_deleted", lambda t: F.replace(F.replace(C.normalize_gaps(t), F.lit("<big_gap>"), F.lit("")), F.lit("<gap>"), F.lit("")), f"replace(replace({sub_sql('text', *T.GAP_RULES)}, '<big_gap>', ''), '<gap>', '')")
+column_query("refine_prefix", lambda t: C.with_prefix(C.truncate(t, 100), T.REVERSE_PREFIX), f"{q(T.REVERSE_PREFIX)} || case when length(text) > 100 then substr(text, 1, 100) || ' <big_gap>' else text end")
 column_query("broken_text", C.is_broken, f"(select starts_with(x, '[...') or len(w) = 0 or (len(list_filter(w, lambda t: regexp_matches(t, '{T.BROKEN_TOKEN}'))) / nullif(len(w), 0) > 0.4 and len(w) < 20) from (select {strip_sql('text')} as x, {tokens_sql('text')} as w))")
 column_query("broken_text_adapter", C.is_broken_adapter, f"(select (starts_with(x, '[') and contains(substr(x, 1, 20), '...')) or (len(w) > 3 and len(list_filter(w, lambda t: t in ('x', 'xx', 'xxx', '<gap>', '<big_gap>', '...'))) / greatest(len(w), 1) > 0.4) from (select {strip_sql('text')} as x, {tokens_sql('text')} as w))")
 column_query("garbage_output", C.is_garbage, f"(select length(x) < 3 or (len(w) > 5 and len(list_distinct(w)) / greatest(len(w), 1) < 0.3) from (select {strip_sql('text')} as x, {tokens_sql('text')} as w))")
-column_query("source_words", lambda t: F.size(C.source_words(t)))
+column_query("source_words", lambda t: F.size(C.source_words(t)), f"len(list_filter(regexp_extract_all(regexp_replace(text, '<[\\p{{L}}\\p{{N}}_]+>', '', 'g'), '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '(?i){T.SOURCE_WORD[2:-2]}')))")
 column_query("numbers", lambda t: F.array_join(C.numbers(t), ","), r"array_to_string(regexp_extract_all(text, '\p{Nd}+'), ',')")
 
 
-def _entries(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return table(spark, sf_dir, name)
-
-
 def entries_sql(table_: dict[str, str]) -> str:
     return "(values " + ", ".join(f"({q(k)}, {q(v)})" for k, v in table_.items()) + ") e(word, value)"
 
@@ -364,23 +454,23 @@ def clipped_overlap(spark, sf_dir):
 
 @query(f"select conv_id, turn, round(chrf, 6) as chrf from {chrf_sql(PAIRS, 'src', 'tgt', 'conv_id, turn')}")
 def chrf_mbr(spark, sf_dir):
-    return metrics.with_chrf(_pairs(spark, sf_dir), "src", "tgt", KEYS).select(*KEYS, F.round("chrf", 6).alias("chrf"))
+    return _pairs(spark, sf_dir).select(*KEYS, F.round(metrics.chrf(F.col("src"), F.col("tgt")), 6).alias("chrf"))
 
 
 @query(f"select conv_id, turn, round(chrf, 6) as chrf from {mean_chrf_sql(PAIRS, 'src', 'tgt', 'conv_id, turn')}")
 def chrf_consensus(spark, sf_dir):
-    return metrics.with_mean_chrf(_pairs(spark, sf_dir), "src", "tgt", KEYS).select(*KEYS, F.round("chrf", 6).alias("chrf"))
+    return _pairs(spark, sf_dir).select(*KEYS, F.round(metrics.mean_chrf(F.col("src"), F.col("tgt")), 6).alias("chrf"))
 
 
 @query(f"select conv_id, turn, round(bleu, 6) as bleu from {bleu_sql(PAIRS, 'src', 'tgt', 'conv_id, turn')}")
 def bleu_sentence(spark, sf_dir):
-    return metrics.with_bleu(_pairs(spark, sf_dir), "src", "tgt", KEYS).select(*KEYS, F.round("bleu", 6).alias("bleu"))
+    return _pairs(spark, sf_dir).select(*KEYS, F.round(metrics.bleu(F.col("src"), F.col("tgt")), 6).alias("bleu"))
 
 
 @query(f"""select conv_id, turn, round(case when bleu <= 0 or chrf <= 0 then 0.0 else sqrt(bleu * chrf) end, 6) as geo_mean
 from {bleu_sql(PAIRS, 'src', 'tgt', 'conv_id, turn')} join {chrf_sql(PAIRS, 'src', 'tgt', 'conv_id, turn')} using (conv_id, turn)""")
 def geo_mean(spark, sf_dir):
-    return metrics.with_geo_mean(_pairs(spark, sf_dir), "src", "tgt", KEYS).select(*KEYS, F.round("geo_mean", 6).alias("geo_mean"))
+    return _pairs(spark, sf_dir).select(*KEYS, F.round(metrics.bleu_chrf(F.col("src"), F.col("tgt")), 6).alias("geo_mean"))
 
 
 def f1_sql(a: str, b: str) -> str:
@@ -403,7 +493,7 @@ def combined_similarity(spark, sf_dir):
 def corpus_scores(spark, sf_dir):
     """Assistant turns against the user turns before them, by place in the conversation."""
     p = _pairs(spark, sf_dir)
-    return metrics.corpus_scores(p, "tgt", "src", "conv_id", ("turn",))
+    return metrics.corpus_scores(p, "tgt", "src", ("turn",))
 
 
 # ---- candidates: the assistant turns of a conversation ----
@@ -537,7 +627,7 @@ sims as (select query, doc, sum(case when space = 'char' then qw.w * dw.w else 0
 
 def _index(spark, sf_dir) -> retrieve.Index:
     pairs = _pairs(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc"), "src", "tgt")
-    return retrieve.build_index(pairs)
+    return retrieve.build_index(pairs, scratch(spark, "index"))
 
 
 def _items(spark, sf_dir) -> DataFrame:
@@ -608,7 +698,7 @@ def cap_length(spark, sf_dir):
 def cap_grid(spark, sf_dir):
     grid = cascade.cap_grid(_hybrid(spark, sf_dir), [0.3, 0.4, 0.5, 0.6, 0.7, 0.8], [20, 30, 40, 50])
     named = grid.withColumn("pattern", F.concat_ws("/", F.coalesce(F.col("share").cast("string"), F.lit("none")), F.coalesce(F.col("plus").cast("string"), F.lit("none"))))
-    return metrics.corpus_scores(named, "prediction", "reference", "sample_id", ("pattern",))
+    return metrics.corpus_scores(named, "prediction", "reference", ("pattern",))
 
 
 @query()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,12 +12,37 @@ from ..functions.dialect import strip, text_of
 from ..operators.contracts import parallel_columns, require
 
 NULLS = "nan"
+#: Bytes of a table that is dealt out anew where it has fewer files than there are cores.
+SMALL = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores: a small table in a few files is dealt out, as its row groups bound the tasks of a scan; others stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(2 * cores) if len(df.inputFiles()) < cores and size < SMALL else df
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder that the cluster shares: spark.checkpoint.dir, or one beside the warehouse where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tessella-scratch"
+    return f"{root.rstrip('/')}/tessella-{tag}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` as a table in a folder, worked out once for all who read it."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
+def read_csv(spark: SparkSession, path: str, schema: str | None = None, infer: bool = False, multi_line: bool = True) -> DataFrame:
+    """A CSV file with a header and doubled quotes; "" and nan are NULL. Without a schema columns are text, or of inferred types.
 
-def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """A CSV file with a header, quoted line feeds and doubled quotes; "" and nan are NULL. Without a schema all columns are text."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("nullValue", NULLS).option("emptyValue", None)
-    df = (reader.schema(schema) if schema else reader).csv(path)
+    ``multi_line`` allows line feeds within quotes, at the price that a file is one task; without
+    it large files are split.
+    """
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').option("nullValue", NULLS).option("emptyValue", None)
+    df = (reader.schema(schema) if schema else reader.option("inferSchema", infer)).csv(path)
     return df.select(*[F.when(F.col(f"`{c}`") == "", None).otherwise(F.col(f"`{c}`")).alias(c) if t == "string" else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
@@ -72,15 +99,27 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.col(f"`{found[0]}`").alias("src"), F.col(f"`{found[1]}`").alias("tgt")).dropna()
 
 
-def read_first(spark: SparkSession, paths: list[str]) -> DataFrame | None:
-    """The first of several CSV paths (or patterns) that there is, looked up by Spark's own file systems."""
+def first_path(spark: SparkSession, paths: list[str]) -> str | None:
+    """The first of several paths or patterns that there is, as a path, looked up by Spark's own file systems; a pattern's first by name."""
     for path in paths:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if spark._jvm.java.util.Objects.nonNull(found := p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)) and len(found):
-            return read_csv(spark, path)
+        found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+        if spark._jvm.java.util.Objects.nonNull(found) and len(found):
+            return min(x.getPath().toString() for x in found)
     return None
 
 
+def find_table(spark: SparkSession, folders: list[str], names: list[str], pattern: str = "*entence*.*") -> str | None:
+    """The path of the first of ``names`` in the first folder that has one, else of what fits ``pattern``, else None."""
+    return first_path(spark, [f"{f}/{n}" for f in folders for n in [*names, pattern]])
+
+
+def read_first(spark: SparkSession, paths: list[str]) -> DataFrame | None:
+    """The first of several CSV paths (or patterns) that there is; None without any."""
+    path = first_path(spark, paths)
+    return None if path is None else read_csv(spark, path)
+
+
 def teacher_or_target(df: DataFrame, teacher: str = "teacher_translation", target: str = "translation") -> DataFrame:
     """``df`` with tgt: the teacher's column where the table has one and it is not NULL."""
     return df.withColumn("tgt", F.coalesce(teacher, target) if teacher in df.columns else F.col(target))

@@ -47,13 +47,14 @@ def slow_bleu(a, b):
 def test_sentence_metrics_against_plain_code(spark):
     rows = [(i, a, b) for i, (a, b) in enumerate(zip(["", "", "one", "same text", *said(1, 40)], ["", "x", "one", "same text", *said(2, 40)]))]
     df = spark.createDataFrame(rows, PAIR)
-    chrf = {x.k: x.chrf for x in metrics.with_chrf(df, "a", "b", ("k",)).collect()}
-    mean = {x.k: x.chrf for x in metrics.with_mean_chrf(df, "a", "b", ("k",)).collect()}
-    bleu = {x.k: x.bleu for x in metrics.with_bleu(df, "a", "b", ("k",)).collect()}
+    a, b = F.col("a"), F.col("b")
+    got = df.select("k", metrics.chrf(a, b).alias("chrf"), metrics.mean_chrf(a, b).alias("mean"), metrics.bleu(a, b).alias("bleu"), metrics.bleu_chrf(a, b).alias("geo")).collect()
+    chrf, mean, bleu, geo = ({x.k: x[f] for x in got} for f in ("chrf", "mean", "bleu", "geo"))
     for k, a, b in rows:
         assert chrf[k] == pytest.approx(slow_chrf(a, b, False)), (a, b)
         assert mean[k] == pytest.approx(slow_chrf(a, b, True)), (a, b)
         assert bleu[k] == pytest.approx(slow_bleu(a, b)), (a, b)
+        assert geo[k] == pytest.approx(math.sqrt(max(0, bleu[k]) * chrf[k])), (a, b)
     assert bleu[2] == pytest.approx(100)
     f1 = df.select(metrics.token_f1(F.lit(""), F.lit(" ")), metrics.token_f1(F.lit(""), F.lit("a")), metrics.token_f1(F.lit("a b"), F.lit("b c"))).first()
     assert tuple(f1) == (1.0, 0.0, 0.5)
@@ -63,12 +64,12 @@ def test_sentence_metrics_against_plain_code(spark):
 
 def test_corpus_scores_of_equal_and_unlike_texts(spark):
     rows = [(i, t or "word", t or "word") for i, t in enumerate(said(3, 20))]
-    same = metrics.corpus_scores(spark.createDataFrame(rows, PAIR), "a", "b", "k").first()
+    same = metrics.corpus_scores(spark.createDataFrame(rows, PAIR), "a", "b").first()
     assert (same.n, same.bleu, same.chrf, same.geo_mean) == (20, 100.0, 100.0, 100.0)
-    none = metrics.corpus_scores(spark.createDataFrame([(1, "aaa", "bbb"), (2, None, "b")], PAIR), "a", "b", "k").first()
+    none = metrics.corpus_scores(spark.createDataFrame([(1, "aaa", "bbb"), (2, None, "b")], PAIR), "a", "b").first()
     assert (none.bleu, none.chrf) == (0.0, 0.0)
     # three of four words match: precisions 3/4, 2/3, 1/2 and none, halved to 1/2
-    one = metrics.corpus_scores(spark.createDataFrame([(1, "a b c d", "a b c e")], PAIR), "a", "b", "k").first()
+    one = metrics.corpus_scores(spark.createDataFrame([(1, "a b c d", "a b c e")], PAIR), "a", "b").first()
     assert one.bleu == pytest.approx(100 * (3 / 4 * 2 / 3 * 1 / 2 * 1 / 2) ** 0.25, abs=1e-3)
 
 
@@ -90,9 +91,9 @@ def test_selection_edges(spark):
     assert {x.group for x in select.weighted_choice(df.withColumn("score", F.lit(1.0))).collect()} == {1, 2, 3, 4}
 
 
-def test_retrieval_finds_the_source_and_refuses_the_rest(spark):
+def test_retrieval_finds_the_source_and_refuses_the_rest(spark, tmp_path):
     pairs = [(i, f"um-ma word{i} a-na šar{chr(97 + i % 26)}im mana{i}", f"target {i}") for i in range(30)]
-    index = retrieve.build_index(spark.createDataFrame(pairs, "doc int, src string, tgt string"))
+    index = retrieve.build_index(spark.createDataFrame(pairs, "doc int, src string, tgt string"), str(tmp_path / "index"))
     asks = spark.createDataFrame([(1, pairs[7][1].upper()), (2, "qqqq"), (3, None)], "query int, text string")
     got = {x.query: (x.translation, x.score) for x in retrieve.retrieve(asks, index).collect()}
     assert got[1][0] == "target 7" and got[1][1] > 0.9 and got[2] == ("", 0.0) and got[3] == ("", 0.0)
