@@ -24,12 +24,12 @@ def unrepeated(name: str, src: str, n: int, spaced: bool) -> str:
 {name}_m as (select id, min(k) as k from {name}_c group by id union all
   select m.id, min(d.k) as k from {name}_m m join {name}_c c on c.id = m.id and c.k = m.k join {name}_c d on d.id = m.id and d.k >= c.stop + {n} group by m.id),
 {name}_g as (select id, unnest(range(k + {n}, stop + {n})) as k from {name}_m join {name}_c using (id, k)),
-{name} as (select id, row_number() over (partition by id order by k) as k, s, w from {src} anti join {name}_g using (id, k))"""
+{name} as materialized (select id, row_number() over (partition by id order by k) as k, s, w from {src} anti join {name}_g using (id, k))"""
 
 
 def without_repeats(rel: str, loops: bool) -> str:
     """CTEs up to ``fixed`` (id, t) from ``rel`` (id, t): repeated words and phrases gone, with ``loops`` those of three to eight words too."""
-    ctes = [f"""w0 as (select id, k, s[k] as s, w[k] as w from (select id, s, w, unnest(range(1, len(w) + 1)) as k from
+    ctes = [f"""w0 as materialized (select id, k, s[k] as s, w[k] as w from (select id, s, w, unnest(range(1, len(w) + 1)) as k from
   (select id, regexp_split_to_array(t, '{W}+') as s, regexp_extract_all(t, '{W}+') as w from {rel})))"""]
     src = "w0"
     for n in (1, 4, 3, 2):
@@ -44,7 +44,7 @@ def without_repeats(rel: str, loops: bool) -> str:
 
 def without_loops(rel: str) -> str:
     """CTEs up to ``fixed`` (id, t) from ``rel`` (id, t): immediate repeats of eight down to three words gone; texts of under six words stay."""
-    ctes = [f"l9 as (select id, k, '' as s, w[k] as w from (select id, w, unnest(range(1, len(w) + 1)) as k from (select id, {tokens_sql('t')} as w from {rel}) where len(w) >= 6))"]
+    ctes = [f"l9 as materialized (select id, k, '' as s, w[k] as w from (select id, w, unnest(range(1, len(w) + 1)) as k from (select id, {tokens_sql('t')} as w from {rel}) where len(w) >= 6))"]
     for n in range(8, 2, -1):
         ctes.append(unrepeated(f"l{n}", f"l{n + 1}", n, False))
     ctes.append("looped as (select id, string_agg(w, ' ' order by k) as t from l3 group by id)")
@@ -78,7 +78,6 @@ def chrf_words_sql(text: str) -> str:
 
 def corpus_scores_sql(rel: str, by: str) -> str:
     """A SELECT of by, n, bleu, chrf, geo_mean for ``rel`` (by, h, r); see operators.metrics.corpus_scores."""
-    bare = f"regexp_replace(coalesce({{}}, ''), '{S}+', '', 'g')"
     parts = []
     for side, ih, ir in (("h", 1, 0), ("r", 0, 1)):
         kinds = [("b", bleu_tokens_sql(f"coalesce({side}, '')"), ORDERS), ("w", chrf_words_sql(f"coalesce({side}, '')"), WORDS)]
@@ -86,7 +85,7 @@ def corpus_scores_sql(rel: str, by: str) -> str:
             for n in orders:
                 parts.append(f"select id, {by}, '{kind}' as kind, {n} as n, unnest(list_transform(range(1, len(x) - {n} + 2), lambda i: array_to_string(list_slice(x, i, i + {n} - 1), chr(1)))) as gram, {ih} as ih, {ir} as ir from (select id, {by}, {items} as x from numbered_rows)")
         for n in CHARS:
-            parts.append(f"select id, {by}, 'c', {n}, unnest(list_transform(range(1, length(x) - {n} + 2), lambda i: substr(x, i, {n}))), {ih}, {ir} from (select id, {by}, {bare.format(side)} as x from numbered_rows)")
+            parts.append(f"select id, {by}, 'c', {n}, unnest(list_transform(range(1, length(x) - {n} + 2), lambda i: substr(x, i, {n}))), {ih}, {ir} from (select id, {by}, regexp_replace(coalesce({side}, ''), '{S}+', '', 'g') as x from numbered_rows)")
     grams = " union all ".join(parts)
     at = lambda k, f: f"coalesce(max({f}) filter (kind = '{k[0]}' and n = {k[1:]}), 0)"
     columns = ", ".join(f"cast({at(k, f)} as double) as {k}{f}" for k in [*[f"b{n}" for n in ORDERS], *[f"c{n}" for n in CHARS], *[f"w{n}" for n in WORDS]] for f in "mhr")

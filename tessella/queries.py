@@ -244,14 +244,18 @@ def entries_sql(table_: dict[str, str]) -> str:
     return "(values " + ", ".join(f"({q(k)}, {q(v)})" for k, v in table_.items()) + ") e(word, value)"
 
 
-WORDS_SQL = f"(select doc_id, word, count(*) as n from (select doc_id, unnest({tokens_sql('text')}) as word from documents) group by all)"
+WORDS_SQL = f"(select doc_id, word, count(*) as n from (select doc_id, unnest({tokens_sql('text')}) as word from documents union all select -1, word from {entries_sql(T.DICTIONARY | T.DICTIONARY_ADAPTER)}) group by all)"
 
 
-@query(f"select w.doc_id, w.word, w.n, e.value as meaning from {WORDS_SQL} w left join {entries_sql(T.DICTIONARY_ADAPTER)} on e.word = w.word")
+@query(f"""select w.doc_id, w.word, w.n, e.value as meaning, a.value as library, b.value as ascii from {WORDS_SQL} w left join {entries_sql(T.DICTIONARY_ADAPTER)} on e.word = w.word
+left join {entries_sql(T.DICTIONARY).replace(') e(', ') a(')} on a.word = w.word left join {entries_sql(T.DICTIONARY_ASCII).replace(') e(', ') b(')} on b.word = w.word""")
 def short_dictionary(spark, sf_dir):
-    """Each different word of each document as a one-word source."""
-    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(tokens(F.col("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
-    return words.select("doc_id", "word", "n", C.dictionary_lookup(F.col("word"), T.DICTIONARY_ADAPTER).alias("meaning"))
+    """Each different word of each document, and each entry of the dictionaries, as a one-word source."""
+    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(tokens(F.col("text"))).alias("word"))
+    known = spark.createDataFrame([(-1, w) for w in T.DICTIONARY | T.DICTIONARY_ADAPTER], "doc_id long, word string")
+    words = words.union(known).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    tables = (("meaning", T.DICTIONARY_ADAPTER), ("library", T.DICTIONARY), ("ascii", T.DICTIONARY_ASCII))
+    return words.select("doc_id", "word", "n", *[C.dictionary_lookup(F.col("word"), t).alias(name) for name, t in tables])
 
 
 @query("select 'text' as name, count(*) as n_rows, count(*) filter (text is null) as nulls, round(avg(length(text)), 6) as mean_length, min(length(text)) as min_length, max(length(text)) as max_length from documents")
@@ -341,7 +345,18 @@ def id_join_fallback(spark, sf_dir):
     return rows.withColumn("sentence_idx", F.col("sentence_idx").cast("long"))
 
 
-@query()
+LINES_SQL = f"list_filter(list_transform(regexp_split_to_array({{0}}, '\\n+'), lambda p: {collapse_sql('p')}), lambda p: p <> '')"
+
+
+def lines_sql(text: str) -> str:
+    whole = filled_sql(f"regexp_split_to_array({collapse_sql(text)}, ';' || '{S}' || '+')")
+    lines = LINES_SQL.replace("{0}", text)
+    return f"case when len({lines}) > 1 then {lines} else {whole} end"
+
+
+@query(f"""with recursive units as (select {{'conv_id': conv_id, 'turn': turn}} as id, src, tgt, {lines_sql('src')} as a, {tgt_sentences_sql(collapse_sql('tgt'))} as b from {PAIRS}),
+{aligned_sql('units', 'src', 'tgt')},
+every as (select src, tgt from aligned union all select src, tgt from units where len(a) = 0 or len(b) = 0) select distinct src, tgt from every where src <> '' and tgt <> ''""")
 def align_pairs(spark, sf_dir):
     return corpus.sentence_pairs(_pairs(spark, sf_dir))
 
@@ -359,29 +374,54 @@ def dedup_last(spark, sf_dir):
     return corpus.dedup_last(table(spark, sf_dir, "documents"), F.col("lang"), F.col("source"), F.col("doc_id"))
 
 
-MEMORY = f"""(select {key_sql('src')} as key, max_by(tgt, ord) as value from (select src, tgt, ord from (select src, tgt, conv_id * 1000 + turn as ord,
-row_number() over (partition by src order by conv_id * 1000 + turn) as r from {PAIRS}) where r = 1) group by 1 having length(key) > 3)"""
+MEMORY = f"""(select {key_sql('src')} as key, max_by(tgt, ord) as value from (select src, tgt, ord from (select src, tgt, {{'c': conv_id, 't': turn}} as ord,
+row_number() over (partition by src order by conv_id, turn) as r from {PAIRS}) where r = 1) group by 1 having length(key) > 3)"""
 
 
 @query(f"select c.conv_id, c.turn, m.value as exact from conversations c left join {MEMORY} m on m.key = {key_sql('c.text')}")
 def memory_lookup(spark, sf_dir):
-    pairs = _pairs(spark, sf_dir).withColumn("ord", F.col("conv_id") * 1000 + F.col("turn"))
+    pairs = _pairs(spark, sf_dir).withColumn("ord", F.struct("conv_id", "turn"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     return corpus.memory_lookup(rows, corpus.translation_memory(pairs), C.retrieval_key(F.col("text"))).select("conv_id", "turn", "exact")
 
 
-@query(f"""with names as (select strip_accents(lower(word)) as a, max_by(word, word) as name from (select distinct unnest({tokens_sql('text')}) as word from benchmark) where length(word) >= 3 and regexp_matches(word, '^[A-Za-zéèêëàâçñíóúäöü]+$')
-group by 1), w as (select doc_id, unnest({tokens_sql('text')}) as word from documents)
-select doc_id, count(*) as words, count(names.name) as known from w left join names on names.a = lower(w.word) and names.a <> lower(names.name) group by doc_id""")
+NAMES = f"""(select a, max_by(name, o) as name from (select name, min(o) as o, lower(strip_accents(name)) as a from (select {strip_sql('word')} as name, {{'i': item_id, 'k': k}} as o from
+(select item_id, unnest({tokens_sql('text')}) as word, unnest(range(0, len({tokens_sql('text')}))) as k from benchmark)) where length(name) >= 3 group by name) where a <> lower(name) and length(a) >= 3 group by a)"""
+
+
+def _names(spark, sf_dir) -> DataFrame:
+    """Words of the benchmark that have diacritics, as names."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(tokens(F.col("text"))).alias("k", "norm"))
+    return corpus.name_lexicon(b.select("norm", F.struct("item_id", "k").alias("ord")), kind=None)
+
+
+@query(f"select a as ascii, name from {NAMES}")
+def name_lexicon(spark, sf_dir):
+    return _names(spark, sf_dir)
+
+
+@query(f"""with names as {NAMES}, w as (select doc_id, unnest({tokens_sql('text')}) as word from documents)
+select doc_id, count(*) as words, count(names.name) as known from w left join names on names.a = lower(w.word) group by doc_id""")
 def lexicon_lookup(spark, sf_dir):
-    """Words of the benchmark with diacritics as names; how many words of each document are their plain form."""
-    b = table(spark, sf_dir, "benchmark").select(F.explode(tokens(F.col("text"))).alias("norm")).distinct().where(F.col("norm").rlike("^[A-Za-zéèêëàâçñíóúäöü]+$") & (F.length("norm") >= 3))
-    names = b.groupBy(F.lower(C.plain(F.col("norm"))).alias("ascii")).agg(F.max("norm").alias("name")).where("ascii <> lower(name)")
+    """How many words of each document are the plain form of a name."""
     words = table(spark, sf_dir, "documents").select("doc_id", F.explode(tokens(F.col("text"))).alias("word"))
-    joined = words.join(names, F.lower("word") == F.col("ascii"), "left")
+    joined = words.join(_names(spark, sf_dir), F.lower("word") == F.col("ascii"), "left")
     return joined.groupBy("doc_id").agg(F.count("*").alias("words"), F.count("name").alias("known"))
 
 
+FEW_NAMES = {"wordeon": "wördeon", "the": "thé", "la": "là", "des": "dès", "que": "qué", "die": "díe", "und": "ünd"}
+_MARKS = r"[.,;:!?()\[\]\"'']"
+
+
+@query(f"""select doc_id, coalesce(string_agg(case when e.value is null then word else
+  case when upper(substr(word, 1, 1)) = substr(word, 1, 1) and lower(substr(word, 1, 1)) <> substr(word, 1, 1) then upper(substr(e.value, 1, 1)) || substr(e.value, 2) else e.value end
+  || regexp_extract(word, '({_MARKS}*)$', 1) end, ' ' order by k), '') as result
+from (select doc_id, unnest(w) as word, unnest(range(0, len(w))) as k from (select doc_id, {tokens_sql('text')} as w from documents)) x left join {entries_sql(FEW_NAMES).replace('e(word', 'e(plain')}
+on e.plain = lower(regexp_replace(word, '^{_MARKS}+|{_MARKS}+$', '', 'g')) group by doc_id""")
+def restore_names(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", corpus.restore_names(F.col("text"), FEW_NAMES).alias("result"))
+
+
 @query("select count(*) as overlap from (select doc_id from documents intersect select doc_id from labels)")
 def id_overlap(spark, sf_dir):
     return corpus.overlap_size(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id", "doc_id")
@@ -393,7 +433,8 @@ def weighted_union(spark, sf_dir):
     return both.groupBy("text").agg(F.count("*").alias("copies"))
 
 
-@query()
+@query("""select doc_id, source, row_number() over (order by h desc, doc_id) <= ceil(count(*) over () * 0.2) as is_val
+from (select doc_id, source, md5(doc_id || ':42') as h from documents)""")
 def hash_split(spark, sf_dir):
     return corpus.hash_split(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", 0.2)
 
@@ -489,7 +530,7 @@ def combined_similarity(spark, sf_dir):
     return _pairs(spark, sf_dir).select(*KEYS, F.round(metrics.combined_similarity(a, b), 6).alias("combined"), F.round(metrics.round_trip_similarity(a, b), 6).alias("round_trip"))
 
 
-@query()
+@query(corpus_scores_sql(f"select turn, tgt as h, src as r from {PAIRS}", "turn"))
 def corpus_scores(spark, sf_dir):
     """Assistant turns against the user turns before them, by place in the conversation."""
     p = _pairs(spark, sf_dir)
@@ -507,12 +548,27 @@ def _cands(spark, sf_dir) -> DataFrame:
     return c.select(F.col("conv_id").alias("group"), F.col("turn").alias("cand"), "text", (rank * -0.1).alias("seq_score"))
 
 
-def mbr_sql(weight: str) -> str:
+def utility_sql(rel: str, keys: str, name: str) -> str:
+    """keys, u: a utility of pairs (a, b)."""
+    if name == "chrf":
+        return f"(select {keys}, chrf as u from {chrf_sql(rel, 'a', 'b', keys)})"
+    if name == "bleu":
+        return f"(select {keys}, bleu as u from {bleu_sql(rel, 'a', 'b', keys)})"
+    if name == "f1":
+        return f"(select {keys}, {f1_sql('a', 'b')} as u from {rel})"
+    return f"(select {keys}, case when bleu <= 0 or chrf <= 0 then 0.0 else sqrt(bleu * chrf) end as u from {bleu_sql(rel, 'a', 'b', keys)} join {chrf_sql(rel, 'a', 'b', keys)} using ({keys}))"
+
+
+def mbr_sql(weight: str, utility: str = "chrf", details: bool = False) -> str:
     unique = f"(select grp, text, min(cand) as cand, sum({weight}) as weight, sum(count(*)) over (partition by grp) as n from {CANDS} group by grp, text)"
     pairs = "(select a.grp, a.cand as i, b.cand as j, a.text as a, b.text as b, b.weight as w from uniq a join uniq b on a.grp = b.grp and a.cand <> b.cand)"
-    scored = f"(select grp, i, sum(w * chrf) / sum(w) as s from {chrf_sql('pairs', 'a', 'b', 'grp, i, j, w')} group by all)"
+    scored = f"(select grp, i, sum(w * u) / sum(w) as s from {utility_sql('pairs', 'grp, i, j, w', utility)} group by all)"
     ranked = "select u.grp, u.cand, case when u.n = 1 then 100.0 else coalesce(s.s, 0.0) end as score from uniq u left join scored s on s.grp = u.grp and s.i = u.cand"
-    return f'with uniq as {unique}, pairs as {pairs}, scored as {scored} select grp as "group", cand, round(score, 6) as score from (select *, row_number() over (partition by grp order by round(score, 9) desc, cand) as r from ({ranked})) where r = 1'
+    ctes = f"with uniq as {unique}, pairs as {pairs}, scored as {scored}, ranked as (select *, row_number() over (partition by grp order by round(score, 9) desc, cand) as r from ({ranked}))"
+    if details:
+        return f"""{ctes} select c.grp as "group", c.cand, round(r.score, 6) as score, count(*) over (partition by c.grp) as n_candidates, (select count(*) from uniq x where x.grp = c.grp) as n_unique, c.cand = r.cand and r.r = 1 as best
+from {CANDS} c join uniq u on u.grp = c.grp and u.text = c.text join ranked r on r.grp = c.grp and r.cand = u.cand"""
+    return f'{ctes} select grp as "group", cand, round(score, 6) as score from ranked where r = 1'
 
 
 @query(mbr_sql("1"))
@@ -526,6 +582,27 @@ def mbr_weighted(spark, sf_dir):
     return select.mbr_select(c, weight="w").select("group", "cand", F.round("score", 6).alias("score"))
 
 
+@query(mbr_sql("1", "bleu"))
+def mbr_bleu(spark, sf_dir):
+    return select.mbr_select(_cands(spark, sf_dir), "bleu").select("group", "cand", F.round("score", 6).alias("score"))
+
+
+@query(mbr_sql("1", "geo_mean"))
+def mbr_geo_mean(spark, sf_dir):
+    return select.mbr_select(_cands(spark, sf_dir), "geo_mean").select("group", "cand", F.round("score", 6).alias("score"))
+
+
+@query(mbr_sql("1", "f1"))
+def mbr_callable(spark, sf_dir):
+    """A utility that the caller brings."""
+    return select.mbr_select(_cands(spark, sf_dir), metrics.token_f1).select("group", "cand", F.round("score", 6).alias("score"))
+
+
+@query(mbr_sql("1", details=True))
+def mbr_details(spark, sf_dir):
+    return select.mbr_details(_cands(spark, sf_dir)).select("group", "cand", F.round("score", 6).alias("score"), "n_candidates", "n_unique", "best")
+
+
 STRIPPED = strip_sql("text")
 USERS = "(select conv_id as grp, turn, text from conversations where role = 'user')"
 
@@ -588,6 +665,40 @@ def confidence_filter(spark, sf_dir):
     return out.select("group", "cand", F.round("score", 6).alias("score"), "high_confidence_count", "high_confidence")
 
 
+def scores_sql(confidence: str, weights: dict[str, float]) -> str:
+    """The weighted score of a candidate (text, source) whose consistency is not known."""
+    parts = {"confidence": confidence, "consistency": "0.5", "fluency": f"case when {N_SQL} between 5 and 20 then 1.0 when {N_SQL} between 3 and 25 then 0.8 else 0.5 end", "length": fit_sql(f"({N_SQL} / greatest(1, len({tokens_sql('source')})))")}
+    return " + ".join(f"{w / sum(weights.values())} * ({parts[k]})" for k, w in weights.items())
+
+
+def _with_source(spark, sf_dir) -> DataFrame:
+    users = table(spark, sf_dir, "conversations").where("role = 'user'").groupBy(F.col("conv_id").alias("g")).agg(F.min_by("text", "turn").alias("source"))
+    return _cands(spark, sf_dir).join(users, F.col("group") == F.col("g"), "left").drop("g")
+
+
+def best_sql(weights: dict[str, float]) -> str:
+    return f"""with s as (select c.grp, c.cand, {scores_sql('exp(seq_score)', weights)} as score from (select c.*, coalesce(u.source, '') as source from {CANDS} c left join {SRC_N} u on u.grp = c.grp) c)
+select grp as "group", cand, round(score, 6) as score from (select *, row_number() over (partition by grp order by round(score, 9) desc, cand) as r from s) where r = 1"""
+
+
+OWN_WEIGHTS = {"confidence": 0.1, "fluency": 0.6, "length": 0.5}
+
+
+@query(best_sql(select.WEIGHTS))
+def select_best(spark, sf_dir):
+    return select.select_best(_with_source(spark, sf_dir)).select("group", "cand", F.round("score", 6).alias("score"))
+
+
+@query(best_sql(OWN_WEIGHTS))
+def select_best_own_weights(spark, sf_dir):
+    return select.select_best(_with_source(spark, sf_dir), OWN_WEIGHTS).select("group", "cand", F.round("score", 6).alias("score"))
+
+
+@query(f"""select doc_id, unnest(case when len(k) > 0 then k else [''] end) as cand from (select doc_id, list_filter(string_split(text, chr(10)), lambda c: {strip_sql('c')} <> '') as k from documents)""")
+def non_blank(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(select.non_blank(F.split("text", "\n", -1))).alias("cand"))
+
+
 @query(f"""with top as (select * from (select *, row_number() over (partition by grp order by seq_score desc, cand desc) as r from {CANDS}) where r <= 3),
 w as (select grp, word, count(*) as n, min((-r, i)) as first from (select grp, r, t[i] as word, i from (select grp, r, t, unnest(range(1, len(t) + 1)) as i from (select grp, r, {tokens_sql('text')} as t from top))) group by all),
 v as (select *, row_number() over (partition by grp order by n desc, first) as k from w)
@@ -596,7 +707,7 @@ def top_k_voting(spark, sf_dir):
     return select.top_words(_cands(spark, sf_dir))
 
 
-@query()
+@query(f"""select grp as "group", cand, text from (select *, row_number() over (partition by grp order by -ln((cast('0x' || substr(md5(grp || ':' || cand || ':42'), 1, 12) as bigint) + 1) / (281474976710656.0 + 1)) / exp(seq_score), cand) as r from {CANDS}) where r = 1""")
 def weighted_choice(spark, sf_dir):
     return select.weighted_choice(_cands(spark, sf_dir).withColumn("score", F.exp("seq_score")))
 
@@ -608,7 +719,7 @@ def best_model(spark, sf_dir):
 
 # ---- retrieval: benchmark items against user turns ----
 
-CORPUS = f"(select conv_id * 1000 + turn as doc, src, tgt, {key_sql('src')} as key from {PAIRS})"
+CORPUS = f"(select {{'conv_id': conv_id, 'turn': turn}} as doc, src, tgt, {key_sql('src')} as key from {PAIRS})"
 ITEMS = f"(select item_id as query, {key_sql('text')} as key from benchmark)"
 
 
@@ -626,7 +737,7 @@ sims as (select query, doc, sum(case when space = 'char' then qw.w * dw.w else 0
 
 
 def _index(spark, sf_dir) -> retrieve.Index:
-    pairs = _pairs(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc"), "src", "tgt")
+    pairs = _pairs(spark, sf_dir).select(F.struct("conv_id", "turn").alias("doc"), "src", "tgt")
     return retrieve.build_index(pairs, scratch(spark, "index"))
 
 
@@ -634,53 +745,54 @@ def _items(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text")
 
 
-@query(f"with {TFIDF} select query, doc, round(char_sim, 6) as char_sim, round(word_sim, 6) as word_sim from sims")
+@query(f"with {TFIDF} select query, doc.conv_id as conv_id, doc.turn as turn, round(char_sim, 6) as char_sim, round(word_sim, 6) as word_sim from sims")
 def tfidf_similarity(spark, sf_dir):
     items = _items(spark, sf_dir).select("query", C.retrieval_key(F.col("text")).alias("key"))
     s = retrieve.similarities(items, _index(spark, sf_dir))
-    return s.select("query", "doc", F.round("char_sim", 6).alias("char_sim"), F.round("word_sim", 6).alias("word_sim"))
+    return s.select("query", "doc.conv_id", "doc.turn", F.round("char_sim", 6).alias("char_sim"), F.round("word_sim", 6).alias("word_sim"))
 
 
 @query(f"""with {TFIDF}, near as (select query, doc, round(0.75 * char_sim + 0.20 * word_sim, 12) as combined from sims qualify row_number() over (partition by query order by combined desc, doc) <= 60),
 sc as (select n.query, n.doc, n.combined, round(n.combined * exp(-abs(ln(len({tokens_sql('c.key')}) / greatest(1, len({tokens_sql('i.key')})) + 1e-5)) * 0.3), 12) as score from near n join corp c using (doc) join items i using (query))
-select query, doc, round(combined, 6) as combined, round(score, 6) as score, row_number() over (partition by query order by score desc, doc) as rank from sc qualify rank <= 10""")
+select query, doc.conv_id as conv_id, doc.turn as turn, round(combined, 6) as combined, round(score, 6) as score, row_number() over (partition by query order by score desc, doc) as rank from sc qualify rank <= 10""")
 def retrieve_topk(spark, sf_dir):
     top = retrieve.top_matches(_items(spark, sf_dir), _index(spark, sf_dir))
-    return top.select("query", "doc", F.round("combined", 6).alias("combined"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return top.select("query", "doc.conv_id", "doc.turn", F.round("combined", 6).alias("combined"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query()
 def retrieve_reranked(spark, sf_dir):
-    return retrieve.retrieve(_items(spark, sf_dir), _index(spark, sf_dir))
+    out = retrieve.retrieve(_items(spark, sf_dir), _index(spark, sf_dir))
+    return out.select("query", "doc.conv_id", "doc.turn", "translation", "score")
 
 
 # ---- cascades and grids: user turn as source, assistant turn as model text, the next pair's as retrieved ----
 
-HYBRID = f"(select *, lead(tgt) over (order by conv_id, turn) as found, (conv_id % 10) / 10.0 as score from {PAIRS})"
+HYBRID = f"(select p.conv_id, p.turn, p.src as source, p.tgt as model, b.text as found, (p.conv_id % 10) / 10.0 as score, p.src as reference from {PAIRS} p left join benchmark b on b.item_id = (p.conv_id * 31 + p.turn) % (select max(item_id) + 1 from benchmark))"
 
 
 def _hybrid(spark, sf_dir) -> DataFrame:
-    p = _pairs(spark, sf_dir).withColumn("ord", F.col("conv_id") * 1000 + F.col("turn"))
-    # the benchmark stands for what a search found, dealt by hash of the pair
+    """Columns sample_id (a struct), source, model, found, score, reference; the benchmark stands for what a search found, dealt by number."""
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("b"), F.col("text").alias("found"))
     n = table(spark, sf_dir, "benchmark").agg((F.max("item_id") + 1).alias("n"))
-    keyed = p.crossJoin(F.broadcast(n)).withColumn("k", F.col("ord") % F.col("n"))  # one row
-    return keyed.join(b, F.col("k") == F.col("b"), "left").select(F.col("ord").alias("sample_id"), F.col("src").alias("source"), F.col("tgt").alias("model"), "found", ((F.col("conv_id") % 10) / 10.0).alias("score"), F.col("src").alias("reference"))
+    keyed = _pairs(spark, sf_dir).crossJoin(F.broadcast(n)).withColumn("k", (F.col("conv_id") * 31 + F.col("turn")) % F.col("n"))  # one row
+    return keyed.join(b, F.col("k") == F.col("b"), "left").select(F.struct("conv_id", "turn").alias("sample_id"), F.col("src").alias("source"), F.col("tgt").alias("model"), "found", ((F.col("conv_id") % 10) / 10.0).alias("score"), F.col("src").alias("reference"))
 
 
-HYBRID = f"(select p.conv_id * 1000 + p.turn as sample_id, p.src as source, p.tgt as model, b.text as found, (p.conv_id % 10) / 10.0 as score, p.src as reference from {PAIRS} p left join benchmark b on b.item_id = (p.conv_id * 1000 + p.turn) % (select max(item_id) + 1 from benchmark))"
+def _named(df: DataFrame) -> DataFrame:
+    return df.select("sample_id.conv_id", "sample_id.turn", *[c for c in df.columns if c != "sample_id"])
 
 
-@query(f"select 'E>' || t as pattern, sample_id, case when score > cast(t as double) and coalesce(found, '') <> '' then found else model end as prediction, reference from {HYBRID}, (values ('0.3'), ('0.5'), ('0.7')) g(t)")
+@query(f"select 'E>' || t as pattern, conv_id, turn, case when score > cast(t as double) and coalesce(found, '') <> '' then found else model end as prediction, reference from {HYBRID}, (values ('0.3'), ('0.5'), ('0.7')) g(t)")
 def hybrid_threshold_grid(spark, sf_dir):
-    return cascade.hybrid_grid(_hybrid(spark, sf_dir), [0.3, 0.5, 0.7])
+    return _named(cascade.hybrid_grid(_hybrid(spark, sf_dir), [0.3, 0.5, 0.7]))
 
 
 @query(f"""with h as (select *, least(length(model), 350) as n from {HYBRID}), c as (select *, list_min(list_transform(list_filter(range(0, length(found)), lambda i: substr(found, i + 1, 1) = ' '), lambda i: (abs(i - n), i))) as cut from h)
-select sample_id, case when length(source) >= 128 and coalesce(found, '') <> '' and length(found) > length(model) and cut is not null then substr(model, 1, 350) || substr(found, cut[2] + 1) else model end as prediction from c""")
+select conv_id, turn, case when length(source) >= 128 and coalesce(found, '') <> '' and length(found) > length(model) and cut is not null then substr(model, 1, 350) || substr(found, cut[2] + 1) else model end as prediction from c""")
 def tail_hybrid(spark, sf_dir):
     h = _hybrid(spark, sf_dir)
-    return h.select("sample_id", cascade.tail_hybrid(F.col("source"), F.col("model"), F.col("found"), 128).alias("prediction"))
+    return h.select("sample_id.conv_id", "sample_id.turn", cascade.tail_hybrid(F.col("source"), F.col("model"), F.col("found"), 128).alias("prediction"))
 
 
 def capped_sql(rel: str, keys: str, text: str, most: str) -> str:
@@ -694,6 +806,112 @@ def cap_length(spark, sf_dir):
     return _pairs(spark, sf_dir).select(*KEYS, C.cap_length(F.col("tgt"), F.col("src")).alias("result"))
 
 
+def broken_sql(text: str) -> str:
+    return ORACLES["broken_text"].split("select doc_id, ", 1)[1].rsplit(" as result", 1)[0].replace("text", text)
+
+
+def word_sql(text: str, entries: dict[str, str]) -> str:
+    """The entry of a one-word text, else NULL."""
+    return f"(select case when len(w) = 1 then (select e.value from {entries_sql(entries)} where e.word = w[1]) end from (select {tokens_sql(text)} as w))"
+
+
+#: Pairs as rows with one id.
+ROWS = f"(select {{'conv_id': conv_id, 'turn': turn}} as id, model as text, source, coalesce(found, '') as found from {HYBRID})"
+FOUND = f"(select {{'conv_id': conv_id, 'turn': turn}} as id, coalesce(found, '') as text, source, model from {HYBRID})"
+
+
+def pipeline_sql(rel: str, cleaned: str, result: str) -> str:
+    """conv_id, turn, result where ``cleaned`` is doc_id, result of a target pipeline and ``result`` SQL over c (cleaned), source and text."""
+    ctes, last = cleaned.rsplit("\nselect ", 1)
+    return f"{ctes},\nclean as (select {last})\nselect id.conv_id as conv_id, id.turn as turn, {result} as result from (select r.*, x.result as c from {rel} r join clean x on x.doc_id = r.id)"
+
+
+def cap_sql(text: str, most: str) -> str:
+    """Whole words within ``most``, by folding sizes over the words: the number of words that stay."""
+    words = tokens_sql("x")
+    n = "list_reduce(list_concat([{'n': 0, 'size': 0}], list_transform(w, lambda v: {'n': 1, 'size': length(v) + 1})), lambda a, v: case when a.size + v.size > m and a.size > 0 then {'n': a.n, 'size': 1000000000} else {'n': a.n + 1, 'size': a.size + v.size} end).n"
+    return f"(select case when length(x) <= m then x else array_to_string(list_slice(w, 1, {n}), ' ') end from (select x, m, {words} as w from (select {text} as x, {most} as m)))"
+
+
+HALF = "cast(floor(length(source) * 0.5 + 30) as int)"
+
+
+@query(pipeline_sql(ROWS, cleaned_sql(ROWS, BEFORE_FULL, AFTER_FULL, True), f"coalesce({word_sql('source', T.DICTIONARY)}, case when {broken_sql('source')} then '...' end, {cap_sql('c', f'greatest({HALF}, 100)')})"))
+def cascade_library(spark, sf_dir):
+    return _named(_hybrid(spark, sf_dir).select("sample_id", cascade.model_cascade(F.col("source"), F.col("model")).alias("result")))
+
+
+@query(pipeline_sql(ROWS, cleaned_sql(ROWS, BEFORE_PLAIN, AFTER_PLAIN, False, "hnr"), big_gaps_sql("c")))
+def cascade_plain(spark, sf_dir):
+    return _named(_hybrid(spark, sf_dir).select("sample_id", cascade.plain_pipeline(F.col("model")).alias("result")))
+
+
+ADAPTED = dashes_sql(f"replace(replace(translate(model, {q(T.BAD_OUTPUT)}, ''), '<big_gap>', ''), '<gap>', '')", False)
+ADAPTED_BROKEN = ORACLES["broken_text_adapter"].split("select doc_id, ", 1)[1].rsplit(" as result", 1)[0].replace("text", "source")
+
+
+@query(f"select conv_id, turn, coalesce({word_sql('source', T.DICTIONARY_ADAPTER)}, case when {ADAPTED_BROKEN} then '...' end, {cap_sql(ADAPTED, HALF)}) as result from {HYBRID}")
+def cascade_adapter(spark, sf_dir):
+    return _named(_hybrid(spark, sf_dir).select("sample_id", cascade.adapter_cascade(F.col("source"), F.col("model")).alias("result")))
+
+
+FOUND_FIRST = f"(select id, coalesce({word_sql('source', T.DICTIONARY_ASCII)}, text) as text from {FOUND})"
+
+
+@query(pipeline_sql(FOUND_FIRST, cleaned_sql(FOUND_FIRST, BEFORE_FOUND, AFTER_FOUND, False), f"case when {collapse_sql('c')} = '' then 'broken text' else c end"))
+def cascade_retrieval(spark, sf_dir):
+    return _named(_hybrid(spark, sf_dir).select("sample_id", cascade.retrieval_only_cascade(F.col("source"), F.col("found")).alias("result")))
+
+
+@query(f"select conv_id, turn, coalesce({word_sql('source', T.DICTIONARY)}, case when {broken_sql('source')} then '...' end, found, '') as result from {HYBRID}")
+def cascade_search(spark, sf_dir):
+    return _named(_hybrid(spark, sf_dir).select("sample_id", cascade.retrieval_cascade(F.col("source"), F.col("found")).alias("result")))
+
+
+SECOND = f"""case when length({strip_sql('text')}) > 3 and c <> '' and not (length({strip_sql('c')}) < 3 or (len({tokens_sql('c')}) > 5 and len(list_distinct({tokens_sql('c')})) / greatest(len({tokens_sql('c')}), 1) < 0.3))
+and (len({tokens_sql('c')}) >= 0.4 * len({tokens_sql('model')}) or len({tokens_sql('model')}) < 5) then c else model end"""
+
+
+@query(pipeline_sql(FOUND, cleaned_sql(FOUND, BEFORE_ASCII, AFTER_ASCII, True), f"(select case when y = '' then 'broken text' else y end from (select {collapse_sql(ascii_sql(SECOND))} as y))"))
+def cascade_refined(spark, sf_dir):
+    return _named(_hybrid(spark, sf_dir).select("sample_id", cascade.refined(F.col("model"), F.col("found")).alias("result")))
+
+
+CAPS = [(s, p) for s in (0.3, 0.4, 0.5, 0.6, 0.7, 0.8) for p in (20, 30, 40, 50)]
+CAP_TABLE = ", ".join(f"({s}, {p})" for s, p in CAPS)
+
+
+@query(f"""{cleaned_sql(ROWS, BEFORE_FULL, AFTER_FULL, True).rsplit(chr(10) + "select ", 1)[0]},
+clean as (select {cleaned_sql(ROWS, BEFORE_FULL, AFTER_FULL, True).rsplit(chr(10) + "select ", 1)[1]}),
+base2 as (select id, source, result as c from {ROWS} join clean on doc_id = id)
+select id.conv_id as conv_id, id.turn as turn, cast(share as double) as share, cast(plus as int) as plus, (select case when {collapse_sql('y')} = '' then '' else y end from (select {cap_sql('c', 'cast(floor(length(source) * share + plus) as int)')} as y)) as prediction
+from base2, (values {CAP_TABLE}) g(share, plus) union all select id.conv_id, id.turn, -1.0, -1, case when {collapse_sql('c')} = '' then '' else c end from base2""")
+def cap_grid_texts(spark, sf_dir):
+    return _named(cascade.cap_grid(_hybrid(spark, sf_dir), [0.3, 0.4, 0.5, 0.6, 0.7, 0.8], [20, 30, 40, 50]).drop("reference").fillna(-1, ["share", "plus"]))
+
+
+GRID = f"select 'E>' || t as pattern, case when score > cast(t as double) and coalesce(found, '') <> '' then found else model end as h, reference as r from {HYBRID}, (values ('0.3'), ('0.5'), ('0.7')) g(t)"
+
+
+@query(f"select * from ({corpus_scores_sql(GRID, 'pattern')}) order by geo_mean desc, pattern limit 1")
+def grid_best(spark, sf_dir):
+    scores = metrics.corpus_scores(cascade.hybrid_grid(_hybrid(spark, sf_dir), [0.3, 0.5, 0.7]), "prediction", "reference", ("pattern",))
+    return cascade.grid_best(scores, ["pattern"])
+
+
+def tail_sql(least: int) -> str:
+    inner = f"select *, least(length(model), 350) as n from {HYBRID}"
+    cut = "list_min(list_transform(list_filter(range(0, length(found)), lambda i: substr(found, i + 1, 1) = ' '), lambda i: (abs(i - n), i)))"
+    return f"select 'F>={least}' as pattern, conv_id, turn, case when length(source) >= {least} and coalesce(found, '') <> '' and length(found) > length(model) and cut is not null then substr(model, 1, 350) || substr(found, cut[2] + 1) else model end as h, reference as r from (select *, {cut} as cut from ({inner}))"
+
+
+PATTERNS = f"""select 'A' as pattern, conv_id, turn, model as h, reference as r from {HYBRID} union all
+select 'D', conv_id, turn, coalesce({word_sql('source', T.DICTIONARY)}, case when {broken_sql('source')} then '...' end, found, ''), reference from {HYBRID} union all
+select 'E>' || t, conv_id, turn, case when score > cast(t as double) and coalesce(found, '') <> '' then found else model end, reference from {HYBRID}, (values ('0.3'), ('0.5'), ('0.7')) g(t)
+union all {tail_sql(128)} union all {tail_sql(256)} union all {tail_sql(512)}"""
+CHANGED = f"(select p.pattern, count(*) filter (p.h is distinct from b.h) as changed from ({PATTERNS}) p left join ({PATTERNS}) b on b.pattern = 'A' and b.conv_id = p.conv_id and b.turn = p.turn group by p.pattern)"
+
+
 @query()
 def cap_grid(spark, sf_dir):
     grid = cascade.cap_grid(_hybrid(spark, sf_dir), [0.3, 0.4, 0.5, 0.6, 0.7, 0.8], [20, 30, 40, 50])
@@ -701,7 +919,7 @@ def cap_grid(spark, sf_dir):
     return metrics.corpus_scores(named, "prediction", "reference", ("pattern",))
 
 
-@query()
+@query(f"select s.*, c.changed from ({corpus_scores_sql(f'select pattern, h, r from ({PATTERNS})', 'pattern')}) s join {CHANGED} c using (pattern)")
 def pattern_report(spark, sf_dir):
     h = _hybrid(spark, sf_dir)
     patterns = h.select(F.lit("A").alias("pattern"), "sample_id", F.col("model").alias("prediction"), "reference")
@@ -716,7 +934,7 @@ def pattern_report(spark, sf_dir):
 def model_cascade(spark, sf_dir):
     h = _hybrid(spark, sf_dir)
     s, m = F.col("source"), F.col("model")
-    return h.select("sample_id", cascade.model_cascade(s, m).alias("library"), cascade.adapter_cascade(s, m).alias("adapter"), cascade.retrieval_only_cascade(s, F.col("found")).alias("retrieval"), cascade.plain_pipeline(m).alias("plain"), cascade.edit_cascade(s, m, F.col("found"), {"die": ["the"], "la": ["the"]}).alias("edited"), cascade.refined(m, F.col("found")).alias("refined"))
+    return h.select("sample_id.conv_id", "sample_id.turn", cascade.model_cascade(s, m).alias("library"), cascade.adapter_cascade(s, m).alias("adapter"), cascade.retrieval_only_cascade(s, F.col("found")).alias("retrieval"), cascade.plain_pipeline(m).alias("plain"), cascade.edit_cascade(s, m, F.col("found"), {"die": ["the"], "la": ["the"]}).alias("edited"), cascade.refined(m, F.col("found")).alias("refined"))
 
 
 @query()
@@ -724,8 +942,8 @@ def cascade_tier1(spark, sf_dir):
     h = _hybrid(spark, sf_dir)
     rows = h.select("sample_id", "source", "found", F.col("score").alias("found_score"))
     cands = h.select("sample_id", F.lit(0).alias("cand"), F.col("model").alias("text")).union(h.select("sample_id", F.lit(1), F.col("source")))
-    pairs = _pairs(spark, sf_dir).withColumn("ord", F.col("conv_id") * 1000 + F.col("turn"))
-    return cascade.first_tier(rows, cands, corpus.translation_memory(pairs), C.retrieval_key)
+    pairs = _pairs(spark, sf_dir).withColumn("ord", F.struct("conv_id", "turn"))
+    return _named(cascade.first_tier(rows, cands, corpus.translation_memory(pairs), C.retrieval_key))
 
 
 @query("select w as width from (select coalesce(max(w), 1) as w from (values (1, 11), (2, 15), (4, 25), (8, 50)) v(w, c) where c * (select count(*) from benchmark) < 24000)")
@@ -767,11 +985,25 @@ def blend_plain(spark, sf_dir):
 # ---- label ids ----
 
 
-@query("select conv_id, turn, n, case when n > 511 then 512 else n + 1 end as kept from (select conv_id, turn, octet_length(encode(text)) as n from conversations)")
+IDS = "(select conv_id, turn, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: cast('0x' || h as int) + 3) as ids from conversations)"
+
+
+@query(f"select conv_id, turn, len(ids) as n, array_to_string(list_concat(list_slice(ids, 1, 511), [1]), ' ') as kept from {IDS}")
 def byte_ids(spark, sf_dir):
-    ids = corpus.byte_ids(F.col("text"), 512)
     c = table(spark, sf_dir, "conversations")
-    return c.select("conv_id", "turn", (F.size(corpus.byte_ids(F.col("text"))) - 1).cast("long").alias("n"), F.size(ids).cast("long").alias("kept"))
+    return c.select("conv_id", "turn", (F.size(corpus.byte_ids(F.col("text"))) - 1).cast("long").alias("n"), F.array_join(corpus.byte_ids(F.col("text"), 512).cast("array<string>"), " ").alias("kept"))
+
+
+PADDED = f"(select conv_id, turn, list_concat(x, list_transform(range(0, greatest(0, 40 - len(x))), lambda i: 0)) as x from (select conv_id, turn, list_concat(list_slice(ids, 1, 31), [1]) as x from {IDS}))"
+
+
+@query(f"select conv_id, turn, array_to_string(list_transform(x, lambda v: case when v = 0 then -100 else v end), ' ') as masked, array_to_string(list_transform(x, lambda v: case when v >= 200 then 0 else v end), ' ') as unmasked from {PADDED}")
+def label_masks(spark, sf_dir):
+    """Ids cut to 32 and filled up to 40, with the filling masked, and back with ids that a vocabulary of 200 lacks as filling."""
+    ids = corpus.byte_ids(F.col("text"), 32, 40)
+    masked = corpus.masked_labels(ids)
+    joined = lambda c: F.array_join(c.cast("array<string>"), " ")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", joined(masked).alias("masked"), joined(corpus.unmasked_labels(masked, 200)).alias("unmasked"))
 
 
 FLAGSHIP = retrieve_topk
