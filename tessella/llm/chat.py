@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialize
+from .common import code_points, drop_table, let, materialize, piece, running
 
 #: Twice as many messages in a chain with each round; a path longer than 2**40 is a cycle.
 MAX_ROUNDS = 40
@@ -127,15 +127,9 @@ def formatted(paths: DataFrame, learn_from: tuple[str, ...] = ("assistant",)) ->
     """
     turns = F.transform(F.array_sort(F.collect_list(F.struct("depth", "role", "text"))), lambda m: F.struct(F.concat(F.lit("<|"), _named(m["role"]), F.lit("|>\n")).alias("head"), escaped(m["text"]).alias("body"), m["role"].isin(*learn_from).alias("learn")))
     rows = paths.groupBy("tree", "branch").agg(turns.alias("turns"))
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-
-    def step(acc: Column, m: Column) -> Column:
-        start = acc["at"] + F.length(m["head"])
-        end = start + F.length(m["body"])
-        mine = F.when(m["learn"], F.array(F.struct(start.alias("start"), end.alias("end")))).otherwise(empty)
-        return F.struct((end + len(END)).alias("at"), F.concat(acc["out"], mine).alias("out"))
-
-    mask = F.aggregate("turns", F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+    placed = running(F.col("turns"), F.lit(0), lambda m: F.length(m["head"]) + F.length(m["body"]) + len(END), lambda a, b: a + b)
+    start = lambda x: x["before"] + F.length(x["item"]["head"])
+    mask = F.transform(F.filter(placed, lambda x: x["item"]["learn"]), lambda x: F.struct(start(x).alias("start"), (start(x) + F.length(x["item"]["body"])).alias("end")))
     text = F.array_join(F.transform("turns", lambda m: F.concat(m["head"], m["body"], F.lit(END))), "")
     return rows.select("tree", "branch", F.size("turns").cast("long").alias("n_turns"), text.alias("formatted"), mask.alias("loss_mask"))
 
@@ -148,7 +142,7 @@ def parsed(text: Column) -> Column:
 
 def under_mask(text: Column, mask: Column) -> Column:
     """The texts under the spans of a mask, unescaped, one string for each span."""
-    return F.transform(mask, lambda m: unescaped(F.substring(text, m["start"] + 1, m["end"] - m["start"])))
+    return let(code_points(text), lambda points: F.transform(mask, lambda m: unescaped(piece(points, m["start"], m["end"]))))
 
 
 def conversations(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:

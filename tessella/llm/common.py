@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,3 +57,48 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def text_key(text: Column) -> Column:
     """A 128-bit key of a text: equal texts have equal keys, computed in the JVM."""
     return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
+
+
+# ---- arrays and texts in time that grows with their length ----
+
+#: Items of an array that are gone through with a growing array; what is kept of each block is put together after that.
+_BLOCK = 256
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` worked out once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(items: Column, zero: Column, measure: Callable[[Column], Column], merge: Callable[[Column, Column], Column]) -> Column:
+    """Structs (item, before): each item with the merged measures of all before it; ``merge`` is associative.
+
+    An array that grows by one item is copied with each step, so it only grows within a block.
+    """
+
+    def block(part: Column) -> Column:
+        none = F.transform(F.slice(part, 1, 0), lambda x: F.struct(x.alias("item"), zero.alias("before")))
+        step = lambda s, x: F.struct(merge(s["total"], measure(x)).alias("total"), F.concat(s["out"], F.array(F.struct(x.alias("item"), s["total"].alias("before")))).alias("out"))
+        return F.aggregate(part, F.struct(zero.alias("total"), none.alias("out")), step)
+
+    def joined(blocks: Column) -> Column:
+        none = F.transform(F.slice(blocks, 1, 0), lambda b: b["total"])
+        step = lambda s, b: F.struct(merge(s["total"], b["total"]).alias("total"), F.concat(s["out"], F.array(s["total"])).alias("out"))
+        starts = F.aggregate(blocks, F.struct(zero.alias("total"), none.alias("out")), step, lambda s: s["out"])
+        return F.flatten(F.zip_with(blocks, starts, lambda b, o: F.transform(b["out"], lambda x: F.struct(x["item"].alias("item"), merge(o, x["before"]).alias("before")))))
+
+    def dealt(all_items: Column) -> Column:
+        last = F.greatest(F.lit(0), F.ceil(F.size(all_items) / _BLOCK).cast("int") - 1)
+        return F.transform(F.sequence(F.lit(0), last), lambda i: block(F.slice(all_items, i * _BLOCK + 1, F.lit(_BLOCK))))
+
+    return let(let(items, dealt), joined)
+
+
+def code_points(text: Column) -> Column:
+    """A text with four bytes for each code point, so that :func:`piece` finds a place without a walk from the start."""
+    return F.encode(text, "UTF-32")
+
+
+def piece(points: Column, start: Column, end: Column) -> Column:
+    """The text from code point ``start`` to ``end`` (exclusive) of :func:`code_points`."""
+    return F.decode(F.substring(points, 4 * start + 1, 4 * (end - start)), "UTF-32")

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import code_points, let, piece, running
+
 SPAN = "array<struct<start:int,kind:int,end:int,score:double>>"
 #: Kinds in the order that breaks ties between spans with one start. The first four always stay.
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret", "local_phone")
@@ -74,17 +76,11 @@ KEEP_FROM = 0.5
 def matches(text: Column, pattern: str) -> Column:
     """Array of (start, end, value) of leftmost non-overlapping matches, in code points."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(found)).alias("gap"), found.alias("value"))
-    empty = F.lit(None).cast("array<struct<start:int,end:int,value:string>>")
-    zero = F.struct(F.lit(0).alias("at"), F.coalesce(empty, F.array().cast("array<struct<start:int,end:int,value:string>>")).alias("out"))
-
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["0"])
-        end = start + F.length(pair["1"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), pair["1"].alias("value")))).alias("out"))
-
-    renamed = F.transform(pairs, lambda p: F.struct(p["gap"].alias("0"), p["value"].alias("1")))
-    return F.aggregate(renamed, zero, step, lambda acc: acc["out"])
+    gaps = F.split(text, pattern, -1)
+    pairs = let(found, lambda values: F.zip_with(F.transform(F.slice(gaps, 1, F.size(values)), F.length), values, lambda g, v: F.struct(g.alias("gap"), v.alias("value"))))
+    placed = running(pairs, F.lit(0), lambda p: p["gap"] + F.length(p["value"]), lambda a, b: a + b)
+    start = lambda x: x["before"] + x["item"]["gap"]
+    return F.transform(placed, lambda x: F.struct(start(x).alias("start"), (start(x) + F.length(x["item"]["value"])).alias("end"), x["item"]["value"].alias("value")))
 
 
 def _digits(value: Column) -> Column:
@@ -108,7 +104,7 @@ def mod97(value: Column) -> Column:
     return rest == 1
 
 
-def _ibans(text: Column) -> Column:
+def _ibans(text: Column, points: Column) -> Column:
     """Array of (start, end) of IBANs, from each head to the end of a word where mod 97 holds.
 
     That is the end the country's length gives, or else the last one; those inside another are left out.
@@ -124,14 +120,13 @@ def _ibans(text: Column) -> Column:
         fits = lambda x: F.coalesce(F.length(x["plain"]) == F.try_element_at(lengths, F.substring(run["run"], 1, 2)), F.lit(False))
         return F.array_max(F.transform(good, lambda x: F.struct(fits(x).alias("fits"), x["p"].alias("p"))))
 
-    def step(kept: Column, m: Column) -> Column:
-        return F.when(F.coalesce(F.try_element_at(kept, F.lit(-1))["end"], F.lit(-1)) >= m["end"], kept).otherwise(F.concat(kept, F.array(m)))
-
     # a transform for each step: what it gives is a value, and not computed again for each use
-    heads = F.transform(matches(text, PATTERNS["iban"]), lambda m: F.struct(m["start"].alias("start"), F.substring(text, m["start"] + 1, F.lit(70)).alias("tail")))
+    heads = F.transform(matches(text, PATTERNS["iban"]), lambda m: F.struct(m["start"].alias("start"), piece(points, m["start"], m["start"] + 70).alias("tail")))
     runs = F.transform(heads, lambda h: F.struct(h["start"].alias("start"), h["tail"].alias("tail"), F.regexp_extract(h["tail"], _IBAN_RUN, 0).alias("run")))
     found = F.transform(runs, lambda r: F.struct(r["start"].alias("start"), (r["start"] + best(r)["p"]).alias("end")))
-    return F.aggregate(F.filter(found, lambda m: m["end"].isNotNull()), F.array().cast("array<struct<start:int,end:int>>"), step)
+    # heads come by their starts, so one that ends no later than any before it lies inside that
+    kept = running(F.filter(found, lambda m: m["end"].isNotNull()), F.lit(-1), lambda m: m["end"], F.greatest)
+    return F.transform(F.filter(kept, lambda x: x["item"]["end"] > x["before"]), lambda x: x["item"])
 
 
 def _valid(kind: str, value: Column) -> Column:
@@ -148,9 +143,8 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _score(text: Column, kind: str, start: Column, end: Column) -> Column:
-    low = F.greatest(start - NEAR, F.lit(0))
-    near = F.lower(F.concat_ws(" ", F.substring(text, low + 1, start - low), F.substring(text, end + 1, F.lit(NEAR))))
+def _score(points: Column, kind: str, start: Column, end: Column) -> Column:
+    near = F.lower(F.concat_ws(" ", piece(points, F.greatest(start - NEAR, F.lit(0)), start), piece(points, end, end + NEAR)))
     # a word against counts only where none supports: "to order, call ..." is still a number to call
     change = F.when(near.rlike(rf"(?<!\p{{L}})(?:{SUPPORT[kind]})(?!\p{{L}})"), 0.2).when(near.rlike(rf"(?<!\p{{L}})(?:{AGAINST})(?!\p{{L}})"), -0.3).otherwise(0.0)
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(F.lit(SCORES[kind]) + change, 3)))
@@ -158,9 +152,12 @@ def _score(text: Column, kind: str, start: Column, end: Column) -> Column:
 
 def _of_kind(text: Column, kind: str) -> Column:
     """Spans of a kind that pass its check."""
-    good = _ibans(text) if kind == "iban" else F.filter(matches(text, PATTERNS[kind]), lambda m: _valid(kind, m["value"]))
-    spans = F.transform(good, lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), m["end"].alias("end"), _score(text, kind, m["start"], m["end"]).alias("score")))
-    return F.when(_NEEDS[kind](text), spans).otherwise(F.array().cast(SPAN))
+
+    def spans(points: Column) -> Column:
+        good = _ibans(text, points) if kind == "iban" else F.filter(matches(text, PATTERNS[kind]), lambda m: _valid(kind, m["value"]))
+        return F.transform(good, lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), m["end"].alias("end"), _score(points, kind, m["start"], m["end"]).alias("score")))
+
+    return F.when(_NEEDS[kind](text), let(code_points(text), spans)).otherwise(F.array().cast(SPAN))
 
 
 def with_spans(df: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
@@ -171,12 +168,13 @@ def with_spans(df: DataFrame, text: str = "text", out: str = "pii") -> DataFrame
     base span. Null and empty texts have no spans; other columns and repeated rows pass unchanged;
     a column named ``out`` is replaced.
     """
-    t, tmp = "__tessella_text", "__tessella_base"
+    t = "__tessella_text"
     rows = df.withColumn(t, F.coalesce(F.col(text), F.lit("")))
-    rows = rows.withColumn(tmp, F.concat(*[_of_kind(F.col(t), k) for k in BASE]))
-    more = F.concat(*[_of_kind(F.col(t), k) for k in KINDS[len(BASE) :]])
-    free = F.filter(more, lambda m: (m["score"] >= KEEP_FROM) & ~F.exists(F.col(tmp), lambda b: (b["start"] <= m["start"]) & (m["end"] <= b["end"])))
-    return rows.withColumn(out, F.array_sort(F.concat(F.col(tmp), free))).drop(t, tmp)
+    every = F.array_sort(F.concat(*[_of_kind(F.col(t), k) for k in KINDS]))
+    # by start, base kinds first: a span lies within a base span if one that began before it ends no earlier
+    reach = running(every, F.lit(-1), lambda m: F.when(m["kind"] < len(BASE), m["end"]).otherwise(-1), F.greatest)
+    free = F.filter(reach, lambda x: (x["item"]["kind"] < len(BASE)) | ((x["item"]["score"] >= KEEP_FROM) & (x["item"]["end"] > x["before"])))
+    return rows.withColumn(out, F.transform(free, lambda x: x["item"])).drop(t)
 
 
 def named(spans: Column, kinds: tuple[str, ...] = KINDS) -> Column:
@@ -193,12 +191,11 @@ def count(spans: Column, kind: str) -> Column:
 def redacted(text: Column, spans: Column) -> Column:
     """The text with each span replaced by its kind in angle brackets; overlapping spans become one, named by the first."""
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        apart = s["start"] >= acc["at"]
-        piece = F.when(apart, F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.element_at(names, s["kind"] + 1))).otherwise(F.array().cast("array<string>"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], piece).alias("out"))
+    def done(points: Column) -> Column:
+        reach = running(spans, F.lit(0), lambda s: s["end"], F.greatest)
+        # what begins before the last end so far belongs to the span before
+        pieces = F.transform(reach, lambda x: F.when(x["item"]["start"] >= x["before"], F.concat(piece(points, x["before"], x["item"]["start"]), F.element_at(names, x["item"]["kind"] + 1))).otherwise(""))
+        return F.concat(F.array_join(pieces, ""), piece(points, F.array_max(spans["end"]), F.length(text)))
 
-    done = F.aggregate(spans, zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    return F.when(F.size(spans) > 0, let(code_points(text), done)).otherwise(text)
