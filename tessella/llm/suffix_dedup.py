@@ -6,15 +6,15 @@ suffixes that start in a window of ``length`` bytes, the one whose first LEAD by
 smallest hash is the window's anchor. Equal windows have equal anchors at equal distances, and
 an anchor serves about a hundred windows. Then:
 
-1. Anchors are dealt by sampled splitters into ranges of their leading bytes (by a hash of them,
-   so that common leads don't crowd), sorted, and compared with their neighbours. A lead that
-   occurs once ends here. Anchors whose whole context is equal settle all their windows at once.
+1. Anchors are dealt by sampled splitters into ranges of their leading bytes, sorted, and compared
+   with their neighbours. A lead that occurs once ends here. Anchors whose whole context is equal,
+   by two 64-bit hashes of its bytes, settle all their windows at once.
 2. One anchor of each other context fetches its bytes. These suffixes are dealt by sampled
-   splitters again, now by the leading bytes themselves; buckets sort by multikey quicksort, and
-   the longest match with a neighbour tells which windows can have an equal at all. Those are
-   compared by 128-bit hashes of their bytes.
+   splitters again; buckets sort them by multikey quicksort, to the right of their anchors and,
+   turned round, to the left. Two windows at one distance from their anchors are equal if both the
+   longest common prefixes between them reach their ends: bytes decide, no hashes.
 3. A lead with more than SPLIT contexts is dealt to several buckets. What one of them doesn't
-   settle is compared across the boundaries by a join of the window hashes.
+   settle is compared across the boundaries by a join of 128-bit window hashes.
 
 No step holds more than a bucket's share of a lead, however common it is.
 """
@@ -36,8 +36,8 @@ LENGTH, LEAD = 200, 32
 #: Contexts of one lead that are compared in one task; more are split.
 SPLIT = 1 << 16
 #: Bytes whose hashes are held at one time, suffixes that are sorted together if their leads are
-#: rarer than that, and distances from window to anchor that are compared at one time.
-_SEGMENT, _BLOCK, _SLICE = 1 << 20, 8192, 16
+#: rarer than that, and rows that a quicksort no longer parts.
+_SEGMENT, _BLOCK, _FEW = 1 << 20, 8192, 48
 _INDEX = np.uint64((1 << 21) - 1)
 _A = (1 << 12) - 1  # packed: position << 24 | least distance << 12 | largest distance
 _U = np.uint64
@@ -70,7 +70,7 @@ def _sums(buf: np.ndarray, table: np.ndarray, power: np.ndarray) -> np.ndarray:
 
 
 def _segment_anchors(buf: np.ndarray, valid: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Anchors of the windows that start at ``valid`` (ascending): first and last window, anchor, hash of its lead and of its context."""
+    """Anchors of the windows that start at ``valid`` (ascending): first and last window, anchor, its leading eight bytes, hash of its lead and of its context."""
     to_lead, to_context, _, power, inverse, _, _ = _tables()
     x, k = to_lead[buf], 1
     while k < LEAD:
@@ -90,11 +90,14 @@ def _segment_anchors(buf: np.ndarray, valid: np.ndarray, length: int) -> tuple[n
     total = _sums(buf, to_context, power[: len(buf)])
     context = (total[last + length] - total[first]) * inverse[first]
     shape = ((at - last) << 12 | (at - first)).astype(np.uint64)
-    return first, last, at, x[at], _mix(context ^ _mix(shape + _U(1)))
+    lead = np.zeros(len(at), np.uint64)
+    for k in range(8):
+        lead = lead << _U(8) | buf[at + k]
+    return first, last, at, lead ^ _U(1 << 63), x[at], _mix(context ^ _mix(shape + _U(1)))
 
 
-_ANCHORS = "h long, c long, k1 long, k2 int, at long"
-_ANCHORS_ARROW = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("k1", pa.int64()), ("k2", pa.int32()), ("at", pa.int64())])
+_ANCHORS = "lead long, h long, c long, k1 long, k2 int, at long"
+_ANCHORS_ARROW = pa.schema([("lead", pa.int64()), ("h", pa.int64()), ("c", pa.int64()), ("k1", pa.int64()), ("k2", pa.int32()), ("at", pa.int64())])
 
 
 def _anchors(length: int):
@@ -114,10 +117,10 @@ def _anchors(length: int):
                 lo, hi = np.searchsorted(starts, (base, base + _SEGMENT))
                 if lo == hi:
                     continue
-                first, last, at, h, c = _segment_anchors(data[base : base + _SEGMENT + length], starts[lo:hi] - base, length)
+                first, last, at, lead, h, c = _segment_anchors(data[base : base + _SEGMENT + length], starts[lo:hi] - base, length)
                 doc = np.searchsorted(ends, first + base, "right") - 1
                 packed = (at + base - ends[doc]) << 24 | (at - last) << 12 | (at - first)
-                columns = [h.view(np.int64), c.view(np.int64), k1[doc], k2[doc], packed]
+                columns = [lead.view(np.int64), h.view(np.int64), c.view(np.int64), k1[doc], k2[doc], packed]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=_ANCHORS_ARROW)
 
     return run
@@ -129,7 +132,7 @@ _MARKED_ARROW = pa.schema([("kind", pa.int32()), ("h", pa.int64()), ("k1", pa.in
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compare each anchor of a partition that is sorted by (h, c) with the ones before and after it.
+    """Compare each anchor of a partition that is sorted by (lead, h, c) with the ones before and after it.
 
     SETTLED: another anchor has the same context. FETCH: the anchor stands for a context that has to
     be compared with other contexts of the same lead. At both ends of the partition the neighbour is
@@ -196,98 +199,119 @@ def _contexts(length: int):
 def multikey_sort(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order of byte rows, and how many bytes each row shares with the one after it in that order.
 
-    A multikey quicksort on all segments at once: each round parts the rows that are still equal
-    by their next eight bytes, and only equal parts of more than one row go on to the bytes after those.
+    Multikey quicksort: a part is split in three by a pivot for the word at its depth, eight bytes
+    that compare as a number; the middle part goes on to the next word. Parts of few rows are
+    sorted by what is left of them at once.
     """
     n, width = rows.shape
     padded = np.zeros((n, -(-width // 8) * 8), np.uint8)
     padded[:, :width] = rows
     words = padded.view(">u8").astype(np.uint64)
-    order, part, tied = np.arange(n), np.zeros(n, np.int64), np.arange(n)
-    for d in range(words.shape[1]):
-        if len(tied) < 2:
-            break
-        w = words[order[tied], d]
-        by = np.lexsort((w, part[tied]))
-        order[tied], w = order[tied][by], w[by]
-        new = np.r_[True, (w[1:] != w[:-1]) | (part[tied][1:] != part[tied][:-1])]
-        part[tied] = tied[np.maximum.accumulate(np.where(new, np.arange(len(tied)), 0))]
-        tied = tied[~(new & np.r_[new[1:], True])]
+    depth, order = words.shape[1], np.arange(n)
+    todo = [(0, n, 0)]
+    while todo:
+        low, high, d = todo.pop()
+        if high - low < 2 or d == depth:
+            continue
+        part = order[low:high]
+        if high - low <= _FEW:
+            order[low:high] = part[np.lexsort(words[part, d:].T[::-1])]
+            continue
+        w = words[part, d]
+        pivot = np.sort(w[[0, len(w) // 2, -1]])[1]
+        less, more = w < pivot, w > pivot
+        same = ~(less | more)
+        order[low:high] = np.concatenate([part[less], part[same], part[more]])
+        a = low + int(less.sum())
+        b = a + int(same.sum())
+        todo += [(low, a, d), (a, b, d + 1), (b, high, d)]
     differ = rows[order[1:]] != rows[order[:-1]]
     return order, np.where(differ.any(1), differ.argmax(1), width)
 
 
+def _side(buf: np.ndarray, start: np.ndarray, size: np.ndarray, step: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffixes of ``size`` bytes from ``start``, forwards or turned round, in order: the order, each one's place, shared bytes."""
+    n, along = len(start), np.arange(width)
+    rows = np.zeros((n, width), np.uint8)
+    for i in range(0, n, _BLOCK):
+        j = slice(i, i + _BLOCK)
+        place = np.clip(start[j, None] + step * along, 0, len(buf) - 1)
+        rows[j] = np.where(along < size[j, None], buf[place], 0)
+    order, shared = multikey_sort(rows)
+    at = np.empty(n, np.int64)
+    at[order] = np.arange(n)
+    return order, at, shared
+
+
+def _reach(order: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """The longest match of each suffix with a neighbour."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.maximum(np.r_[shared, 0], np.r_[0, shared])
+    return out
+
+
 RESULT, SINGLE, SEEN = 0, 1, 2
 _FOUND = "kind int, h1 long, h2 long, k1 long, k2 int, run long"
 _FOUND_ARROW = pa.schema([("kind", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("k1", pa.int64()), ("k2", pa.int32()), ("run", pa.int64())])
 
 
+def _found(kind: int, h1: np.ndarray, h2: np.ndarray, k1: np.ndarray, k2: np.ndarray, run: np.ndarray) -> pa.RecordBatch:
+    columns = [np.full(len(run), kind, np.int32), h1.view(np.int64), h2.view(np.int64), k1, k2, run]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_FOUND_ARROW)
+
+
 def _block(t: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
-    """Compare the windows of a block of suffixes, which has all of a lead's or of a part's. Parts count from 1; 0 is a whole lead."""
+    """Compare the windows of a block of suffixes, which has all of a lead's or of a part's. Parts count from 1; 0 is a whole lead.
+
+    Windows at one distance from their anchors are equal if they are in one group of suffixes that
+    share what is to the right, and in one of those that share what is to the left. Groups are runs
+    of the sorted suffixes whose neighbours share enough bytes.
+    """
     n = t.num_rows
-    lead = np.frombuffer(b"".join(t["lead"].to_pylist()), np.uint8).reshape(n, LEAD).view(np.uint64)
     contexts = t["context"].to_pylist()
     size = np.fromiter(map(len, contexts), np.int64, n)
     buf = np.frombuffer(b"".join(contexts), np.uint8)
     begin = np.cumsum(size) - size
     at, k1, k2, single, part = (t[c].to_numpy() for c in ("at", "k1", "k2", "single", "part"))
     near, far, cut = at >> 12 & _A, at & _A, part > 0
-    # to the right: no more than the longest match with a neighbour in suffix order
-    rows = np.zeros((n, length), np.uint8)
-    right = np.arange(length)
-    for i in range(0, n, _BLOCK):
-        j = slice(i, i + _BLOCK)
-        place = np.minimum((begin + far)[j, None] + right, len(buf) - 1)
-        rows[j] = np.where(right < (length - near)[j, None], buf[place], 0)
-    order, shared = multikey_sort(rows)
-    reach = np.empty(n, np.int64)
-    reach[order] = np.maximum(np.r_[shared, 0], np.r_[0, shared])
-    low = np.maximum(near, length - np.where(cut, length, reach))
-    _, one, two, p1, i1, p2, i2 = _tables()
-    offset = np.arange(len(buf)) - np.repeat(begin, size)
-    s1, s2 = _sums(buf, one, p1[offset]), _sums(buf, two, p2[offset])
-    # equal windows have their anchors at equal distances
-    for first in range(int(low.min()), int(far.max()) + 1, _SLICE):
-        yield from _windows(np.maximum(low, first), np.minimum(far, first + _SLICE - 1), (s1, i1, s2, i2), begin, far, at, k1, k2, single, cut, length)
-
-
-def _windows(low, high, sums, begin, far, at, k1, k2, single, cut, length: int) -> Iterator[pa.RecordBatch]:
-    """Compare the windows whose distance to their anchor is from ``low`` to ``high``, for each row."""
-    count = np.maximum(0, high - low + 1)
-    of = np.repeat(np.arange(len(count)), count)
-    if not len(of):
-        return
-    s1, i1, s2, i2 = sums
-    a = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + low[of]
-    inside = far[of] - a
-    start = begin[of] + inside
-    h1 = _mix((s1[start + length] - s1[start]) * i1[inside])
-    h2 = _mix((s2[start + length] - s2[start]) * i2[inside])
-    by = np.lexsort((h2, h1))
-    fresh = np.r_[True, (h1[by][1:] != h1[by][:-1]) | (h2[by][1:] != h2[by][:-1])]
-    name = np.empty(len(by), np.int64)
-    name[by] = np.cumsum(fresh) - 1
-    seen = np.bincount(name, 2 - single[of])[name] >= 2
-    s = (at >> 24)[of] - a
-
-    def found(kind, which, run):
-        o = of[which]
-        columns = [np.full(len(which), kind, np.int32), h1[which].view(np.int64), h2[which].view(np.int64), k1[o], k2[o], run]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_FOUND_ARROW)
-
-    hit = np.flatnonzero(seen & single[of])
-    if len(hit):
-        # distances ascend, so window starts descend within a row
-        gap = np.r_[True, (of[hit][1:] != of[hit][:-1]) | (s[hit][1:] != s[hit][:-1] - 1)]
-        ends = np.r_[np.flatnonzero(gap)[1:] - 1, len(hit) - 1]
-        yield found(RESULT, hit[ends], s[hit[ends]] << 12 | (s[hit[gap]] - s[hit[ends]]))
-    at_cut = cut[of]
-    if at_cut.any():
-        alone = np.flatnonzero(at_cut & ~seen)
-        yield found(SINGLE, alone, s[alone] << 12)
-        marked = np.flatnonzero(at_cut & seen)
-        marked = marked[np.unique(name[marked], return_index=True)[1]]
-        yield found(SEEN, marked, s[marked] << 12)
+    right_order, right_at, right = _side(buf, begin + far, length - near, 1, length)
+    left_order, left_at, left = _side(buf, begin + far - 1, far, -1, length)
+    # parts of one lead that happen to meet here are compared as others are, by their hashes
+    apart = np.cumsum(np.r_[False, part[1:] != part[:-1]])
+    right_reach, left_reach, weight = _reach(right_order, right), _reach(left_order, left), 2 - single
+    low, high = int(near.min()), int(far.max())
+    hit, alone = np.zeros((n, high - low + 2), bool), []
+    for a in range(low, high + 1):
+        rows = np.flatnonzero((near <= a) & (a <= far) & (cut | (right_reach >= length - a) & (left_reach >= a)))
+        if not len(rows):
+            continue
+        from_right = np.cumsum(np.r_[False, right < length - a])[right_at[rows]]
+        from_left = np.cumsum(np.r_[False, left < a])[left_at[rows]]
+        _, first, name = np.unique((from_right * n + from_left) * (apart[-1] + 1) + apart[rows], return_index=True, return_inverse=True)
+        times = np.bincount(name, weight[rows])
+        hit[rows, a - low] = (times[name] >= 2) & single[rows]
+        if cut.any():
+            seen = times >= 2
+            alone.append((SINGLE, rows[~seen[name] & cut[rows]], a))
+            alone.append((SEEN, rows[first[seen]][cut[rows[first[seen]]]], a))
+    # runs of distances, in each row; starts of windows descend as distances ascend
+    edge = np.diff(np.pad(hit, ((0, 0), (1, 0))).astype(np.int8), axis=1)
+    row, a = np.nonzero(edge == 1)
+    _, b = np.nonzero(edge == -1)
+    start = (at >> 24)[row] - (b - 1 + low)
+    if len(row):
+        none = np.zeros(len(row), np.uint64)
+        yield _found(RESULT, none, none, k1[row], k2[row], start << 12 | (b - 1 - a))
+    if alone:
+        _, one, two, p1, i1, p2, i2 = _tables()
+        offset = np.arange(len(buf)) - np.repeat(begin, size)
+        s1, s2 = _sums(buf, one, p1[offset]), _sums(buf, two, p2[offset])
+        for kind, rows, a in alone:
+            inside = far[rows] - a
+            first = begin[rows] + inside
+            h1, h2 = (_mix((s[first + length] - s[first]) * i[inside]) for s, i in ((s1, i1), (s2, i2)))
+            if len(rows):
+                yield _found(kind, h1, h2, k1[rows], k2[rows], ((at >> 24)[rows] - a) << 12)
 
 
 def _blocks(length: int):
@@ -330,7 +354,7 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
     t = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.select(F.col(id).alias("id"), t.cast("binary").alias("t"), F.xxhash64(t).alias("k1"), F.hash(t).alias("k2"))
     anchors = materialize(keyed.where(F.length("t") >= length).select("t", "k1", "k2").mapInArrow(_anchors(length), _ANCHORS), "anchors")
-    near = anchors.repartitionByRange("h", "c", "k1", "k2", "at").sortWithinPartitions("h", "c")
+    near = anchors.repartitionByRange("lead", "h", "c", "k1", "k2", "at").sortWithinPartitions("lead", "h", "c")
     marked = materialize(near.mapInArrow(_compare, _MARKED), "marked")
     drop_table(anchors)
 
@@ -347,8 +371,10 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
     which = (F.col("k1") == F.col("j1")) & (F.col("k2") == F.col("j2")) & F.col("id").eqNullSafe(F.col("who"))
     texts = keyed.join(wanted.hint("shuffle_hash"), which).select("t", "k1", "k2", "wanted")
     bound_batches(spark)
-    contexts = texts.mapInArrow(_contexts(length), _CONTEXTS).repartitionByRange("lead", "part").sortWithinPartitions("lead", "part")
-    found = materialize(contexts.mapInArrow(_blocks(length), _FOUND), "found")
+    contexts = materialize(texts.mapInArrow(_contexts(length), _CONTEXTS), "contexts")
+    dealt = contexts.repartitionByRange("lead", "part").sortWithinPartitions("lead", "part")
+    found = materialize(dealt.mapInArrow(_blocks(length), _FOUND), "found")
+    drop_table(contexts)
 
     place = F.when(kind == SINGLE, F.struct("k1", "k2", "run"))
     across = found.where(kind > RESULT).groupBy("h1", "h2").agg(F.sum("kind").alias("n"), F.collect_list(place).alias("places"))
