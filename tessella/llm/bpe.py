@@ -54,6 +54,8 @@ class ByteBPE:
         pre = spec.get("pre_tokenizer") or {}
         if model["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or spec.get("normalizer"):
             raise ValueError(f"{path} is not plain byte-level BPE")
+        if any(t.get(flag) for t in spec.get("added_tokens", []) for flag in ("lstrip", "rstrip", "single_word")):
+            raise ValueError(f"{path} has added tokens that take in blanks or stand alone")
         added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.table = {i: bytes(alphabet[c] for c in t) for t, i in model["vocab"].items() if t not in added}
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
@@ -65,7 +67,8 @@ class ByteBPE:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.special = regex.compile("|".join(map(regex.escape, added))) if added else None
+        # the longest of those that begin at one place, as the library takes them
+        self.special = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.added = added
         self.piece = regex.compile(PATTERN)
 
