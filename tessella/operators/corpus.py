@@ -10,6 +10,7 @@ from ..functions.arrow import align_monotone, plain
 from ..functions.clean import retrieval_key
 from ..functions.dialect import S, collapse, lookup, strip, text_of, tokens
 from ..functions.tables import EDGE_MARKS
+from ..sources.files import scratch, written
 
 # ---- sentences ----
 
@@ -103,7 +104,8 @@ def batched(rows: DataFrame, size: int, id: str, seed: int | None = None) -> Dat
     Rows are dealt to sorted ranges and numbered by the sizes of the ranges before, so no task sees all of them.
     """
     order = F.col(id) if seed is None else F.md5(F.concat_ws(":", F.col(id).cast("string"), F.lit(str(seed))))
-    dealt = rows.withColumn("__o", order).repartitionByRange("__o").sortWithinPartitions("__o", id).withColumn("__i", F.monotonically_increasing_id()).persist()
+    dealt = rows.withColumn("__o", order).repartitionByRange("__o").sortWithinPartitions("__o", id).withColumn("__i", F.monotonically_increasing_id())
+    dealt = written(dealt, scratch(rows.sparkSession, "batches"))  # numbers hold for good once they are written
     part = F.shiftright("__i", 33)
     sizes = dealt.groupBy(part.alias("__p")).agg(F.count("*").alias("__n"))
     before = sizes.select("__p", (F.sum("__n").over(W.orderBy("__p")) - F.col("__n")).alias("__b"))  # one row a partition

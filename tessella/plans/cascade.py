@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import clean as C
@@ -10,6 +13,7 @@ from ..functions.arrow import tail_aligned
 from ..functions.dialect import blank, collapse, let, strip, text_of, tokens
 from ..functions.tables import DICTIONARY, DICTIONARY_ADAPTER, DICTIONARY_ASCII
 from ..operators import corpus, metrics, select
+from ..sources.files import numbered, read_csv, scratch, written
 
 # ---- one row at a time ----
 
@@ -86,6 +90,30 @@ def adaptive_width(rows: int, budget_s: float, costs: dict[int, float]) -> int:
 
 # ---- tables ----
 
+
+def translate(rows: DataFrame, cands: DataFrame, threshold: float = 0.5, similarity=metrics.combined_similarity) -> DataFrame:
+    """Columns id, translation, confidence, high_confidence, method, candidates for rows (id, text) and their candidates (id, cand, text, seq_score).
+
+    Candidates come from any model, a beam of one or of many; one row is a batch of one. The first
+    three are named; a row without any has an empty translation and confidence 0.
+    """
+    sources = rows.select(F.col("id").alias("i"), text_of(F.col("text")).alias("source"))
+    known = cands.select(F.col("id").alias("group"), "cand", "text", "seq_score").join(sources, F.col("group").eqNullSafe(F.col("i"))).drop("i")
+    best = select.confidence_select(known, threshold, similarity).select(F.col("group").alias("g"), "text", "score", "high_confidence", "method")
+    first = F.slice(F.array_sort(F.collect_list(F.struct("cand", text_of(F.col("text")).alias("text")))), 1, 3)
+    named = known.withColumn("r", F.row_number().over(W.partitionBy("group").orderBy("cand"))).where("r <= 3")
+    named = named.groupBy(F.col("group").alias("n")).agg(F.transform(first, lambda c: c["text"]).alias("candidates"))
+    out = rows.select("id").join(best, F.col("id").eqNullSafe(F.col("g")), "left").join(named, F.col("id").eqNullSafe(F.col("n")), "left")
+    none = F.array().cast("array<string>")
+    return out.select("id", text_of(F.col("text")).alias("translation"), F.coalesce("score", F.lit(0.0)).alias("confidence"), F.coalesce("high_confidence", F.lit(False)).alias("high_confidence"), F.coalesce("method", F.lit("confidence_filtering")).alias("method"), F.coalesce("candidates", none).alias("candidates"))
+
+
+def translate_csv(spark: SparkSession, path: str, candidates: Callable[[DataFrame], DataFrame], column: str = "transliteration", **how) -> DataFrame:
+    """:func:`translate` for a column of a CSV file; ids are the places of its rows, and ``candidates`` makes candidates of rows (id, text)."""
+    rows = numbered(read_csv(spark, path).select(text_of(F.col(f"`{column}`")).alias("text")), "id")
+    return translate(rows, candidates(rows), **how).drop("candidates")
+
+
 HIGH, FAIR, LOW, LONG = 0.70, 0.30, 0.15, 256
 
 
@@ -100,11 +128,12 @@ def first_tier(rows: DataFrame, cands: DataFrame, memory: DataFrame, key, extern
     base = base.withColumn("short", C.dictionary_lookup(F.col("source"), DICTIONARY_ASCII))
     short = base.where("short is not null").select("sample_id", F.col("short").alias("text"), F.lit("short").alias("method"))
     # read several times below, and behind an Arrow function
-    looked = corpus.memory_lookup(base.where("short is null"), memory, key(F.col("source"))).persist()
+    looked = written(corpus.memory_lookup(base.where("short is null"), memory, key(F.col("source"))), scratch(rows.sparkSession, "looked"))
     exact = looked.where("exact is not null").select("sample_id", C.postprocess_ascii(F.col("exact")).alias("text"), F.lit("exact").alias("method"))
-    open_rows = looked.where("exact is null").withColumn("tr", C.postprocess_ascii(F.col("found"))).drop("short", "exact").persist()
+    open_rows = looked.where("exact is null").withColumn("tr", C.postprocess_ascii(F.col("found"))).drop("short", "exact")
+    open_rows = written(open_rows, scratch(rows.sparkSession, "open"))
     cleaned = cands.join(open_rows.select(F.col("sample_id").alias("s")), F.col("sample_id") == F.col("s")).select(F.col("sample_id").alias("group"), "cand", C.postprocess_ascii(F.col("text")).alias("text"))
-    sound = cleaned.where((F.col("text") != "") & ~C.is_garbage(F.col("text"))).persist()
+    sound = written(cleaned.where((F.col("text") != "") & ~C.is_garbage(F.col("text"))), scratch(rows.sparkSession, "sound"))
     counted = sound.groupBy(F.col("group").alias("g")).agg(F.count("*").alias("sound"))
     state = open_rows.join(counted, F.col("sample_id") == F.col("g"), "left").drop("g")
     none = F.col("sound").isNull()

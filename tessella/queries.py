@@ -1006,4 +1006,173 @@ def label_masks(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", joined(masked).alias("masked"), joined(corpus.unmasked_labels(masked, 200)).alias("unmasked"))
 
 
+# ---- files: tables are written to the shared folder and read again ----
+
+TALK = "(select conv_id, turn, role, text from conversations)"
+
+
+def _csv(spark, df: DataFrame, tag: str) -> str:
+    path = scratch(spark, tag)
+    sinks.write_csv(df, path)
+    return path
+
+
+@query(f"select conv_id, turn, role, nullif(text, '') as text from {TALK}")
+def csv_round_trip(spark, sf_dir):
+    talk = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return files.read_csv(spark, _csv(spark, talk, "csv"), "conv_id long, turn long, role string, text string")
+
+
+@query("select o_orderkey as orderkey, o_totalprice as price, o_orderstatus as status from orders")
+def csv_inferred(spark, sf_dir):
+    """Types are found by reading; line by line, so that a file can be split."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("orderkey"), F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status"))
+    out = files.read_csv(spark, _csv(spark, orders, "orders"), infer=True, multi_line=False)
+    return out.select(F.col("orderkey").cast("long").alias("orderkey"), "price", "status")
+
+
+@query(f"select {strip_sql('text')} as text, count(*) as n from {TALK} group by 1")
+def csv_column(spark, sf_dir):
+    path = _csv(spark, table(spark, sf_dir, "conversations").select("conv_id", "text"), "column")
+    return files.read_texts(spark, path, "text").groupBy("text").agg(F.count("*").alias("n"))
+
+
+ONE_LINE = "regexp_replace({0}, '[\\r\\n]+', ' ', 'g')"
+
+
+@query(f"select text, count(*) as n from (select {strip_sql('line')} as text from (select unnest(regexp_split_to_array(text, '\\r\\n|\\r|\\n')) as line from documents)) where text <> '' group by text")
+def text_lines(spark, sf_dir):
+    path = scratch(spark, "lines")
+    table(spark, sf_dir, "documents").select("text").write.text(path)
+    return files.read_texts(spark, path).groupBy("text").agg(F.count("*").alias("n"))
+
+
+LINED = f"(select row_number() over (order by conv_id, turn) - 1 as ord, {strip_sql(ONE_LINE.format('src'))} as src, {strip_sql(ONE_LINE.format('tgt'))} as tgt from {PAIRS})"
+
+
+@query(f"select * from {LINED} where length(src) > 5 and length(tgt) > 5")
+def parallel_lines(spark, sf_dir):
+    sides = {}
+    for c in ("src", "tgt"):
+        line = F.regexp_replace(c, r"[\r\n]+", " ")
+        sides[c] = scratch(spark, c)
+        _pairs(spark, sf_dir).select("conv_id", "turn", line.alias("line")).coalesce(1).sortWithinPartitions("conv_id", "turn").select("line").write.text(sides[c])
+    return files.read_parallel(spark, sides["src"], sides["tgt"])
+
+
+@query(f"select src, tgt from {PAIRS} where src <> '' and tgt <> ''")
+def corpus_scan(spark, sf_dir):
+    """Columns are found by their names, in the first folder and under the first name that there is."""
+    named = _pairs(spark, sf_dir).select("conv_id", F.col("src").alias("Akkadian_text"), F.col("tgt").alias("english"))
+    folder = scratch(spark, "found")
+    sinks.write_csv(named, f"{folder}/all_Sentences.csv")
+    return files.read_corpus(spark, files.find_table(spark, [f"{folder}/nowhere", folder], ["sentences.csv"]))
+
+
+@query("select doc_id, source, coalesce(lang, source) as tgt from documents")
+def teacher_choice(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    return files.teacher_or_target(d, "lang", "source").select("doc_id", "source", "tgt")
+
+
+@query(ORACLES["hash_split"].replace("doc_id, source,", "doc_id,", 1))
+def split_outputs(spark, sf_dir):
+    train, val = scratch(spark, "train"), scratch(spark, "val")
+    sinks.write_split(corpus.hash_split(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 0.2), train, val)
+    read = lambda path, flag: files.read_csv(spark, path, "doc_id long").withColumn("is_val", F.lit(flag))
+    return read(train, False).union(read(val, True))
+
+
+@query(f"select doc_id as id, case when {collapse_sql(ascii_sql('text'))} = '' then 'broken text' else {collapse_sql(collapse_sql(ascii_sql('text')))} end as translation from documents")
+def repaired_output(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("translation"))
+    return sinks.repaired(d)
+
+
+@query("select to_json({'role': role, 'n': n}) as report from (select role, count(*) as n from conversations group by role)")
+def report_json(spark, sf_dir):
+    return sinks.report_json(table(spark, sf_dir, "conversations").groupBy("role").agg(F.count("*").alias("n")))
+
+
+@query("select doc_id, lang, source from documents")
+def result_table(spark, sf_dir):
+    return sinks.result_table(table(spark, sf_dir, "documents"), ["doc_id", "lang"], ["source", "not there"])
+
+
+@query("select count(*) as n_rows, 5 as n_columns, 'doc_id,text,lang,source,n_chars' as names, min(doc_id) as first_id from documents")
+def table_shape(spark, sf_dir):
+    seen = contracts.inspect(table(spark, sf_dir, "documents"), "doc_id")
+    return spark.createDataFrame([(seen["shape"][0], seen["shape"][1], ",".join(seen["columns"]), seen["first"][0]["doc_id"])], "n_rows long, n_columns int, names string, first_id long")
+
+
+# ---- filters, limits, batches, scores of whole tables ----
+
+
+@query("select doc_id, text from documents order by doc_id desc limit 25")
+def first_rows(spark, sf_dir):
+    return corpus.first_rows(table(spark, sf_dir, "documents").select("doc_id", "text", (-F.col("doc_id")).alias("turned")), 25, "turned").drop("turned")
+
+
+@query("select doc_id, (row_number() over (order by doc_id) - 1) // 32 as batch, (row_number() over (order by doc_id) - 1) % 32 as place from documents")
+def batches_in_order(spark, sf_dir):
+    return corpus.batched(table(spark, sf_dir, "documents").select("doc_id"), 32, "doc_id")
+
+
+@query("select doc_id, (row_number() over (order by h, doc_id) - 1) // 32 as batch, (row_number() over (order by h, doc_id) - 1) % 32 as place from (select doc_id, md5(doc_id || ':7') as h from documents)")
+def batches_shuffled(spark, sf_dir):
+    return corpus.batched(table(spark, sf_dir, "documents").select("doc_id"), 32, "doc_id", seed=7)
+
+
+@query(f"select conv_id, turn, src from {PAIRS} where len({tokens_sql('src')}) >= 10")
+def token_count_filter(spark, sf_dir):
+    return corpus.longer_than(_pairs(spark, sf_dir), "src", 10).select("conv_id", "turn", "src")
+
+
+@query(f"select conv_id, turn, unnest(range(0, len(a))) as at, unnest(a) as word, unnest(list_transform(a, lambda w: length(w))) as size from (select conv_id, turn, {tokens_sql('src')} as a from {PAIRS})")
+def positional_zip(spark, sf_dir):
+    words = tokens(F.col("src"))
+    z = corpus.zip_strict(words, F.transform(words, F.length))
+    out = _pairs(spark, sf_dir).select("conv_id", "turn", F.posexplode(z).alias("at", "z"))
+    return out.select("conv_id", "turn", F.col("at").cast("long").alias("at"), F.col("z.a").alias("word"), F.col("z.b").cast("long").alias("size"))
+
+
+@query(f"select n, bleu, chrf, geo_mean from ({corpus_scores_sql(f'select 0 as one, tgt as h, src as r from {PAIRS}', 'one')})")
+def evaluate(spark, sf_dir):
+    p = _pairs(spark, sf_dir).select(F.struct("conv_id", "turn").alias("id"), "src", "tgt")
+    return metrics.evaluate(p.select("id", F.col("tgt").alias("text")), p.select("id", F.col("src").alias("text")))
+
+
+DIGITS_DONE = collapse_sql(replace_sql(digits_sql("translate({0}, 'ḫḪ', 'hH')"), T.FRACTIONS))
+
+
+def dotted_sql(text: str) -> str:
+    return f"(select case when {strip_sql('y')} = '' then '.' else y end from (select {DIGITS_DONE.replace('{0}', text)} as y))"
+
+
+DOTTED = "select 0 as one, " + dotted_sql("tgt") + " as h, " + dotted_sql("src") + f" as r from {PAIRS}"
+
+
+@query(f"select bleu, chrf from ({corpus_scores_sql(DOTTED, 'one')})")
+def training_scores(spark, sf_dir):
+    return metrics.training_scores(_pairs(spark, sf_dir), F.col("tgt"), F.col("src"), C.postprocess_digits)
+
+
+@query(f"select text, min(part) as part from (select text, 0 as part from benchmark union all select src, 1 from {PAIRS}) group by text")
+def corpora_together(spark, sf_dir):
+    """Further corpora behind the first; of equal texts the first one stays."""
+    both = table(spark, sf_dir, "benchmark").select("text", F.lit(0).alias("part")).union(_pairs(spark, sf_dir).select("src", F.lit(1)))
+    return corpus.dedup_first(both, "text", "part")
+
+
+@query(ORACLES["confidence_filter"].replace('select grp as "group", cand, round(score, 6) as score, high as high_confidence_count, high > 0 or score >= 0.7 as high_confidence from r where r = 1', f"""select r.grp as id, t.text as translation, round(r.score, 6) as confidence, r.high > 0 or r.score >= 0.7 as high_confidence,
+case when r.high > 0 or r.score >= 0.7 then 'high_confidence' else 'confidence_filtering' end as method, (select array_to_string(list_slice(list(x.text order by x.cand), 1, 3), chr(1)) from {CANDS} x where x.grp = r.grp) as candidates
+from r join {CANDS} t on t.grp = r.grp and t.cand = r.cand where r.r = 1"""))
+def translate_batch(spark, sf_dir):
+    """The first user turn of a conversation as the source, its assistant turns as candidates."""
+    c = _with_source(spark, sf_dir).withColumn("seq_score", F.col("seq_score") * 5)
+    rows = c.select(F.col("group").alias("id"), F.col("source").alias("text")).distinct()
+    out = cascade.translate(rows, c.select(F.col("group").alias("id"), "cand", "text", "seq_score"), 0.5, metrics.token_f1)
+    return out.select("id", "translation", F.round("confidence", 6).alias("confidence"), "high_confidence", "method", F.array_join("candidates", "\x01").alias("candidates"))
+
+
 FLAGSHIP = retrieve_topk

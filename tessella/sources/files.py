@@ -69,18 +69,23 @@ def read_texts(spark: SparkSession, path: str, column: str | None = None) -> Dat
     return read_lines(spark, path)
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Columns line_no (from 0, in file order), text; all lines, as they are.
+def numbered(rows: DataFrame, out: str) -> DataFrame:
+    """``rows`` with their number from 0, in the order of the file they are read from.
 
-    Partitions of one file come in file order, so a line's number is its own within the partition
-    and the lines of the partitions before, which are counted in one pass.
+    Partitions of one file come in file order, so a row's number is its own within the partition
+    and the rows of the partitions before, which are counted in one pass.
     """
-    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("id"), F.col("value").alias("text"))
-    part = F.shiftright("id", 33)
-    sizes = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-    before = sizes.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))  # one row a partition
-    joined = rows.join(F.broadcast(before), part == F.col("part"))
-    return joined.select((F.col("before") + F.col("id").bitwiseAND((1 << 33) - 1)).alias("line_no"), "text")
+    own = rows.withColumn("__id", F.monotonically_increasing_id())
+    part = F.shiftright("__id", 33)
+    sizes = own.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = sizes.select("__part", (F.sum("__n").over(W.orderBy("__part")) - F.col("__n")).alias("__before"))  # one row a partition
+    joined = own.join(F.broadcast(before), part == F.col("__part"))
+    return joined.select((F.col("__before") + F.col("__id").bitwiseAND((1 << 33) - 1)).alias(out), *rows.columns)
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Columns line_no (from 0, in file order), text; all lines, as they are."""
+    return numbered(spark.read.text(path).select(F.col("value").alias("text")), "line_no")
 
 
 def read_parallel(spark: SparkSession, src_path: str, tgt_path: str, longer_than: int = 5) -> DataFrame:

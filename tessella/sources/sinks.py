@@ -11,7 +11,7 @@ from ..functions.dialect import collapse
 
 def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
     """CSV with a header. ``one_file`` is for outputs that a single task can hold."""
-    (df.coalesce(1) if one_file else df).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    (df.coalesce(1) if one_file else df).write.mode("overwrite").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_split(rows: DataFrame, train: str, val: str) -> None:

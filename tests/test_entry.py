@@ -7,5 +7,5 @@ def test_every_oracle_has_its_query():
 
 def test_flagship(spark):
     df = entry.entry(spark)
-    assert df.columns == ["query", "doc", "combined", "score", "rank"]
+    assert df.columns == ["query", "conv_id", "turn", "combined", "score", "rank"]
     assert 0 < df.count() <= 400
