@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.arrow import ratcliff
 from ..functions.clean import retrieval_key
 from ..functions.dialect import tokens
-from ..sources.files import written
+from ..sources.files import scratch, written
 from .ngrams import characters, windows
 
 CHAR_ORDERS, WORD_ORDERS = (3, 4, 5, 6), (1, 2)
@@ -48,11 +48,11 @@ def key_words(key: Column) -> Column:
 
 @dataclass
 class Index:
-    """``docs``: doc, key, words (and any payload); ``grams``: space, gram, doc, weight; ``idf``: space, gram, df, idf."""
+    """``docs``: doc, key, words (and any payload); ``grams``: space, gram, doc, weight; ``terms``: space, gram, df, idf, top (the largest weight)."""
 
     docs: DataFrame
     grams: DataFrame
-    idf: DataFrame
+    terms: DataFrame
 
 
 def counts(rows: DataFrame, id: str, key: str = "key") -> DataFrame:
@@ -80,18 +80,19 @@ def build_index(corpus: DataFrame, folder: str, doc: str = "doc", source: str =
     total = docs.agg(F.count("*").alias("total"))
     df = tf.groupBy("space", "gram").agg(F.count("*").alias("df"))
     idf = df.crossJoin(F.broadcast(total)).select("space", "gram", "df", (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf"))  # a total is one row
-    idf = written(idf, f"{folder}/idf")
-    return Index(docs, written(weighted(tf, idf, "doc"), f"{folder}/grams"), idf)
+    grams = written(weighted(tf, idf, "doc"), f"{folder}/grams")
+    top = grams.groupBy("space", "gram").agg(F.max("weight").alias("top"))
+    return Index(docs, grams, written(idf.join(top, ["space", "gram"]), f"{folder}/terms"))
 
 
 def open_index(spark: SparkSession, folder: str) -> Index:
-    return Index(*[spark.read.parquet(f"{folder}/{t}") for t in ("docs", "grams", "idf")])
+    return Index(*[spark.read.parquet(f"{folder}/{t}") for t in ("docs", "grams", "terms")])
 
 
 def similarities(queries: DataFrame, index: Index, query: str = "query", key: str = "key") -> DataFrame:
     """Columns query, doc, char_sim, word_sim for each query and document that share an n-gram."""
     tf = counts(queries.withColumnRenamed(query, "query") if query != "query" else queries, "query", key)
-    q = weighted(tf, index.idf, "query").withColumnRenamed("weight", "qw")
+    q = weighted(tf, index.terms, "query").withColumnRenamed("weight", "qw")
     part = lambda s: F.sum(F.when(F.col("space") == s, F.col("qw") * F.col("weight")).otherwise(0.0))
     return q.join(index.grams, ["space", "gram"]).groupBy("query", "doc").agg(part("char").alias("char_sim"), part("word").alias("word_sim"))
 
@@ -101,19 +102,20 @@ def nearest(queries: DataFrame, index: Index, top: int = TOP, w_char: float = W_
 
     An n-gram adds at most its part of the query times its largest weight in any document.
     """
-    q = weighted(counts(queries, "query"), index.idf, "query")
+    q = weighted(counts(queries, "query"), index.terms, "query")
     q = q.withColumn("c", F.when(F.col("space") == "char", w_char).otherwise(w_word) * F.col("weight")).drop("weight")
-    vocabulary = index.grams.groupBy("space", "gram").agg(F.count("*").alias("df"), F.max("weight").alias("top"))
-    q = q.join(vocabulary, ["space", "gram"]).withColumn("most", F.col("c") * F.col("top"))
+    q = q.join(index.terms, ["space", "gram"]).withColumn("most", F.col("c") * F.col("top"))
     by = W.partitionBy("query")
     rare_first = by.orderBy("df", "space", "gram")
-    q = q.withColumn("total", F.sum("most").over(by)).withColumn("upto", F.sum("most").over(rare_first))
+    q = q.withColumn("total", F.sum("most").over(by)).withColumn("upto", F.sum("most").over(rare_first)).select("query", "space", "gram", "c", "most", "total", "upto")
+    q = written(q, scratch(queries.sparkSession, "asked"))  # read twice, and behind an Arrow function
     rare = q.where(F.col("upto") - F.col("most") < F.col("total") / 2)
     # the score of the last of the best by rare n-grams alone: the best by all n-grams reach it too
     part = rare.select("query", "space", "gram", "c").join(index.grams, ["space", "gram"]).groupBy("query", "doc").agg(F.sum(F.col("c") * F.col("weight")).alias("p"))
     last = part.withColumn("r", F.row_number().over(W.partitionBy("query").orderBy(F.desc("p")))).where(F.col("r") == top).select(F.col("query").alias("lq"), F.col("p").alias("least"))
     split = q.join(last, F.col("query") == F.col("lq"), "left").withColumn("least", F.coalesce("least", F.lit(0.0)) - EPS)
     split = split.select("query", "space", "gram", "c", "least", (F.col("total") - F.col("upto") + F.col("most")).alias("rest"))
+    split = written(split, scratch(queries.sparkSession, "split"))
     common = F.col("rest") < F.col("least")
     spare = split.groupBy("query").agg(F.first("least").alias("least"), F.coalesce(F.max(F.when(common, F.col("rest"))), F.lit(0.0)).alias("spare"))
     first = split.where(~common).join(index.grams, ["space", "gram"]).groupBy("query", "doc").agg(F.sum(F.col("c") * F.col("weight")).alias("p"))
