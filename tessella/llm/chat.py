@@ -55,16 +55,16 @@ def chains(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str
     return clean.select("tree", node.alias("node"), "role", "text").select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
-def _jumps(links: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """Tables of each node's ancestor 1, 2, 4, ... replies up, and each node's depth and path score."""
+def _jumps(links: DataFrame) -> tuple[list[DataFrame], DataFrame, list[DataFrame]]:
+    """Tables of each node's ancestor 1, 2, 4, ... replies up, each node's depth and path score, and what was written for that."""
     here = materialize(links.select("tree", "node", F.col("parent").alias("up"), F.lit(1).cast("long").alias("dist"), "score"), "jump")
-    up_tables, ended = [], [here.where("up is null")]
+    up_tables, ended, written = [], [here.where("up is null")], [here]
     for _ in range(MAX_ROUNDS):
         going = here.where("up is not null")
         up_tables.append(going.select("tree", "node", "up"))
         if going.isEmpty():
             up_tables.pop()
-            return up_tables, _union([x.select("tree", "node", F.col("dist").alias("depth"), "score") for x in ended])
+            return up_tables, _union([x.select("tree", "node", F.col("dist").alias("depth"), "score") for x in ended]), written
         a, b = going.alias("a"), here.alias("b")
         on = F.col("a.tree").eqNullSafe(F.col("b.tree")) & (F.col("a.up") == F.col("b.node"))
         # what b lacks ended in an earlier round, so its totals are looked up there
@@ -77,6 +77,7 @@ def _jumps(links: DataFrame) -> tuple[list[DataFrame], DataFrame]:
             ),
             "jump",
         )
+        written.append(here)
         ended.append(here.where("up is null"))
     raise ValueError("replies form a cycle")
 
@@ -101,7 +102,7 @@ def chosen_paths(nodes: DataFrame, branches: int | None = 1) -> DataFrame:
     known = all_nodes.select(F.col("tree").alias("t"), F.col("node").alias("p"))
     linked = all_nodes.select("tree", "node", "parent", "score").join(known, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("p")), "left")
     links = materialize(linked.select("tree", "node", F.col("p").alias("parent"), "score"), "links")
-    ups, depths = _jumps(links)
+    ups, depths, written = _jumps(links)
     replied = links.where("parent is not null").select(F.col("tree").alias("t"), F.col("parent").alias("p")).distinct()
     leaves = depths.join(replied, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("p")), "left_anti")
     rank = F.row_number().over(W.partitionBy("tree").orderBy(F.desc("score"), F.desc("depth"), "node"))
@@ -115,6 +116,8 @@ def chosen_paths(nodes: DataFrame, branches: int | None = 1) -> DataFrame:
         after = materialize(path.union(more), "path")
         drop_table(path)
         path = after
+    for old in (links, *written):
+        drop_table(old)
     words = all_nodes.select(F.col("tree").alias("t"), F.col("node").alias("n"), "role", "text")
     return path.join(words, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))).select("tree", "branch", "depth", "role", "text")
 

@@ -104,7 +104,10 @@ def sharded(docs: DataFrame, id: str = "doc_id", text: str = "text", shards: int
     chunk = F.struct(F.col("members").isNull().cast("int").alias("a"), F.pmod(F.xxhash64("key"), F.lit(chunks)).alias("b"), salt.alias("c"))
     both = materialize(both.select("id", "size", "crc", "key", F.coalesce("shard", (F.col("home") / PIECES).cast("int")).alias("want"), chunk.alias("chunk")), "wants")
     order = ["key", F.asc_nulls_first("id"), "size"]
+    for old in (rows, blocks, moved):
+        drop_table(old)
     ranked = materialize(numbered(both, "want", order, "place"), "ranked")
+    drop_table(both)
     ranked = ranked.join(F.broadcast(quota.withColumnRenamed("shard", "want")), "want")
     stays = ranked.where("place < share").select("id", "size", "crc", F.col("want").alias("shard"), F.col("place").alias("slot"))
 

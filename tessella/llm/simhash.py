@@ -15,6 +15,7 @@ list: a group of m near copies yields m - 1 links and not m * m.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -243,19 +244,20 @@ def links(prints: DataFrame, n: int, list_max: int = LIST_MAX) -> DataFrame:
     """
     k = first_choice(n)
     masks = [F.struct(F.lit(c).alias("choice"), F.lit(_signed(mask(c))).cast("long").bitwiseAND(F.col("fp")).alias("key")) for c in choices(k)]
-    rows, found = prints.select("fp", F.explode(F.array(*masks)).alias("x")).select("x.choice", "x.key", "fp"), []
+    rows, steps = prints.select("fp", F.explode(F.array(*masks)).alias("x")).select("x.choice", "x.key", "fp"), []
     while True:
         dealt = rows.repartition("choice", "key").sortWithinPartitions("choice", "key", "fp")
         step = materialize(dealt.mapInPandas(_lists(list_max), _ROWS), "lists")
-        found.append(step.where("choice = 0").select(F.col("a").alias("u"), F.col("b").alias("v")))
+        steps.append(step)
         rows = step.where("choice > 0").select("choice", F.col("a").alias("key"), F.col("b").alias("fp"))
         k += 1
         if k > SHARED_BYTES or rows.isEmpty():
             break
-    out = found[0]
-    for x in found[1:]:
-        out = out.union(x)
-    return out.distinct()
+    found = [x.where("choice = 0").select(F.col("a").alias("u"), F.col("b").alias("v")) for x in steps]
+    out = materialize(reduce(DataFrame.union, found).distinct(), "links")
+    for old in steps:
+        drop_table(old)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = 3) -> DataFrame:
@@ -270,7 +272,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", n:
     prints = with_fingerprint(docs.select(F.col(id).alias("id"), F.col(text).alias("t")), "t", "fp", n).drop("t")
     prints = materialize(prints, "prints")
     classes = materialize(prints.groupBy("fp").agg(F.min("id").alias("least")), "classes")
-    edges = materialize(links(classes.select("fp"), classes.count()), "links")
+    edges = links(classes.select("fp"), classes.count())
     roots = components(edges).withColumnRenamed("node", "fp")
     drop_table(edges)
     rooted = classes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gbt
-from .common import bound_batches, materialize
+from .common import bound_batches, drop_table, materialize
 from .labelled import FOLDS, MAX_TRAIN_ROWS, training_rows
 
 THRESHOLD = 0.7
@@ -91,7 +91,7 @@ class Model:
     entries: dict[str, float]
 
 
-def _learn(counts: pd.DataFrame, totals: pd.DataFrame, without: int | None) -> dict[str, float]:
+def _learn(counts: pd.DataFrame, totals: pd.DataFrame, without: int | None, max_entries: int) -> dict[str, float]:
     """Entries by smoothed log odds; of entries with like counts the shorter beginnings and words compete freely."""
     c, t = (x if without is None else x[x["fold"] != without] for x in (counts, totals))
     pos, neg = max(1.0, t["pos"].sum()), max(1.0, t["neg"].sum())
@@ -101,11 +101,14 @@ def _learn(counts: pd.DataFrame, totals: pd.DataFrame, without: int | None) -> d
     # a word that is only as frequent as chance allows gets less: one standard error is taken off
     odds -= np.sqrt(1 / (g["pos"] + 0.5) + 1 / (g["neg"] + 0.5)) * 0.5
     odds = odds[odds >= LEAST_ODDS].sort_values(ascending=False, kind="stable")
-    return odds.head(MAX_ENTRIES).round(6).to_dict()
+    return odds.head(max_entries).round(6).to_dict()
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id: str = "doc_id", text: str = "text", max_rows: int = MAX_TRAIN_ROWS) -> Model:
-    """Fit on at most ``max_rows`` labelled rows that are not held out. Without any, all scores are one constant."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id: str = "doc_id", text: str = "text", max_rows: int = MAX_TRAIN_ROWS, max_entries: int = MAX_ENTRIES) -> Model:
+    """Fit on at most ``max_rows`` labelled rows that are not held out. Without any, all scores are one constant.
+
+    The model has the ``max_entries`` strongest words and beginnings of words of these rows.
+    """
     spark = docs.sparkSession
     bound_batches(spark)
     rows = materialize(training_rows(docs, labels, label, id, text, max_rows), "train")
@@ -129,12 +132,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id: str = "doc
     often = by_fold.groupBy("token").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"), *[F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)).alias(f"{c}{f}") for f in range(FOLDS) for c in ("pos", "neg")])
     totals = rows.groupBy("fold").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")).toPandas()
     pos, neg = max(1.0, totals["pos"].sum()), max(1.0, totals["neg"].sum())
-    # at most MAX_ENTRIES * 4 tokens of the bounded sample reach the driver
+    # at most max_entries * 4 tokens of the bounded sample reach the driver
     strength = F.log((F.col("p") + 0.5) / (pos + 1)) - F.log((F.col("n") + 0.5) / (neg + 1))
     wide = often.where(F.col("p") >= LEAST_SEEN).withColumn("s", strength).where(F.col("s") >= LEAST_ODDS - 0.5)
-    wide = wide.orderBy(F.desc("s"), "token").limit(4 * MAX_ENTRIES).toPandas()
+    wide = wide.orderBy(F.desc("s"), "token").limit(4 * max_entries).toPandas()
     counts = pd.concat([pd.DataFrame({"token": wide["token"], "fold": f, "pos": wide[f"pos{f}"], "neg": wide[f"neg{f}"]}) for f in range(FOLDS)])
-    by = {f: _learn(counts, totals, f) for f in [*range(FOLDS), None]}
+    by = {f: _learn(counts, totals, f, max_entries) for f in [*range(FOLDS), None]}
 
     def dense(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicons = {f: Lexicon(by[f]) for f in range(FOLDS)}
@@ -143,6 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id: str = "doc
 
     schema = "y double, fold int, " + ", ".join(f"{f} double" for f in FEATURES)
     train = rows.mapInPandas(dense, schema).toPandas().sort_values(["fold", *FEATURES, "y"], kind="stable")
+    drop_table(rows)
     x, y, fold = train[list(FEATURES)].to_numpy(), train["y"].to_numpy(), train["fold"].to_numpy()
     out = np.full(len(y), 0.0)
     for f in range(FOLDS):
