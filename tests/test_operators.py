@@ -142,3 +142,73 @@ def test_cascades(spark):
     assert got == [("To", "To", "r"), ("...", "...", "r"), ("the tablet", "r s", "the the tablet")]
     long = spark.createDataFrame([("s" * 200, "one two", "uno due tre quattro")], "s string, m string, f string")
     assert long.select(cascade.tail_hybrid(s, m, f, 128)).first()[0] == "one two tre quattro"
+
+
+def test_positional_zip_and_evaluation_refuse_what_does_not_match(spark):
+    df = spark.createDataFrame([(["a", "b"], [1, 2]), ([], [])], "a array<string>, b array<int>")
+    got = [[tuple(y) for y in x[0]] for x in df.select(corpus.zip_strict(F.col("a"), F.col("b"))).collect()]
+    assert got == [[("a", 1), ("b", 2)], []]
+    with pytest.raises(Exception, match="arrays of 2 and 1"):
+        spark.createDataFrame([(["a", "b"], [1])], df.schema).select(corpus.zip_strict(F.col("a"), F.col("b"))).collect()
+    side = lambda *rows: spark.createDataFrame(list(rows), "id int, text string")
+    one = metrics.evaluate(side((1, "a b c d"), (2, "x")), side((2, "x"), (1, "a b c d"))).first()
+    assert (one.n, one.bleu, one.chrf) == (2, 100.0, 100.0)
+    for a, b in ((side((1, "x")), side((1, "x"), (2, "y"))), (side((1, "x")), side((2, "x"))), (side((1, "x"), (1, "x")), side((1, "x"), (2, "x"))), (df.limit(0).select(F.lit(1).alias("id"), F.lit("").alias("text")), side((1, "x")))):
+        with pytest.raises(ValueError):
+            metrics.evaluate(a, b)
+    scores = metrics.training_scores(spark.createDataFrame([(" ", None), ("a b", "a b")], "p string, l string"), F.col("p"), F.col("l"), lambda t: t).first()
+    assert scores.chrf == 100.0
+
+
+def test_batches_filters_and_shapes(spark):
+    rows = spark.createDataFrame([(i, "w " * i) for i in range(10)], "id int, text string")
+    got = sorted(map(tuple, corpus.batched(rows, 4, "id").select("id", "batch", "place").collect()))
+    assert got == [(i, i // 4, i % 4) for i in range(10)]
+    mixed = corpus.batched(rows, 4, "id", seed=3).select("batch", "place").collect()
+    assert sorted(map(tuple, mixed)) == [(i // 4, i % 4) for i in range(10)]
+    assert sorted(x.id for x in corpus.longer_than(rows, "text", 8).collect()) == [8, 9]
+    assert [x.id for x in corpus.first_rows(rows, 3, "id").collect()] == [0, 1, 2]
+    seen = contracts.inspect(rows, "id", rows=2)
+    assert seen["shape"] == (10, 2) and seen["columns"] == ["id", "text"] and [x["id"] for x in seen["first"]] == [0, 1]
+    for share in (0.0, 0.15, 1.0):
+        assert sum(x.is_val for x in corpus.hash_split(rows, "id", share).collect()) == math.ceil(10 * share)
+
+
+def test_translation_of_single_rows_batches_and_files(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "one two three four five"), (2, None), (3, "none")], "id int, text string")
+    cands = spark.createDataFrame([(1, k, t, s) for k, (t, s) in enumerate([("a b c d e", -2.0), ("a b c d f", -0.1), ("x", -3.0), ("y", -4.0)])] + [(2, 0, None, None)], "id int, cand int, text string, seq_score double")
+    got = {x.id: x for x in cascade.translate(rows, cands, similarity=metrics.token_f1).collect()}
+    assert got[1].translation == "a b c d f" and got[1].high_confidence and got[1].candidates == ["a b c d e", "a b c d f", "x"]
+    assert got[2].translation == "" and got[3].confidence == 0.0 and got[3].candidates == [] and not got[3].high_confidence
+    (tmp_path / "in.csv").write_text('transliteration,other\n"first, line",1\n,2\nlast,3\n')
+    upper = lambda rows: rows.select("id", F.lit(0).alias("cand"), F.upper("text").alias("text"), F.lit(-0.1).alias("seq_score"))
+    out = cascade.translate_csv(spark, str(tmp_path / "in.csv"), upper, similarity=metrics.token_f1).collect()
+    assert sorted((x.id, x.translation) for x in out) == [(0, "FIRST, LINE"), (1, ""), (2, "LAST")]
+
+
+def test_round_trip_records_and_all_scores(spark):
+    df = spark.createDataFrame([("a <gap> b ", "a  b"), ("abc", "xyz"), ("", None)], "a string, b string")
+    got = [x[0] for x in df.select(metrics.round_trip(F.col("a"), F.col("b"))).collect()]
+    assert got[0].lev_similarity == 1.0 and got[0].is_valid and not got[1].is_valid and got[2].score == 1.0 and got[2].roundtrip_text == ""
+    cands = spark.createDataFrame([(1, 0, "the king"), (1, 1, "the king gave"), (1, 2, "the king"), (2, 0, "one")], "group int, cand int, text string")
+    rows = {(x.group, x.cand): x for x in select.mbr_details(cands).collect()}
+    assert rows[1, 0].score == rows[1, 2].score and (rows[1, 0].n_candidates, rows[1, 0].n_unique) == (3, 2) and rows[2, 0].best and rows[2, 0].score == 100.0
+    assert sum(x.best for x in rows.values()) == 2
+
+
+def test_search_with_pruning_equals_scoring_all(spark, tmp_path):
+    r = random.Random(9)
+    say = lambda: " ".join(r.choices(["um-ma", "a-na", "šarrum", "ma-na", "kaspam", "x", "i-na", "belum", "tuppam"], k=r.randint(1, 9)))
+    index = retrieve.build_index(spark.createDataFrame([(i, say(), "") for i in range(120)], "doc int, src string, tgt string"), str(tmp_path / "i"))
+    asks = spark.createDataFrame([(i, say()) for i in range(15)], "query int, key string").where("key <> ''")
+    from tessella.functions.clean import retrieval_key
+
+    asks = asks.select("query", retrieval_key(F.col("key")).alias("key")).where("key <> ''")
+    every = retrieve.similarities(asks, index).select("query", "doc", F.round(0.75 * F.col("char_sim") + 0.2 * F.col("word_sim"), 12).alias("s")).collect()
+    want = {}
+    for x in sorted(every, key=lambda x: (-round(x.s, 9), x.doc)):
+        want.setdefault(x.query, []).append(x.doc)
+    got = {}
+    for x in sorted(retrieve.nearest(asks, index, top=7).collect(), key=lambda x: (-round(x.combined, 9), x.doc)):
+        got.setdefault(x.query, []).append(x.doc)
+    assert got == {q: d[:7] for q, d in want.items()}
