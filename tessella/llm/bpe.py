@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import json
 from collections import OrderedDict
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import regex
@@ -25,6 +25,10 @@ from tokenizers import Tokenizer
 from .common import bound_batches
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same pieces for an engine that would go back otherwise: runs give nothing back, and blanks at the end go at once.
+FAST_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+#: A blank between letters: a piece starts there.
+_BETWEEN = regex.compile(r"(?r)(?<=\p{L}) (?=\p{L})")
 #: Chunks: a cut where the rolling hash has CUT_BITS zero bits, at least MIN_CHUNK and at most MAX_CHUNK characters after the last.
 WINDOW, CUT_BITS, MIN_CHUNK, MAX_CHUNK = 16, 10, 256, 8192
 #: Characters of chunks whose encodings a worker keeps.
@@ -62,16 +66,22 @@ class ByteBPE:
         order = [model["vocab"]["".join(m)] for m in merges]
         if order != sorted(set(order)):
             raise ValueError(f"the ids of {path} don't follow its merges")
-        self.ranks = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks={b: i for i, b in self.table.items()}, special_tokens={})
+        self.ranks = tiktoken.Encoding("file", pat_str=FAST_PATTERN, mergeable_ranks={b: i for i, b in self.table.items()}, special_tokens={})
         self.table |= {i: t.encode() for t, i in added.items()}
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.path = path
         # the longest of those that begin at one place, as the library takes them
         self.special = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.added = added
         self.piece = regex.compile(PATTERN)
 
+    @cached_property
+    def library(self) -> Tokenizer:
+        """The library's own encoder, to compare with; workers don't load it."""
+        out = Tokenizer.from_file(self.path)
+        out.no_truncation()
+        out.no_padding()
+        return out
+
     def __reduce__(self):
         raise TypeError("open the file in each worker")
 
@@ -82,7 +92,7 @@ class ByteBPE:
     def segments(self, text: str):
         """The text as runs without special tokens (str) and ids of special tokens (int)."""
         at = 0
-        for m in self.special.finditer(text) if self.special else ():
+        for m in self.special.finditer(text) if any(t in text for t in self.added) else ():
             if m.start() > at:
                 yield text[at : m.start()]
             yield self.added[m[0]]
@@ -103,19 +113,20 @@ def open_bpe(path: str) -> ByteBPE:
 def cuts(text: str) -> list[int]:
     """Where content-defined chunks of a text end; the last is its length."""
     out, at, n = [], 0, len(text)
+    if n <= MIN_CHUNK:
+        return [n] if n else []
     for base in range(0, n, _BLOCK):
         # the window's first characters come from the block before, so that a block's limit is of no account
         low = max(0, base - WINDOW + 1)
-        x = np.frombuffer(text[low : base + _BLOCK].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        x *= np.uint64(0x9E3779B97F4A7C15)
-        x ^= x >> np.uint64(29)
+        x = np.frombuffer(text[low : base + _BLOCK].encode("utf-32-le", "surrogatepass"), np.uint32) * np.uint32(0x9E3779B1)
+        x ^= x >> np.uint32(15)
         k = 1
         while k < WINDOW:
             y = x.copy()
-            y[k:] += x[:-k] * np.uint64(2 * k + 0xBF58476D1CE4E5B1)
-            y ^= y >> np.uint64(31)
+            y[k:] += x[:-k] * np.uint32(2 * k + 0x1CE4E5B9)
+            y ^= y >> np.uint32(13)
             x, k = y, 2 * k
-        hit = np.flatnonzero((x * np.uint64(0x94D049BB133111EB)) >> np.uint64(64 - CUT_BITS) == 0) + low + 1
+        hit = np.flatnonzero((x * np.uint32(0x133111EB)) >> np.uint32(32 - CUT_BITS) == 0) + low + 1
         for h in hit[hit > base].tolist():
             if h - at >= MIN_CHUNK:
                 while h - at > MAX_CHUNK:
@@ -137,37 +148,30 @@ class ChunkEncoder:
 
     def __init__(self, bpe: ByteBPE, cache_chars: int = CACHE_CHARS):
         self.bpe, self.limit, self.held = bpe, cache_chars, 0
-        self.known: OrderedDict[str, tuple] = OrderedDict()
+        self.known: OrderedDict[str, list] = OrderedDict()
         self.hits = self.misses = 0
 
-    def chunk(self, text: str) -> tuple[np.ndarray, int]:
-        """A chunk's ids and the start of its last piece."""
+    def chunk(self, text: str) -> list:
+        """A chunk's ids, and the start of its last piece once that was asked for."""
         got = self.known.get(text)
         if got is not None:
             self.hits += 1
             self.known.move_to_end(text)
             return got
         self.misses += 1
-        got = self.bpe.plain(text), self.last_piece(text)
-        self.known[text] = got
+        got = self.known[text] = [self.bpe.plain(text), None]
         self.held += len(text)
         while self.held > self.limit and len(self.known) > 1:
             self.held -= len(self.known.popitem(last=False)[0])
         return got
 
     def last_piece(self, text: str) -> int:
-        """Where the last piece starts: scan from a place where a piece certainly starts."""
-        back = 64
-        while True:
-            low = max(0, len(text) - back)
-            # a blank after a letter and before a letter always starts a piece
-            m = regex.search(r"(?<=\p{L}) (?=\p{L})", text[low:]) if low else None
-            if m or not low:
-                start = low + m.start() if m else 0
-                for p in self.bpe.piece.finditer(text, start):
-                    start = p.start()
-                return start
-            back *= 4
+        """Where the last piece starts: scan from the last place where a piece certainly starts."""
+        m = _BETWEEN.search(text)
+        start = m.start() if m else 0
+        for p in self.bpe.piece.finditer(text, start):
+            start = p.start()
+        return start
 
     def run(self, text: str) -> np.ndarray:
         """The ids of a run without special tokens."""
@@ -178,14 +182,20 @@ class ChunkEncoder:
         # tail: the ids of what follows it are still to come; sure: no piece ends between tail and it
         for end in ends:
             if tail is None or end > sure:
-                ids, last = self.chunk(text[at:end])
-                over, fresh = 0, []
+                known = self.chunk(text[at:end])
+                ids, over, fresh = known[0], 0, []
                 if tail is not None:
                     over, fresh, sure = self.repair(text, tail, at, end)
                 if over is not None:
                     parts += fresh
-                    parts.append(ids[over : len(ids) - len(self.bpe.plain(text[at + last : end]))])
-                    tail = at + last
+                    if end == len(text):
+                        parts.append(ids[over:])
+                        tail = end
+                        break
+                    if known[1] is None:
+                        known[1] = self.last_piece(text[at:end])
+                    parts.append(ids[over : len(ids) - len(self.bpe.plain(text[at + known[1] : end]))])
+                    tail = at + known[1]
             at = end
         parts.append(self.bpe.plain(text[tail:]))
         return np.concatenate(parts)

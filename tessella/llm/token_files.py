@@ -44,8 +44,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int | None, id: str =
 
     Texts are dealt by sampled ranges of ids and encoded after that, so that the shuffle carries
     text (smaller than ids). A null or empty text has ``end_id`` only, or no id where that is
-    None. Null ids come first, repeated rows stay (equal ids are ordered by text), an empty
-    table gives a folder with a schema and no rows. Other columns are not written.
+    None. Null ids come first, repeated rows stay (equal ids are ordered by a hash of the text, then
+    by text), an empty table gives a folder with a schema and no rows. Other columns are not written.
     """
     spark = docs.sparkSession
     path = path or new_path(spark, "tokens")
@@ -53,7 +53,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int | None, id: str =
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     by = ("doc_id", F.xxhash64("text"))
     rows = rows.repartitionByRange(partitions, *by) if partitions else rows.repartitionByRange(*by)
-    rows = rows.sortWithinPartitions("doc_id", "text")
+    rows = rows.sortWithinPartitions(*by, "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, row, start = worker_encoder(tokenizer), 0, 0
@@ -76,12 +76,13 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int | None, id: str =
 def open_tokens(spark: SparkSession, path: str) -> DataFrame:
     """The written rows with ``start``: the ids of all documents before each, in file order.
 
-    Only the metadata columns are read for the offsets; the totals are one row for each file.
+    Only the metadata columns are read for the offsets; the totals are one row of two numbers for each
+    file, so they can be broadcast.
     """
     rows = spark.read.schema(SCHEMA).parquet(path)
     totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     before = totals.select("part", (F.sum("total").over(W.orderBy("part")) - F.col("total")).alias("before"))
-    return rows.join(before, "part").withColumn("start", F.col("before") + F.col("local_start")).drop("before")
+    return rows.join(F.broadcast(before), "part").withColumn("start", F.col("before") + F.col("local_start")).drop("before")
 
 
 def read_slice(spark: SparkSession, path: str, low: int, high: int, columns: tuple[str, ...] = ("doc_id", "n_tokens", "ids")) -> DataFrame:
