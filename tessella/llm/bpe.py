@@ -66,7 +66,9 @@ class ByteBPE:
         order = [model["vocab"]["".join(m)] for m in merges]
         if order != sorted(set(order)):
             raise ValueError(f"the ids of {path} don't follow its merges")
-        self.ranks = tiktoken.Encoding("file", pat_str=FAST_PATTERN, mergeable_ranks={b: i for i, b in self.table.items()}, special_tokens={})
+        # an encoding without special tokens looks for the empty string at every byte of a text; these are looked for and never taken
+        unused = added or {"<|unused|>": max(self.table) + 1}
+        self.ranks = tiktoken.Encoding("file", pat_str=FAST_PATTERN, mergeable_ranks={b: i for i, b in self.table.items()}, special_tokens=unused)
         self.table |= {i: t.encode() for t, i in added.items()}
         self.path = path
         # the longest of those that begin at one place, as the library takes them

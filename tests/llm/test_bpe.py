@@ -1,4 +1,6 @@
+import json
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -61,3 +63,24 @@ def test_round_trip_on_frames(spark):
     assert out.where("text is null").select(F.size("token_ids")).first()[0] == 0
     assert bpe.with_token_ids(df.limit(0), PATH).count() == 0
     assert np.asarray(out.where("doc_id = 2").first().token_ids).size == 0
+
+
+def test_plain_text_is_not_searched_byte_by_byte(tmp_path):
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    (tmp_path / "bare.json").write_text(json.dumps(spec | {"added_tokens": []}), encoding="utf-8")
+
+    def seconds(run, text):
+        times = []
+        for _ in range(5):
+            start = time.process_time()
+            run(text)
+            times.append(time.process_time() - start)
+        return min(times)
+
+    text, names = " international government" * 40000, "a <|unused|> b <|endoftext|> é<|endo"
+    for path in (PATH, str(tmp_path / "bare.json")):
+        one, library = bpe.ByteBPE(path), Tokenizer.from_file(path)
+        assert bpe.ChunkEncoder(one).encode(names).tolist() == library.encode(names, add_special_tokens=False).ids
+        assert one.plain(text).tolist() == one.ranks.encode_ordinary(text)
+        assert seconds(one.plain, text) < 2 * seconds(one.ranks.encode_ordinary, text)
