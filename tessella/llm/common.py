@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of an Arrow batch, whatever its rows hold; a longer text is a batch of its own.
 BATCH_BYTES = 4 << 20
+#: Rows of a file of a narrow table whose number of rows is known.
+FILE_ROWS = 1 << 16
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -22,15 +24,26 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{scratch_root(spark)}/tessella-{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str, **options: str) -> DataFrame:
+def in_few(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` of about ``rows`` narrow rows in as many partitions as these need, at most those of a shuffle.
+
+    The work before it keeps its partitions. A shuffle into hundreds leaves hundreds of files of a
+    few rows, and on a local folder Hadoop has the executor start a process for each of them.
+    """
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(1, min(most, -(-rows // FILE_ROWS))))
+
+
+def materialize(df: DataFrame, tag: str, rows: int | None = None, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage, so that a lost executor costs a reread of a file and not a rerun
-    of the plan, and it computes an expensive plan once for several readers.
+    of the plan, and it computes an expensive plan once for several readers. A narrow table of
+    about ``rows`` rows is written in few files.
     """
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.options(**options).parquet(path)
+    (df if rows is None else in_few(df, rows)).write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessella_path = path
     return out

@@ -24,23 +24,24 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u > v").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """Columns node, root (both long): the smallest node reachable from each node that has an edge.
 
     ``edges`` has long columns u and v in any order; loops and repeats are allowed, nulls are dropped.
     A hub with many neighbours never meets in one task: its minimum is aggregated before the
-    shuffle and joined back, where Spark splits a skewed side. Each round is written to the shared folder.
+    shuffle and joined back, where Spark splits a skewed side. Each round is written to the shared folder,
+    in few files; ``rows``, the number of edges where it is known, does that for the first.
     """
     step = edges.where("u is not null and v is not null and u <> v")
     step = step.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    current = materialize(step, "edges")
+    current = materialize(step, "edges", rows)
     seen = None
     for _ in range(MAX_ROUNDS):
         digest = current.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if tuple(digest) == seen or digest["n"] == 0:
             break
         seen = tuple(digest)
-        after = materialize(_star(_star(current, large=True), large=False), "edges")
+        after = materialize(_star(_star(current, large=True), large=False), "edges", digest["n"])
         drop_table(current)
         current = after
     else:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, drop_table, materialize
+from .common import bound_batches, drop_table, in_few, materialize
 from .components import components
 
 SEED = 42
@@ -245,16 +245,18 @@ def links(prints: DataFrame, n: int, list_max: int = LIST_MAX) -> DataFrame:
     k = first_choice(n)
     masks = [F.struct(F.lit(c).alias("choice"), F.lit(_signed(mask(c))).cast("long").bitwiseAND(F.col("fp")).alias("key")) for c in choices(k)]
     rows, steps = prints.select("fp", F.explode(F.array(*masks)).alias("x")).select("x.choice", "x.key", "fp"), []
+    size = n  # the lists get more rows than that, but forests and splits leave fewer
     while True:
         dealt = rows.repartition("choice", "key").sortWithinPartitions("choice", "key", "fp")
-        step = materialize(dealt.mapInPandas(_lists(list_max), _ROWS), "lists")
+        step = materialize(dealt.mapInPandas(_lists(list_max), _ROWS), "lists", size)
         steps.append(step)
         rows = step.where("choice > 0").select("choice", F.col("a").alias("key"), F.col("b").alias("fp"))
         k += 1
-        if k > SHARED_BYTES or rows.isEmpty():
+        size = 0 if k > SHARED_BYTES else rows.count()
+        if not size:
             break
     found = [x.where("choice = 0").select(F.col("a").alias("u"), F.col("b").alias("v")) for x in steps]
-    out = materialize(reduce(DataFrame.union, found).distinct(), "links")
+    out = materialize(reduce(DataFrame.union, found).distinct(), "links", sum(x.count() for x in found))
     for old in steps:
         drop_table(old)
     return out
@@ -271,11 +273,11 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", n:
     """
     prints = with_fingerprint(docs.select(F.col(id).alias("id"), F.col(text).alias("t")), "t", "fp", n).drop("t")
     prints = materialize(prints, "prints")
-    classes = materialize(prints.groupBy("fp").agg(F.min("id").alias("least")), "classes")
+    classes = materialize(prints.groupBy("fp").agg(F.min("id").alias("least")), "classes", rows := prints.count())
     edges = links(classes.select("fp"), classes.count())
-    roots = components(edges).withColumnRenamed("node", "fp")
+    roots = components(edges, edges.count()).withColumnRenamed("node", "fp")
     drop_table(edges)
     rooted = classes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
     of = rooted.join(least, "root").select("fp", "component")
-    return prints.join(of, "fp").select(F.col("id").alias(id), "fp", "component")
+    return in_few(prints.join(of, "fp").select(F.col("id").alias(id), "fp", "component"), rows)
