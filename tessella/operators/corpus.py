@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrow import align_monotone, plain
 from ..functions.clean import retrieval_key
-from ..functions.dialect import S, collapse, lookup, strip, text_of, tokens
+from ..functions.dialect import S, collapse, let, lookup, strip, text_of, tokens
 from ..functions.tables import EDGE_MARKS
 from ..sources.files import scratch, written
 
@@ -37,9 +37,11 @@ def source_lines(text: Column) -> Column:
 
 def zip_longest(a: Column, b: Column) -> Column:
     """Structs (at, src, tgt) of two arrays by place; the shorter one is filled with ''; two empty ones give one row."""
-    places = F.sequence(F.lit(0), F.greatest(F.size(a), F.size(b), F.lit(1)) - 1)
-    at = lambda x, i: F.coalesce(F.try_element_at(x, i + 1), F.lit(""))
-    return F.transform(places, lambda i: F.struct(i.alias("at"), at(a, i).alias("src"), at(b, i).alias("tgt")))
+    pair = lambda x, y: F.struct(F.coalesce(x, F.lit("")).alias("src"), F.coalesce(y, F.lit("")).alias("tgt"))
+    # a lambda works out anew what it names for each element, so none of these names a or b
+    zipped = F.zip_with(a, b, pair)
+    filled = let(zipped, lambda z: F.when(F.size(z) > 0, z).otherwise(F.array(pair(F.lit(""), F.lit("")))))
+    return F.transform(filled, lambda p, i: F.struct(i.alias("at"), p["src"].alias("src"), p["tgt"].alias("tgt")))
 
 
 def sentence_rows(docs: DataFrame, sentences: DataFrame | None, doc_id: str, sent_id: str | None, src: str, tgt: str, order: str | None = None, s_src: str = "src", s_tgt: str = "tgt") -> DataFrame:
