@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .functions import clean as C
 from .functions import tables as T
 from .functions.arrow import align_monotone, without_loops
-from .functions.dialect import S, collapse, collapse_sql, strip, strip_sql, sub_sql, text_of, tokens, tokens_sql
+from .functions.dialect import S, collapse, collapse_sql, let, strip, strip_sql, sub_sql, text_of, tokens, tokens_sql
 from .operators import blend, contracts, corpus, metrics, ngrams, retrieve, select
 from .oracles import aligned_sql, corpus_scores_sql, loops_query, repeats_query
 from .plans import cascade
@@ -969,7 +969,8 @@ def _params(spark, sf_dir) -> DataFrame:
 
 
 def _rounded(df: DataFrame) -> DataFrame:
-    return df.select("name", F.transform("vec", lambda v: F.round(v, 6)).alias("vec"))
+    # a negative value that rounds to nothing is -0.0 in SQL; Spark rounds by way of a decimal, which has no such sign
+    return df.select("name", F.transform("vec", lambda v: let(F.round(v, 6), lambda r: F.when((r == 0) & (v < 0), F.lit(-0.0)).otherwise(r))).alias("vec"))
 
 
 @query(blend_sql("sum(w * v) / sum(w)"))
