@@ -1,10 +1,9 @@
-"""The Arrow functions: NFKD without marks, Ratcliff-Obershelp similarity, n-gram overlaps, n-gram loops, monotone alignment, tails."""
+"""The Arrow functions: NFKD without marks, Ratcliff-Obershelp similarity, n-gram overlaps, n-gram loops, monotone alignment, tails. Rules are in ``texts``."""
 
 from __future__ import annotations
 
 import difflib
 import math
-import unicodedata
 from collections import Counter
 from functools import lru_cache
 
@@ -12,18 +11,15 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import texts
+from .texts import unlooped  # noqa: F401
 
 # Workers import this module, so UDFs are made where they are used and not at import.
 
 
-def _plain(text: pd.Series) -> pd.Series:
-    one = lambda t: t if t.isascii() else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
-    return text.map(one, na_action="ignore")
-
-
 def plain(text: Column) -> Column:
     """NFKD without combining marks; NULL stays."""
-    return F.pandas_udf(_plain, "string")(text)
+    return texts.over_texts(texts.plain, text)
 
 
 def ratcliff(a: Column, b: Column) -> Column:
@@ -84,36 +80,9 @@ def item_overlaps(a: Column, b: Column, orders: tuple[int, ...], kind: str = "wo
     return F.pandas_udf(of, _OVERLAPS)(a, b)
 
 
-def unlooped(words: list[str], least: int = 3, most: int = 8) -> list[str]:
-    """Words without immediate repeats of a chunk of ``most`` down to ``least`` words, left to right."""
-    for n in range(most, least - 1, -1):
-        out, at = [], 0
-        while at < len(words):
-            chunk = words[at : at + n]
-            step = at + n
-            while len(chunk) == n and words[step : step + n] == chunk:
-                step += n
-            if step > at + n:
-                out += chunk
-                at = step
-            else:
-                out.append(words[at])
-                at += 1
-        words = out
-    return words
-
-
 def without_loops(text: Column) -> Column:
     """Texts of under six words stay as they are, white space too; others come back with single blanks."""
-    return F.pandas_udf(_without_loops, "string")(text)
-
-
-def _without_loops(text: pd.Series) -> pd.Series:
-    def one(t: str) -> str:
-        words = t.split()
-        return t if len(words) < 6 else " ".join(unlooped(words))
-
-    return text.map(one, na_action="ignore")
+    return texts.over_texts(texts.without_loops, text)
 
 
 def aligned(src: list[str], tgt: list[str], most: int = 2) -> list[tuple[str, str]]:

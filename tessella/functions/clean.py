@@ -1,13 +1,17 @@
-"""Cleaning rules for source and target texts, and the pipelines made of them. All are Column to Column."""
+"""Cleaning rules for source and target texts, and the pipelines made of them. All are Column to Column; what ``texts`` has runs there."""
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import tables as T
+from . import texts
 from .arrow import plain, without_loops
 from .dialect import S, blank, collapse, let, lookup, replace_all, rstrip, strip, sub, text_of, tokens
+from .texts import over_texts
 
 # ---- source side ----
 
@@ -300,11 +304,7 @@ def preprocess_dots(text: Column, prefix: str = T.PREFIX) -> Column:
 
 def postprocess(text: Column, brackets: bool = True, big_gaps: bool = True) -> Column:
     """The full target pipeline. ``brackets`` and ``big_gaps``: whether bracketed text and big gaps go."""
-    t = remove_grammar(output_gaps(normalize_superscripts(normalize_subscripts(plain_h(text)))))
-    t = remove_bracketed(t) if brackets else t
-    t = remove_repeats(zero_fractions(decimal_fractions(convert_fractions(remove_special(t)))))
-    t = strip_big_gaps(t) if big_gaps else t
-    return F.when(text.isNull() | blank(text), F.lit("")).otherwise(strip_dashes(whole_sentences(t)))
+    return over_texts(partial(texts.postprocess, brackets=brackets, big_gaps=big_gaps), text, "")
 
 
 def postprocess_ascii(text: Column) -> Column:

@@ -14,7 +14,7 @@ from .operators import blend, contracts, corpus, metrics, ngrams, retrieve, sele
 from .oracles import aligned_sql, corpus_scores_sql, loops_query, repeats_query
 from .plans import cascade
 from .sources import files, sinks
-from .sources.files import scratch, spread
+from .sources.files import dealt, scratch, spread
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -38,7 +38,7 @@ def column_query(name: str, rule, sql: str | None = None) -> None:
     """A query that applies a Column rule to all documents."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return table(spark, sf_dir, "documents").select("doc_id", rule(F.col("text")).alias("result"))
+        return dealt(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", rule(F.col("text")).alias("result"))
 
     QUERIES[name] = run
     if sql:

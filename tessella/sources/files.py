@@ -14,15 +14,31 @@ from ..operators.contracts import parallel_columns, require
 NULLS = "nan"
 #: Bytes of a table that is dealt out anew where it has fewer files than there are cores.
 SMALL = 256 << 20
+#: Bytes of a task whose work takes long for each byte, and so many such tasks at most.
+TASK, MOST_TASKS = 8 << 20, 10_000
+
+
+def input_bytes(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores: a small table in a few files is dealt out, as its row groups bound the tasks of a scan; others stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = input_bytes(df)
     return df.repartition(2 * cores) if len(df.inputFiles()) < cores and size < SMALL else df
 
 
+def dealt(df: DataFrame, size: int | None = None) -> DataFrame:
+    """``df`` dealt out evenly for work that takes long for each byte: about ``TASK`` bytes a task, two tasks a core at least.
+
+    A scan gives one task up to 128 MB, and a shuffle's small partitions are merged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = input_bytes(df) if size is None else size
+    return df.repartition(max(2 * cores, min(MOST_TASKS, -(-size // TASK))))
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new path in the folder that the cluster shares: spark.checkpoint.dir, or one beside the warehouse where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tessella-scratch"
