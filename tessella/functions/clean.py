@@ -309,10 +309,7 @@ def postprocess(text: Column, brackets: bool = True, big_gaps: bool = True) -> C
 
 def postprocess_ascii(text: Column) -> Column:
     """The target pipeline without decimals, ending in ASCII; long texts are those over 200 characters."""
-    t = remove_grammar(output_gaps(normalize_superscripts(normalize_subscripts(plain_h(text)))))
-    t = strip_big_gaps(remove_repeats(convert_fractions(remove_special(remove_bracketed(t)))))
-    t = collapse(to_ascii(strip_dashes(whole_sentences(t, 201))))
-    return F.when(text.isNull() | blank(text), F.lit("")).otherwise(t)
+    return over_texts(texts.postprocess_ascii, text, "")
 
 
 def postprocess_retrieved(text: Column) -> Column:
