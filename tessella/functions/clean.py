@@ -320,9 +320,7 @@ def postprocess_retrieved(text: Column) -> Column:
 
 def postprocess_plain(text: Column, empty: str = "hnr") -> Column:
     """No bracket step, decimals before repeats, no loops; a blank text gives ``empty``."""
-    t = remove_special(remove_grammar(output_gaps(normalize_subscripts(plain_h(text)))))
-    t = strip_dashes(remove_repeats(decimal_fractions(t), loops=False), again=False)
-    return F.when(text.isNull() | blank(text), F.lit(empty)).otherwise(t)
+    return over_texts(partial(texts.postprocess_plain, empty=empty), text, empty)
 
 
 def postprocess_digits(text: Column) -> Column:

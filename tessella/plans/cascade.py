@@ -45,12 +45,11 @@ def plain_pipeline(model: Column) -> Column:
 def edit_cascade(source: Column, model: Column, edited: Column, lexicon: dict[str, list[str]]) -> Column:
     """The model's text, its edit where that is sound; a failed row (NULL) gets a text made of what is known."""
 
-    def rest(t: Column) -> Column:
-        refined = C.postprocess_plain(C.accepted_edit(edited, t), "")
-        better = F.when((F.length(t) > 10) & (F.length(refined) > 10) & (F.length(refined) < 2 * F.length(t)), refined).otherwise(t)
-        return let(better, lambda b: F.when(F.length(b) < 3, F.lit("<gap> translation unavailable <gap>")).otherwise(b))
-
-    return F.when(model.isNull(), C.fallback_text(source, lexicon)).otherwise(let(C.postprocess_plain(model, ""), rest))
+    t = C.postprocess_plain(model, "")
+    refined = C.postprocess_plain(C.accepted_edit(edited, t), "")
+    better = F.when((F.length(t) > 10) & (F.length(refined) > 10) & (F.length(refined) < 2 * F.length(t)), refined).otherwise(t)
+    told = let(better, lambda b: F.when(F.length(b) < 3, F.lit("<gap> translation unavailable <gap>")).otherwise(b))
+    return F.when(model.isNull(), C.fallback_text(source, lexicon)).otherwise(told)
 
 
 def threshold_hybrid(found: Column, score: Column, model: Column, threshold: Column | float) -> Column:
