@@ -313,9 +313,7 @@ def postprocess_ascii(text: Column) -> Column:
 
 
 def postprocess_retrieved(text: Column) -> Column:
-    t = remove_bracketed(normalize_subscripts(plain_h(text)), keep_gaps=False)
-    t = remove_repeats(convert_fractions(remove_special(t, keep_gaps=False)), loops=False)
-    return F.when(text.isNull() | blank(text), F.lit("")).otherwise(collapse(to_ascii(strip_dashes(t))))
+    return over_texts(texts.postprocess_retrieved, text, "")
 
 
 def postprocess_plain(text: Column, empty: str = "hnr") -> Column:
