@@ -150,8 +150,7 @@ def zero_fractions(text: Column) -> Column:
 
 def remove_repeats(text: Column, loops: bool = True) -> Column:
     """One of immediately repeated words and phrases of up to four words; with ``loops`` also of three to eight words as they stand."""
-    out = sub(text, *T.REPEAT_RULES)
-    return without_loops(out) if loops else out
+    return over_texts(partial(texts.remove_repeats, loops=loops), text)
 
 
 def strip_big_gaps(text: Column) -> Column:
