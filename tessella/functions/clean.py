@@ -72,13 +72,7 @@ def without_notes(text: Column) -> Column:
 
 def retrieval_key(text: Column, superscripts: bool = False) -> Column:
     """The form that sources are matched by. ``superscripts``: ¹, ² and ³ go too, which lie outside the range of the other ones."""
-    digits = "[₀-₉⁰-⁹0-9¹²³]" if superscripts else "[₀-₉⁰-⁹0-9]"
-    t = strip(F.lower(text_of(text)))
-    t = sub(t, (digits, ""), (r"\{([^}]+)\}", r" DET_\1 "), (r"\(([a-z]{1,6})\)", r" DET_\1 "))
-    t = F.translate(F.translate(t, "[]<>", "    "), "ʾʿˀˁ'", "")
-    t = sub(replace_all(t, {"…": " GAP ", "...": " GAP "}), (r"\b[xX]{1,3}\b", " GAP "))
-    t = F.translate(t, ".+", " ")
-    return collapse(sub(plain(t), (r"[^a-z0-9\-_ ]+", " ")))
+    return over_texts(partial(texts.retrieval_key, superscripts=superscripts), text, "")
 
 
 def source_words(text: Column) -> Column:
