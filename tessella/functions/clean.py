@@ -135,7 +135,7 @@ def decimal_rules() -> list[tuple[str, str]]:
 
 
 def decimal_fractions(text: Column) -> Column:
-    return sub(text, *decimal_rules())
+    return over_texts(texts.decimal_fractions, text)
 
 
 def zero_fractions(text: Column) -> Column:
