@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from . import tables as T
 from . import texts
-from .arrow import plain, without_loops
-from .dialect import S, blank, collapse, let, lookup, replace_all, rstrip, strip, sub, text_of, tokens
+from .dialect import blank, collapse, let, lookup, replace_all, rstrip, strip, sub, text_of, tokens
 from .texts import over_texts
 
 # ---- source side ----
@@ -188,7 +187,7 @@ def strip_dashes(text: Column, again: bool = True) -> Column:
 
 def to_ascii(text: Column) -> Column:
     """Known diacritics to letters, then NFKD without marks, then anything else to a blank."""
-    return F.regexp_replace(plain(F.translate(text, T.DIACRITICS, T.DIACRITICS_ASCII)), r"[^\x00-\x7f]", " ")
+    return over_texts(texts.to_ascii, text)
 
 
 def _side_of(text: Column, mark: str, side: int) -> Column:

@@ -1086,7 +1086,7 @@ def split_outputs(spark, sf_dir):
 
 @query(f"select doc_id as id, case when {collapse_sql(ascii_sql('text'))} = '' then 'broken text' else {collapse_sql(collapse_sql(ascii_sql('text')))} end as translation from documents")
 def repaired_output(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("translation"))
+    d = dealt(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("translation"))
     return sinks.repaired(d)
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.clean import or_default, to_ascii
-from ..functions.dialect import collapse
+from ..functions import texts
+from ..functions.texts import over_texts
 
 
 def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
@@ -27,7 +29,7 @@ def result_table(df: DataFrame, always: list[str], optional: list[str]) -> DataF
 
 def repaired(df: DataFrame, id: str = "id", text: str = "translation", default: str = "broken text") -> DataFrame:
     """Columns id (long), text: ASCII, single blanks, never blank."""
-    return df.select(F.col(id).try_cast("long").alias(id), or_default(collapse(to_ascii(F.coalesce(text, F.lit("")))), default).alias(text))
+    return df.select(F.col(id).try_cast("long").alias(id), over_texts(partial(texts.repaired, default=default), F.col(text), default).alias(text))
 
 
 def report_json(df: DataFrame) -> DataFrame:

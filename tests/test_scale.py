@@ -101,7 +101,7 @@ def test_fast_rules_mean_what_the_tables_say(name):
         assert fast(t) == slow(t), t
 
 
-LONG = ["postprocess_pipeline", "postprocess_ascii", "postprocess_plain", "postprocess_retrieved", "repeated_phrases", "word_loops", "retrieval_key_superscripts", "retrieval_key", "decimal_fractions"]
+LONG = ["postprocess_pipeline", "postprocess_ascii", "postprocess_plain", "postprocess_retrieved", "repeated_phrases", "word_loops", "retrieval_key_superscripts", "retrieval_key", "decimal_fractions", "sanitize_ascii", "repaired_output"]
 
 
 def documents(spark, folder, rows):
