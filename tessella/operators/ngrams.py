@@ -12,9 +12,11 @@ _NONE = "array<string>"
 
 
 def windows(items: Column, n: int, glue: str) -> Column:
-    """All runs of n items, joined; none where there are fewer (a sequence from 1 to 0 would count down)."""
-    runs = lambda x: F.transform(F.sequence(F.lit(1), F.size(x) - n + 1), lambda i: F.array_join(F.slice(x, i, n), glue))
-    return let(items, lambda x: F.when(F.size(x) >= n, runs(x)).otherwise(F.array().cast(_NONE)))
+    """All runs of n items, joined; none where there are fewer."""
+    if n == 1:
+        return items
+    joined = lambda x: lambda first, i: F.concat(first, *[part for k in range(1, n) for part in (F.lit(glue), F.get(x, i + k))])
+    return let(items, lambda x: F.transform(F.slice(x, 1, F.greatest(F.size(x) - n + 1, F.lit(0))), joined(x)))
 
 
 def characters(text: Column) -> Column:
@@ -29,16 +31,16 @@ def word_ngrams(text: Column, n: int) -> Column:
     return windows(tokens(text), n, "\x01")
 
 
-def named(kind: str, n: int, grams: Column) -> Column:
-    """N-grams as structs kind, n, gram."""
-    return F.transform(grams, lambda g: F.struct(F.lit(kind).alias("kind"), F.lit(n).alias("n"), g.alias("gram")))
-
-
 def gram_rows(rows: DataFrame, text: str, chars: tuple[int, ...] = (), words: tuple[int, ...] = (), keys: tuple[str, ...] = ()) -> DataFrame:
     """Columns ``keys``, kind ("char" or "word"), n, gram: a row for each n-gram, repeats included."""
-    grams = [named("char", n, windows(F.col("__chars"), n, "")) for n in chars] + [named("word", n, windows(F.col("__words"), n, "\x01")) for n in words]
+    grams = [("char", n, windows(F.col("__chars"), n, "")) for n in chars] + [("word", n, windows(F.col("__words"), n, "\x01")) for n in words]
     split = rows.select(*keys, characters(F.col(text)).alias("__chars"), tokens(F.col(text)).alias("__words"))
-    return split.select(*keys, F.explode(F.concat(*grams)).alias("g")).select(*keys, "g.*")
+    if len(grams) == 1:
+        kind, n, of = grams[0]
+        return split.select(*keys, F.lit(kind).alias("kind"), F.lit(n).alias("n"), F.explode(of).alias("gram"))
+    # an order is a row first, so that no struct is made for each n-gram
+    orders = split.select(*keys, F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(n).alias("n"), of.alias("grams")) for kind, n, of in grams])).alias("o"))
+    return orders.select(*keys, "o.kind", "o.n", F.explode("o.grams").alias("gram"))
 
 
 def overlaps(pairs: DataFrame, a: str, b: str, keys: tuple[str, ...], chars: tuple[int, ...] = (), words: tuple[int, ...] = ()) -> DataFrame:
