@@ -271,9 +271,8 @@ def is_garbage(text: Column) -> Column:
 
 
 def dictionary_lookup(text: Column, table: dict[str, str] = T.DICTIONARY) -> Column:
-    """The entry of a one-word text, else NULL; an empty entry is a hit."""
-    words = tokens(text_of(text))
-    return F.when(F.size(words) == 1, F.try_element_at(lookup(table), F.element_at(words, 1)))
+    """The entry of a one-word text, else NULL; an empty entry is a hit. No word of a table has white space inside, so the stripped text is looked up."""
+    return F.try_element_at(lookup(table), strip(text_of(text)))
 
 
 # ---- pipelines ----

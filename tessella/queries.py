@@ -14,7 +14,7 @@ from .operators import blend, contracts, corpus, metrics, ngrams, retrieve, sele
 from .oracles import aligned_sql, corpus_scores_sql, loops_query, repeats_query
 from .plans import cascade
 from .sources import files, sinks
-from .sources.files import dealt, scratch, spread
+from .sources.files import dealt, input_bytes, scratch, spread
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -251,9 +251,11 @@ WORDS_SQL = f"(select doc_id, word, count(*) as n from (select doc_id, unnest({t
 left join {entries_sql(T.DICTIONARY).replace(') e(', ') a(')} on a.word = w.word left join {entries_sql(T.DICTIONARY_ASCII).replace(') e(', ') b(')} on b.word = w.word""")
 def short_dictionary(spark, sf_dir):
     """Each different word of each document, and each entry of the dictionaries, as a one-word source."""
-    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(tokens(F.col("text"))).alias("word"))
-    known = spark.createDataFrame([(-1, w) for w in T.DICTIONARY | T.DICTIONARY_ADAPTER], "doc_id long, word string")
-    words = words.union(known).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    known = spark.createDataFrame([(-1, w) for w in T.DICTIONARY | T.DICTIONARY_ADAPTER], "doc_id long, text string")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    # dealt by document, so that its words are counted where it is and aren't shuffled
+    texts = dealt(docs.select("doc_id", "text").union(known), input_bytes(docs), "doc_id")
+    words = texts.select("doc_id", F.explode(tokens(F.col("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
     tables = (("meaning", T.DICTIONARY_ADAPTER), ("library", T.DICTIONARY), ("ascii", T.DICTIONARY_ASCII))
     return words.select("doc_id", "word", "n", *[C.dictionary_lookup(F.col("word"), t).alias(name) for name, t in tables])
 
@@ -485,7 +487,7 @@ def char_ngrams(spark, sf_dir):
 
 @query(f"select kind, n, gram, count(*) as cnt from (select 'word' as kind, 2 as n, unnest(list_transform(range(1, len(t)), lambda i: t[i] || chr(1) || t[i + 1])) as gram from (select {tokens_sql('text')} as t from documents)) group by all")
 def word_ngrams(spark, sf_dir):
-    return ngrams.gram_rows(table(spark, sf_dir, "documents"), "text", words=(2,)).groupBy("kind", "n", "gram").agg(F.count("*").alias("cnt"))
+    return ngrams.gram_rows(dealt(spark.read.parquet(f"{sf_dir}/documents.parquet")), "text", words=(2,)).groupBy("kind", "n", "gram").agg(F.count("*").alias("cnt"))
 
 
 @query(f"select conv_id, turn, kind, n, cast(common as bigint) as common, cast(in_a as bigint) as in_a, cast(in_b as bigint) as in_b from {counts_sql(PAIRS, 'src', 'tgt', 'conv_id, turn')}")
@@ -775,7 +777,8 @@ def _hybrid(spark, sf_dir) -> DataFrame:
     """Columns sample_id (a struct), source, model, found, score, reference; the benchmark stands for what a search found, dealt by number."""
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("b"), F.col("text").alias("found"))
     n = table(spark, sf_dir, "benchmark").agg((F.max("item_id") + 1).alias("n"))
-    keyed = _pairs(spark, sf_dir).crossJoin(F.broadcast(n)).withColumn("k", (F.col("conv_id") * 31 + F.col("turn")) % F.col("n"))  # one row
+    pairs = dealt(_pairs(spark, sf_dir), input_bytes(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    keyed = pairs.crossJoin(F.broadcast(n)).withColumn("k", (F.col("conv_id") * 31 + F.col("turn")) % F.col("n"))  # one row
     return keyed.join(b, F.col("k") == F.col("b"), "left").select(F.struct("conv_id", "turn").alias("sample_id"), F.col("src").alias("source"), F.col("tgt").alias("model"), "found", ((F.col("conv_id") % 10) / 10.0).alias("score"), F.col("src").alias("reference"))
 
 

@@ -29,14 +29,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(2 * cores) if len(df.inputFiles()) < cores and size < SMALL else df
 
 
-def dealt(df: DataFrame, size: int | None = None) -> DataFrame:
-    """``df`` dealt out evenly for work that takes long for each byte: about ``TASK`` bytes a task, two tasks a core at least.
+def dealt(df: DataFrame, size: int | None = None, *keys: str) -> DataFrame:
+    """``df`` dealt out evenly, or by ``keys``, for work that takes long for each byte: about ``TASK`` bytes a task, two tasks a core at least.
 
     A scan gives one task up to 128 MB, and a shuffle's small partitions are merged.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = input_bytes(df) if size is None else size
-    return df.repartition(max(2 * cores, min(MOST_TASKS, -(-size // TASK))))
+    return df.repartition(max(2 * cores, min(MOST_TASKS, -(-size // TASK))), *keys)
 
 
 def scratch(spark: SparkSession, tag: str) -> str:

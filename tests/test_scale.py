@@ -133,3 +133,22 @@ def test_time_grows_with_a_text(rule):
         began = time.process_time()
         rule(t)
         assert time.process_time() - began < 5
+
+
+def test_a_dictionary_entry_is_looked_up_once_and_words_stay_with_their_document(spark, tmp_path):
+    documents(spark, tmp_path, [(1, "a-na a-na \xa0zz"), (2, "x\n")])
+    df = queries.QUERIES["short_dictionary"](spark, str(tmp_path))
+    got = {(r.doc_id, r.word): tuple(r)[2:] for r in df.collect() if r.doc_id > 0}
+    assert got == {(1, "a-na"): (2, "To", "To", "To"), (1, "zz"): (1, None, None, None), (2, "x"): (1, None, "", "broken")}
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    # before, words were split again for each table and shuffled once they were counted
+    assert plan.count("split(") <= 1 and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_word_pairs_of_large_tables_are_small_tasks_of_plain_columns(spark, tmp_path, monkeypatch):
+    documents(spark, tmp_path, [(i, f"a b a b c{i}") for i in range(300)] + [(900, "alone"), (901, ""), (902, None)])
+    monkeypatch.setattr(files, "TASK", 64)
+    df = queries.QUERIES["word_ngrams"](spark, str(tmp_path))
+    got = {r.gram: (r.kind, r.n, r.cnt) for r in df.collect()}
+    assert got["a\x01b"] == ("word", 2, 600) and got["b\x01a"][2] == 300 and got["b\x01c7"][2] == 1 and len(got) == 302
+    assert "sequence(" not in df._jdf.queryExecution().optimizedPlan().toString()
