@@ -159,19 +159,7 @@ def whole_sentences(text: Column, least: int = 200) -> Column:
 
 def capped(text: Column, most: Column) -> Column:
     """Whole words while their lengths, a blank each, stay within ``most``; the first always stays. Shorter texts are not touched."""
-
-    def cut(t: Column) -> Column:
-        # how many words stay: sizes are added up in one pass, and words are taken by one slice
-        zero = F.struct(F.lit(0).alias("size"), F.lit(0).alias("n"), F.lit(False).alias("full"))
-
-        def step(acc: Column, w: Column) -> Column:
-            size = acc["size"] + F.length(w) + 1
-            full = acc["full"] | ((size > most) & (acc["size"] > 0))
-            return F.struct(size.alias("size"), (acc["n"] + F.when(full, 0).otherwise(1)).alias("n"), full.alias("full"))
-
-        return let(tokens(t), lambda words: F.array_join(F.slice(words, 1, F.aggregate(words, zero, step, lambda acc: acc["n"])), " "))
-
-    return let(text, lambda t: F.when(F.length(t) <= most, t).otherwise(cut(t)))
+    return texts.capped_texts(text, most.cast("int"))
 
 
 def cap_length(text: Column, source: Column, share: float | Column = 0.5, plus: int | Column = 30, least: int | None = 100) -> Column:

@@ -40,6 +40,25 @@ def mapped(batch: pa.Array, rule: Callable[[str], str], null: str | None = None)
     return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
 
+def capped(text: str, most: int | None) -> str:
+    """Whole words while their lengths, a blank each, stay within ``most``; the first always stays. Shorter texts are not touched."""
+    if most is not None and len(text) <= most:
+        return text
+    words, size = text.split(), 0
+    for n, w in enumerate(words):
+        size += len(w) + 1
+        if most is not None and size > most and n:
+            return " ".join(words[:n])
+    return " ".join(words)
+
+
+def capped_texts(text: Column, most: Column) -> Column:
+    def of(batch: pa.Array, most: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else capped(t, m) for t, m in zip(batch.to_pylist(), most.to_pylist())], pa.string())
+
+    return F.arrow_udf(of, "string")(text, most)
+
+
 # ---- characters ----
 
 
