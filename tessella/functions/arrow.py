@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import math
+import re
 from collections import Counter
 from functools import lru_cache
 
@@ -71,11 +72,54 @@ def text_overlaps(a: Column, b: Column, chars: tuple[int, ...] = (), words: tupl
     return F.pandas_udf(of, _OVERLAPS)(a, b)
 
 
-def item_overlaps(a: Column, b: Column, orders: tuple[int, ...], kind: str = "word") -> Column:
-    """The same for two arrays of strings."""
+_13A = [(re.compile(p), new) for p, new in ((r"([\{-~\[-` -&\(-\+:-@/])", r" \1 "), (r"([^0-9])([.,])", r"\1 \2 "), (r"([.,])([^0-9])", r" \1 \2"), (r"([0-9])(-)", r"\1 \2 "))]
+_MARKS = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+
+
+def bleu_tokens(text: str) -> tuple[str, ...]:
+    """The mteval-13a tokenization: marks and symbols apart, but not points and commas inside numbers."""
+    for old, new in (("<skipped>", ""), ("-\n", ""), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
+        text = text.replace(old, new)
+    text = " " + text.replace("\n", " ") + " "
+    for pattern, new in _13A:
+        text = pattern.sub(new, text)
+    return tuple(text.split())
+
+
+def chrf_words(text: str) -> tuple[str, ...]:
+    """Words with one mark at an end taken off, the last one first."""
+    out = []
+    for w in text.split():
+        if len(w) > 1 and w[-1] in _MARKS:
+            out += w[:-1], w[-1]
+        elif len(w) > 1 and w[0] in _MARKS:
+            out += w[0], w[1:]
+        else:
+            out.append(w)
+    return tuple(out)
+
+
+@lru_cache(8)
+def _scored(text: str, orders: tuple[tuple[str, tuple[int, ...]], ...]) -> list[tuple[str, int, Counter, int]]:
+    """kind, order, counts and their sum: "b" for BLEU's tokens, "w" for chrF's words, "char" for characters without blanks."""
+    of = {"b": bleu_tokens, "w": chrf_words, "char": lambda t: "".join(t.split())}
+    out = []
+    for kind, sizes in orders:
+        items = of[kind](text)
+        out += [(kind, n, _profile.__wrapped__(items, n), max(0, len(items) - n + 1)) for n in sizes]
+    return out
+
+
+@lru_cache(16)
+def _score_counts(a: str, b: str, orders: tuple) -> list[tuple]:
+    return [(kind, n, sum(min(x[g], y[g]) for g in x.keys() & y.keys()), in_a, in_b) for (kind, n, x, in_a), (_, _, y, in_b) in zip(_scored(a, orders), _scored(b, orders))]
+
+
+def score_counts(a: Column, b: Column, orders: tuple[tuple[str, tuple[int, ...]], ...]) -> Column:
+    """What corpus scores add up, for each kind and order. Rows that follow each other and share a text, or both, count it once."""
 
     def of(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([_common(kind, tuple(x) if x is not None else (), tuple(y) if y is not None else (), orders) for x, y in zip(a, b)], dtype=object)
+        return pd.Series([_score_counts(x or "", y or "", orders) for x, y in zip(a, b)], dtype=object)
 
     return F.pandas_udf(of, _OVERLAPS)(a, b)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrow import item_overlaps, ratcliff, text_overlaps
+from ..functions.arrow import ratcliff, score_counts, text_overlaps
 from ..functions.dialect import let, strip, sub, text_of, tokens
 
 CHARS, WORDS, ORDERS = (1, 2, 3, 4, 5, 6), (1, 2), (1, 2, 3, 4)
@@ -135,29 +135,6 @@ def utility(name: str | Utility) -> Utility:
 # ---- corpora ----
 
 
-def bleu_tokens(text: Column) -> Column:
-    """The mteval-13a tokenization: marks and symbols apart, but not points and commas inside numbers."""
-    t = F.replace(F.replace(text, F.lit("<skipped>"), F.lit("")), F.lit("-\n"), F.lit(""))
-    for entity, sign in (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
-        t = F.replace(t, F.lit(entity), F.lit(sign))
-    t = F.concat(F.lit(" "), F.replace(t, F.lit("\n"), F.lit(" ")), F.lit(" "))
-    for pattern, new in ((r"([\{-~\[-` -&\(-\+:-@/])", " $1 "), (r"([^0-9])([.,])", "$1 $2 "), (r"([.,])([^0-9])", " $1 $2"), (r"([0-9])(-)", "$1 $2 ")):
-        t = F.regexp_replace(t, pattern, new)
-    return tokens(t)
-
-
-def chrf_words(text: Column) -> Column:
-    """Words with one mark at an end taken off, the last one first."""
-    mark = r"[!-/:-@\[-`{-~]"
-    part = lambda w: (
-        F.when(F.length(w) == 1, F.array(w))
-        .when(w.rlike(rf"{mark}\z"), F.array(F.substring(w, F.lit(1), F.length(w) - 1), F.substring(w, -1, 1)))
-        .when(w.rlike(rf"\A{mark}"), F.array(F.substring(w, 1, 1), F.substring(w, F.lit(2), F.length(w))))
-        .otherwise(F.array(w))
-    )
-    return F.flatten(F.transform(tokens(text), part))
-
-
 def corpus_scores(rows: DataFrame, hypothesis: str, reference: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Columns ``by``, n, bleu, chrf, geo_mean of all rows, or of each group; from 0 to 100, rounded to four places.
 
@@ -168,11 +145,9 @@ def corpus_scores(rows: DataFrame, hypothesis: str, reference: str, by: tuple[st
     """
     clean = rows.select(*by, F.coalesce(hypothesis, F.lit("")).alias("h"), F.coalesce(reference, F.lit("")).alias("r"))
 
-    bare = lambda c: F.regexp_replace(c, r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x1c-\x1f]+", "")
-    sides = clean.select(*by, *[f(F.col(c)).alias(f"{k}{c}") for c in ("h", "r") for k, f in (("b", bleu_tokens), ("w", chrf_words), ("c", bare))])
     # counts of a row stay in the row; only their sums are shuffled
-    counts = F.concat(item_overlaps(F.col("bh"), F.col("br"), ORDERS, "b"), item_overlaps(F.col("wh"), F.col("wr"), WORDS, "w"), text_overlaps(F.col("ch"), F.col("cr"), CHARS))
-    each = sides.select(*by, F.explode(counts).alias("o")).select(*by, F.left("o.kind", F.lit(1)).alias("kind"), "o.n", F.col("o.common").alias("m"), F.col("o.in_a").alias("h"), F.col("o.in_b").alias("r"))
+    counts = score_counts(F.col("h"), F.col("r"), (("b", ORDERS), ("w", WORDS), ("char", CHARS)))
+    each = clean.select(*by, F.explode(counts).alias("o")).select(*by, F.left("o.kind", F.lit(1)).alias("kind"), "o.n", F.col("o.common").alias("m"), F.col("o.in_a").alias("h"), F.col("o.in_b").alias("r"))
     # in chrF a hypothesis counts only where its reference has the order
     counted = F.when((F.col("kind") == "b") | (F.col("r") > 0), F.col("h")).otherwise(0)
     total = each.groupBy(*by, "kind", "n").agg(F.sum("m").alias("m"), F.sum(counted).alias("h"), F.sum("r").alias("r"))

@@ -925,11 +925,12 @@ def cap_grid(spark, sf_dir):
 @query(f"select s.*, c.changed from ({corpus_scores_sql(f'select pattern, h, r from ({PATTERNS})', 'pattern')}) s join {CHANGED} c using (pattern)")
 def pattern_report(spark, sf_dir):
     h = _hybrid(spark, sf_dir)
-    patterns = h.select(F.lit("A").alias("pattern"), "sample_id", F.col("model").alias("prediction"), "reference")
-    patterns = patterns.union(h.select(F.lit("D"), "sample_id", cascade.retrieval_cascade(F.col("source"), F.col("found")), "reference"))
-    patterns = patterns.union(cascade.hybrid_grid(h, [0.3, 0.5, 0.7]))
-    for least in (128, 256, 512):
-        patterns = patterns.union(h.select(F.lit(f"F>={least}"), "sample_id", cascade.tail_hybrid(F.col("source"), F.col("model"), F.col("found"), least), "reference"))
+    # all patterns of a row follow each other, as scores count a text once then
+    found = {"A": F.col("model"), "D": cascade.retrieval_cascade(F.col("source"), F.col("found"))}
+    found |= {f"E>{t}": cascade.threshold_hybrid(F.col("found"), F.col("score"), F.col("model"), t) for t in (0.3, 0.5, 0.7)}
+    found |= {f"F>={n}": cascade.tail_hybrid(F.col("source"), F.col("model"), F.col("found"), n) for n in (128, 256, 512)}
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("pattern"), v.alias("prediction")) for k, v in found.items()])).alias("p")
+    patterns = h.select("sample_id", "reference", each).select("p.pattern", "sample_id", "p.prediction", "reference")
     return cascade.pattern_report(patterns, "A")
 
 

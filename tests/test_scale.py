@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella import queries
+from tessella.functions import arrow
 from tessella.functions import clean as C
 from tessella.functions import tables as T
 from tessella.functions import texts as X
@@ -152,3 +153,27 @@ def test_word_pairs_of_large_tables_are_small_tasks_of_plain_columns(spark, tmp_
     got = {r.gram: (r.kind, r.n, r.cnt) for r in df.collect()}
     assert got["a\x01b"] == ("word", 2, 600) and got["b\x01a"][2] == 300 and got["b\x01c7"][2] == 1 and len(got) == 302
     assert "sequence(" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scores_count_a_text_once_for_rows_that_share_it(monkeypatch):
+    made = []
+    monkeypatch.setattr(arrow, "bleu_tokens", lambda t: made.append(t) or tuple(t.split()))
+    arrow._scored.cache_clear(), arrow._score_counts.cache_clear()
+    orders = (("b", (1, 2)), ("w", (1,)), ("char", (3,)))
+    rows = [("a b, c", "a b c."), ("a b c.", "a b c."), ("a b, c", "a b c."), ("", "a b c.")]
+    got = [arrow._score_counts(a, b, orders) for a, b in rows]
+    assert sorted(made) == ["", "a b c.", "a b, c"]
+    assert got[0] == got[2] == [("b", 1, 1, 3, 3), ("b", 2, 0, 2, 2), ("w", 1, 3, 4, 4), ("char", 3, 0, 2, 2)]
+    assert got[3] == [("b", 1, 0, 0, 3), ("b", 2, 0, 0, 2), ("w", 1, 0, 0, 4), ("char", 3, 0, 0, 2)]
+
+
+@pytest.mark.parametrize("name", ["cap_grid", "cap_grid_texts", "pattern_report", "model_cascade"])
+def test_cascades_are_even_tasks_without_folds_over_words(spark, tmp_path, monkeypatch, name):
+    turns = [(i, k, role, f"{role} says word{i} and more, {k}. " * 12) for i in range(40) for k, role in enumerate(("user", "assistant"))]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    spark.createDataFrame([(i, f"item {i}") for i in range(7)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    plan = queries.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    # a repartition by number is not merged into a few tasks, as what windows leave is
+    assert "Repartition 16, true" in plan
+    if name.startswith("cap_grid"):
+        assert "aggregate(" not in plan
