@@ -11,8 +11,13 @@ the score that a result needs.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,8 +25,7 @@ from pyspark.sql import functions as F
 from ..functions.arrow import ratcliff
 from ..functions.clean import retrieval_key
 from ..functions.dialect import tokens
-from ..sources.files import scratch, written
-from .ngrams import characters, windows
+from ..sources.files import dealt, input_bytes, scratch, written
 
 CHAR_ORDERS, WORD_ORDERS = (3, 4, 5, 6), (1, 2)
 W_CHAR, W_WORD, W_SEQ, PENALTY, TOP, AGAIN, ACCEPT = 0.75, 0.20, 0.05, 0.3, 60, 10, 0.10
@@ -29,21 +33,43 @@ W_CHAR, W_WORD, W_SEQ, PENALTY, TOP, AGAIN, ACCEPT = 0.75, 0.20, 0.05, 0.3, 60,
 EPS = 1e-9
 
 
-def edge_grams(key: Column) -> Column:
-    """Character n-grams inside each word padded by a blank; a shorter word is its own, once."""
+@lru_cache(1 << 16)
+def edge_grams(word: str) -> list[str]:
+    """Character n-grams of a word padded by a blank; a shorter word is its own, once."""
+    padded = f" {word} "
+    return [padded[i : i + n] for n in CHAR_ORDERS for i in range(len(padded) - n + 1)]
 
-    def of(word: Column) -> Column:
-        padded = characters(F.concat(F.lit(" "), word, F.lit(" ")))
-        each = [windows(padded, n, "") if n == CHAR_ORDERS[0] else F.when(F.size(padded) >= n, windows(padded, n, "")).otherwise(F.array().cast("array<string>")) for n in CHAR_ORDERS]
-        return F.concat(*each)
 
-    return F.flatten(F.transform(tokens(key), of))
+_KEY_WORDS = re.compile("[a-z0-9_]{2,}")
 
 
-def key_words(key: Column) -> Column:
-    """Runs of two or more word characters, and pairs of neighbours."""
-    words = F.filter(F.regexp_extract_all(key, F.lit("[a-z0-9_]+"), F.lit(0)), lambda w: F.length(w) >= 2)
-    return F.concat(words, windows(words, 2, " "))
+def grams_of(key: str) -> tuple[Counter, Counter]:
+    """How often a key has each n-gram of characters inside its words, and each run of two or more word characters and pair of such neighbours."""
+    chars: Counter = Counter()
+    for word in key.split():
+        chars.update(edge_grams(word))
+    words = _KEY_WORDS.findall(key)
+    return chars, Counter([*words, *map(" ".join, zip(words, words[1:]))])
+
+
+def gram_counts(key: Column) -> Column:
+    """Structs space, gram, tf of a key; NULL has none."""
+
+    def of(keys: pa.Array) -> pa.Array:
+        ends, n_chars, grams, tf = [0], [], [], []
+        for at in range(len(keys)):
+            for space in grams_of(keys[at].as_py() or ""):
+                grams += space.keys()
+                tf += space.values()
+                n_chars.append(len(grams))
+            ends.append(len(grams))
+        # the first part of a key's n-grams is of characters, the second of words
+        sides = np.diff(np.array([0, *n_chars], np.int64))
+        space = pa.array(np.repeat(np.tile(np.array(["char", "word"], object), len(keys)), sides), pa.string())
+        rows = pa.StructArray.from_arrays([space, pa.array(grams, pa.string()), pa.array(tf, pa.int64())], ["space", "gram", "tf"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
+
+    return F.arrow_udf(of, "array<struct<space:string,gram:string,tf:long>>")(key)
 
 
 @dataclass
@@ -55,17 +81,17 @@ class Index:
     terms: DataFrame
 
 
-def counts(rows: DataFrame, id: str, key: str = "key") -> DataFrame:
-    """Columns id, space, gram, tf."""
-    each = F.concat(F.transform(edge_grams(F.col(key)), lambda g: F.struct(F.lit("char").alias("space"), g.alias("gram"))), F.transform(key_words(F.col(key)), lambda g: F.struct(F.lit("word").alias("space"), g.alias("gram"))))
-    return rows.select(id, F.explode(each).alias("g")).groupBy(id, "g.space", "g.gram").agg(F.count("*").alias("tf"))
+def counts(rows: DataFrame, id: str, key: str = "key", once: bool = False) -> DataFrame:
+    """Columns id, space, gram, tf. ``once``: no id comes twice, so what a row counts is all there is of it, and nothing is shuffled."""
+    each = rows.select(id, F.explode(gram_counts(F.col(key))).alias("g")).select(id, "g.space", "g.gram", "g.tf")
+    return each if once else each.groupBy(id, "space", "gram").agg(F.sum("tf").alias("tf"))
 
 
 def weighted(tf: DataFrame, idf: DataFrame, id: str) -> DataFrame:
     """TF-IDF of unit length for each id and space; n-grams outside the vocabulary are gone before lengths are taken."""
     raw = tf.join(idf.select("space", "gram", "idf"), ["space", "gram"]).withColumn("raw", F.col("tf") * F.col("idf"))
-    size = raw.groupBy(F.col(id).alias("i"), F.col("space").alias("s")).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("size"))
-    return raw.join(size, (F.col(id) == F.col("i")) & (F.col("space") == F.col("s"))).select("space", "gram", id, (F.col("raw") / F.col("size")).alias("weight"))
+    size = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy(id, "space")))
+    return raw.select("space", "gram", id, (F.col("raw") / size).alias("weight"))
 
 
 def build_index(corpus: DataFrame, folder: str, doc: str = "doc", source: str = "src", key: Column | None = None) -> Index:
@@ -76,7 +102,7 @@ def build_index(corpus: DataFrame, folder: str, doc: str = "doc", source: str =
     """
     docs = corpus.withColumn("key", key if key is not None else retrieval_key(F.col(source))).withColumn("words", F.size(tokens(F.col("key"))))
     docs = written(docs.withColumnRenamed(doc, "doc") if doc != "doc" else docs, f"{folder}/docs")
-    tf = written(counts(docs, "doc"), f"{folder}/counts")
+    tf = written(counts(dealt(docs, input_bytes(docs)), "doc", once=True), f"{folder}/counts")
     total = docs.agg(F.count("*").alias("total"))
     df = tf.groupBy("space", "gram").agg(F.count("*").alias("df"))
     idf = df.crossJoin(F.broadcast(total)).select("space", "gram", "df", (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf"))  # a total is one row

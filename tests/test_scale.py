@@ -16,7 +16,7 @@ from tessella.functions import clean as C
 from tessella.functions import tables as T
 from tessella.functions import texts as X
 from tessella.functions.dialect import sub_python
-from tessella.operators import corpus
+from tessella.operators import corpus, retrieve
 from tessella.sources import files
 
 
@@ -177,3 +177,16 @@ def test_cascades_are_even_tasks_without_folds_over_words(spark, tmp_path, monke
     assert "Repartition 16, true" in plan
     if name.startswith("cap_grid"):
         assert "aggregate(" not in plan
+
+
+def test_ngrams_of_a_document_are_counted_in_its_row(spark):
+    df = spark.createDataFrame([(1, "ab abc x ab"), (2, ""), (3, None)], "doc int, key string")
+    tf = retrieve.counts(df, "doc", once=True)
+    got = {(r.space, r.gram): r.tf for r in tf.collect()}
+    chars = {" ab": 3, "ab ": 2, " ab ": 2, "abc": 1, "bc ": 1, " abc": 1, "abc ": 1, " abc ": 1, " x ": 1}
+    words = {"ab": 2, "abc": 1, "ab abc": 1, "abc ab": 1}
+    assert got == {("char", g): n for g, n in chars.items()} | {("word", g): n for g, n in words.items()}
+    # before, each n-gram was a row of a shuffle
+    assert "Exchange" not in tf._jdf.queryExecution().executedPlan().toString()
+    twice = retrieve.counts(df.union(df), "doc")
+    assert {(r.space, r.gram): r.tf for r in twice.collect()} == {k: 2 * n for k, n in got.items()}
